@@ -29,7 +29,11 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import words as W
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: A key is (partition, block in it, place in the block).
+PART_BITS, COUNT_BITS, PLACE_BITS = 22, 14, 27
+#: Words whose ids are packed together before they go back to their blocks.
+PACK = 1 << 18
 #: Largest rank file that is sent to the executors.
 RANK_FILE_BYTES = 64 << 20
 KINDS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "binary", "decoded_sha256": "string"}
@@ -70,22 +74,26 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int):
         for a, b in W.steps(offsets, most):
             inner, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts = W.cuts(inner, at)
-            yield part << 32 | count, batch.column(0).slice(a, b - a), at, *W.distinct(inner, starts), starts
+            yield _block(part, count, len(starts)), batch.column(0).slice(a, b - a), at, *W.distinct(inner, starts), starts
             count += 1
 
 
-def _print(found: pa.Array) -> int:
-    data = found.buffers()[2]
-    return zlib.crc32(data) if data is not None else 0
+def _block(part: int, count: int, words: int) -> int:
+    if part >> PART_BITS or count >> COUNT_BITS or words >> PLACE_BITS:
+        raise OverflowError("more partitions, blocks in a partition or words in a text than a key can tell apart")
+    return part << COUNT_BITS | count
+
+
+def _mark(word: bytes, place: int) -> int:
+    return zlib.crc32(word, place & 0xFFFFFFFF)
 
 
 def _explode(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, _, found, _, _ in _blocks(batches, most):
-            mark = _print(found)
             for k in range(0, len(found), 50_000):
                 part = found.slice(k, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(k, k + len(part), dtype=np.int32)), part, pa.array(np.full(len(part), mark))], ["block", "place", "word", "print"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, k + len(part)) | block << PLACE_BITS), part], ["key", "word"])
 
     return run
 
@@ -100,26 +108,50 @@ def _positions(most: int):
             code[order] = np.arange(len(order), dtype=np.uint32)
             code = code[places]
             packed = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in (code.astype(np.uint8), (code >> 8).astype(np.uint16), (code >> 24).astype(np.uint8), order)]
-            row = {"block": [block], "n": [len(code)], "words": [len(found)], "print": [_print(found)], "upto": [upto[1:]], "doc_ids": [ids], "low": packed[:1], "mid": packed[1:2], "high": packed[2:3], "order": packed[3:]}
+            row = {"block": [block], "n": [len(code)], "words": [len(found)], "mark": [sum(map(_mark, found.to_pylist(), range(len(found))))], "upto": [upto[1:]], "doc_ids": [ids], "low": packed[:1], "mid": packed[1:2], "high": packed[2:3], "order": packed[3:]}
             yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.list_(pa.int64())) if k == "doc_ids" else pa.array(v) for k, v in row.items()], list(row))
 
     return run
 
 
-POSITIONS = "block long, n long, words long, print long, upto array<long>, doc_ids array<long>, low binary, mid binary, high binary, order binary"
+POSITIONS = "block long, n long, words long, mark long, upto array<long>, doc_ids array<long>, low binary, mid binary, high binary, order binary"
+
+
+def _packed(keys: list[int], marks: list[int], sizes: list[int], ids: list[int]) -> pa.RecordBatch:
+    """The ids of words, together for each block: their places and sizes, then all ids."""
+    key, mark, size = np.array(keys, np.int64), np.array(marks, np.int64), np.array(sizes, np.int64)
+    order = np.argsort(key, kind="stable")
+    lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(size))), pa.array(np.array(ids, np.uint32))).take(pa.array(order))
+    key, mark, size = key[order], mark[order], size[order]
+    block = key >> PLACE_BITS
+    edge = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    ends, at, flat = np.append(edge[1:], len(key)), lists.offsets.to_numpy(), lists.values.to_numpy()
+    squeeze = lambda x: pa.compress(x.tobytes(), "zstd", asbytes=True)
+    rows = [(int(block[a]), int(z - a), int(at[z] - at[a]), int(mark[a:z].sum()), squeeze(np.diff(key[a:z] & (1 << PLACE_BITS) - 1, prepend=0).astype(np.uint32)), squeeze(size[a:z].astype(np.uint32)), squeeze(flat[at[a] : at[z]])) for a, z in zip(edge, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["block", "n", "n_ids", "mark", "places", "sizes", "ids"])
+
+
+PACKED = "block long, n long, n_ids long, mark long, places binary, sizes binary, ids binary"
 
 
 def _encode(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = _merger(ranks.value)
-        last, ids = None, b""
+        last, own = None, []
+        keys, marks, sizes, ids = [], [], [], []
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
+            for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if word != last:
-                    last, ids = word, np.array(merger._encode_single_piece(word), np.uint32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), batch.column(3)], ["block", "place", "ids", "print"])
+                    last, own = word, merger._encode_single_piece(word)
+                keys.append(key)
+                marks.append(_mark(word, key & (1 << PLACE_BITS) - 1))
+                sizes.append(len(own))
+                ids += own
+            if len(keys) >= PACK:
+                yield _packed(keys, marks, sizes, ids)
+                keys, marks, sizes, ids = [], [], [], []
+        if keys:
+            yield _packed(keys, marks, sizes, ids)
 
     return run
 
@@ -131,15 +163,19 @@ def _reassemble(ranks, outputs: Sequence[str]):
             raise ValueError("a block came without its positions: the input changed between two reads")
         row = {k: left.column(k)[0] for k in left.column_names}
         n, count = row["n"].as_py(), row["words"].as_py()
-        right = right.sort_by("place")
-        if right.num_rows != count or count and right.column("print").unique().to_pylist() != [row["print"].as_py()]:
+        unpack = lambda data, kind, size: np.frombuffer(pa.decompress(data, int(size) * kind().itemsize, "zstd", asbytes=True), kind) if size else np.zeros(0, kind)
+        parts = right.to_pylist()
+        at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(p["places"], np.uint32, p["n"]), dtype=np.int64) for p in parts)])
+        if len(at) != count or sum(p["mark"] for p in parts) != row["mark"].as_py():
             raise ValueError("a block came with other words: the input changed between two reads")
-        unpack = lambda k, kind, size: np.frombuffer(pa.decompress(row[k].as_py(), size * kind().itemsize, "zstd", asbytes=True), kind) if size else np.zeros(0, kind)
-        code = unpack("low", np.uint8, n).astype(np.uint32) | unpack("mid", np.uint16, n).astype(np.uint32) << 8 | unpack("high", np.uint8, n).astype(np.uint32) << 24
-        places = unpack("order", np.int32, count)[code]
+        sizes = np.concatenate([np.zeros(0, np.int64), *(unpack(p["sizes"], np.uint32, p["n"]) for p in parts)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *(unpack(p["ids"], np.uint32, p["n_ids"]) for p in parts)])
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int64()), pa.array(flat))
+        where = np.empty(count, np.int64)
+        where[at] = np.arange(count)
+        code = unpack(row["low"].as_py(), np.uint8, n).astype(np.uint32) | unpack(row["mid"].as_py(), np.uint16, n).astype(np.uint32) << 8 | unpack(row["high"].as_py(), np.uint8, n).astype(np.uint32) << 24
+        places = where[unpack(row["order"].as_py(), np.int32, count)][code]
         upto = np.append(0, row["upto"].values.to_numpy() if len(row["upto"].values) else np.zeros(0, np.int64))
-        flat, at = W.buffers(right.column("ids").combine_chunks())
-        lists = pa.LargeListArray.from_arrays(pa.array(at // 4, pa.int64()), pa.array(np.frombuffer(flat.tobytes(), np.uint32)))
         tokens = token_table(parse_ranks(ranks.value))
         docs = row["doc_ids"].values
         found: dict[str, list] = {k: [] for k in outputs}
@@ -176,8 +212,8 @@ def encode(df: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: s
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = texts.mapInArrow(_explode(block_bytes), "block long, place int, word binary, print long")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(ranks), "block long, place int, ids binary, print long")
+    words = texts.mapInArrow(_explode(block_bytes), "key long, word binary")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(ranks), PACKED)
     positions = texts.mapInArrow(_positions(block_bytes), POSITIONS)
     schema = ", ".join(["doc_id long", *(f"{k} {KINDS[k]}" for k in outputs)])
     return positions.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble(ranks, outputs), schema)
