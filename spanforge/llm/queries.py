@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from spanforge.llm.bpe import op1_byte_bpe
+from spanforge.llm.chat import OP8_SQL, op8_chat_format
+from spanforge.llm.secrets import op3_secret_scan
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_secret_scan": op3_secret_scan,
+    "op8_chat_format": op8_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat_format": OP8_SQL,
+}
