@@ -42,10 +42,3 @@ def filesystem(uri: str):
 
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
 
-
-def put(system, path: str, make) -> None:
-    """Writes a file by ``make(stream)`` under another name first, so a second attempt of a task replaces it whole."""
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as stream:
-        make(stream)
-    system.move(part, path)
