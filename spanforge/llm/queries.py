@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from spanforge.llm.ann import OP7_SQL, op7_nearest
 from spanforge.llm.bpe import op1_byte_bpe
 from spanforge.llm.chat import OP8_SQL, op8_chat_format
+from spanforge.llm.langid import op6_language
 from spanforge.llm.secrets import op3_secret_scan
+from spanforge.llm.simhash import op5_simhash
+from spanforge.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_secret_scan": op3_secret_scan,
+    "op5_simhash": op5_simhash,
+    "op6_language": op6_language,
+    "op7_nearest": op7_nearest,
     "op8_chat_format": op8_chat_format,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_nearest": OP7_SQL,
     "op8_chat_format": OP8_SQL,
+    "op10_warc": OP10_SQL,
 }
