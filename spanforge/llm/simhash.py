@@ -33,18 +33,22 @@ PARTS = 3
 STEP_BYTES = 2 << 20
 #: Pairs of an anchor that are compared at once, and beyond which its links are thinned to a forest.
 PAIRS, DENSE = 1 << 21, 1 << 14
+MIX = np.uint64(0xD6E8FEB86659FD93)
+#: For similarity instead of a bit threshold: fingerprints of a text, bits of all that may differ at an estimated similarity
+#: of 0.8 (48 of 320 are expected there), and bits of the first that may differ for a pair to be looked at.
+MANY, MANY_BITS, FIRST_BITS = 5, 54, 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def _prints(body: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """The fingerprint of each text."""
+def _prints(body: np.ndarray, offsets: np.ndarray, size: int, count: int = 1) -> np.ndarray:
+    """The fingerprints of each text (texts x count); after the first they are of hashes mixed from the shingle's."""
     import xxhash
 
     n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
+    out = np.zeros((n, count), np.uint64)
     body = _LOWER[body]
     blank = _BLANK[body]
     first = np.zeros(len(body), bool)
@@ -60,36 +64,44 @@ def _prints(body: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     tidy = np.full(keep[-1] + len(starts), 32, np.uint8)
     tidy[keep[~blank] - 1 + np.repeat(shift - 1, ends - starts)] = body[~blank]
     starts, ends = keep[starts] - 1 + shift - 1, keep[ends - 1] + shift - 1
-    count = np.diff(np.searchsorted(np.flatnonzero(begin), offsets))
-    at = np.cumsum(count) - count
+    words = np.diff(np.searchsorted(np.flatnonzero(begin), offsets))
+    at = np.cumsum(words) - words
     # Shingle i of a text covers words i to i + size - 1; a shorter text is one shingle.
-    shingles = np.where(count == 0, 0, np.maximum(count - size + 1, 1))
+    shingles = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
     word = np.repeat(at, shingles) + np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    last = np.minimum(word + size, np.repeat(at + count, shingles)) - 1
+    last = np.minimum(word + size, np.repeat(at + words, shingles)) - 1
     data, digest = tidy.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts[word].tolist(), ends[last].tolist())), np.uint64, len(word))
     full = np.flatnonzero(shingles)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
-    out[full] = np.packbits(sums * 2 > shingles[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for k in range(count):
+        if k:
+            hashes = (hashes ^ hashes >> np.uint64(29)) * MIX
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
+        out[full, k] = np.packbits(sums * 2 > shingles[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def _map_prints(size: int):
+def _map_prints(size: int, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = W.buffers(batch.column(1))
-            found = [_prints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size) for a, b in W.steps(offsets, STEP_BYTES)]
-            prints = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != 1), pa.array(prints)], [*(c for k, c in enumerate(batch.schema.names) if k != 1), "print"])
+            found = [_prints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, count) for a, b in W.steps(offsets, STEP_BYTES)]
+            prints = np.concatenate([np.zeros((0, count), np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(count))], ["doc_id", "text_key", *_names(count)])
 
     return run
 
 
-def fingerprints(df: DataFrame, *, words: int = 4) -> DataFrame:
-    """doc_id, text_key (a hash of the text that tells rows of one id apart) and print (the 64 bits as a long)."""
+def _names(count: int) -> list[str]:
+    return ["print", *(f"print{k}" for k in range(1, count))]
+
+
+def fingerprints(df: DataFrame, *, words: int = 4, count: int = 1) -> DataFrame:
+    """doc_id, text_key (a hash of the text that tells rows of one id apart) and print (the 64 bits as a long), print1, ..."""
     text = F.col("text").cast("string")
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(_map_prints(words), "doc_id long, text_key long, print long")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    return rows.mapInArrow(_map_prints(words, count), ", ".join(["doc_id long", "text_key long", *(f"{c} long" for c in _names(count))]))
 
 
 CODE = 15
@@ -111,50 +123,55 @@ def _placed(errors: Column, value: Column, part: int) -> Column:
     return F.transform(errors, lambda e, i: F.struct(F.lit(part << 32).cast("long").bitwiseOR(value.bitwiseXOR(e)).alias("anchor"), (i == 0).alias("home")))
 
 
-def anchors(prints: DataFrame, max_bits: int) -> DataFrame:
-    """print, anchor, home: a row for each anchor of each (distinct) fingerprint."""
-    rows, low = [], 0
-    for part in range(PARTS):
-        width = 64 // PARTS + (part >= PARTS - 64 % PARTS)
-        table = F.array(*[F.array(*[F.lit(e).cast("long") for e in es]) for es in patterns(width, 1 + max_bits // PARTS)])
-        value = F.shiftrightunsigned("print", low).bitwiseAND(F.lit((1 << width) - 1))
-        checks = [sum(1 << p for p in range(CODE) if (p + 1) >> k & 1) for k in range(4)]
-        syndrome = sum((F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(c).cast("long"))).bitwiseAND(F.lit(1)), k) for k, c in enumerate(checks)), F.lit(0))
-        low += width
-        rows.append(_placed(F.get(table, syndrome), value, part))
-    return prints.select("print", F.inline(F.concat(*rows)))
-
-
-def _forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the same fingerprints as all links within ``max_bits`` do."""
-    rest = np.unique(prints)
+def anchors(prints: DataFrame, max_bits: int, names: list[str], keep: list[str]) -> DataFrame:
+    """``keep``, anchor, home: a row for each anchor of each fingerprint named."""
+    rows = []
+    for k, name in enumerate(names):
+        low = 0
+        for part in range(PARTS):
+            width = 64 // PARTS + (part >= PARTS - 64 % PARTS)
+            table = F.array(*[F.array(*[F.lit(e).cast("long") for e in es]) for es in patterns(width, 1 + max_bits // PARTS)])
+            value = F.shiftrightunsigned(name, low).bitwiseAND(F.lit((1 << width) - 1))
+            checks = [sum(1 << p for p in range(CODE) if (p + 1) >> c & 1) for c in range(4)]
+            syndrome = sum((F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(F.lit(1)), c) for c, m in enumerate(checks)), F.lit(0))
+            low += width
+            rows.append(_placed(F.get(table, syndrome), value, k * PARTS + part))
+    return prints.select(*keep, F.inline(F.concat(*rows)))
+
+
+def _forest(ids: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same rows as all links within ``max_bits`` do."""
+    order = np.lexsort((ids, prints))
+    rest, names = prints[order], ids[order]
     heads, tails, queue = [], [], []
     while len(rest):
         if not queue:
-            queue, rest = [rest[:1]], rest[1:]
-        seen = queue.pop()
-        for x in seen:
-            near = np.bitwise_count(rest ^ x) <= max_bits
-            if near.any():
-                found, rest = rest[near], rest[~near]
-                heads.append(np.full(len(found), x))
-                tails.append(found)
-                queue.append(found)
-    none = np.zeros(0, np.uint64)
+            queue, rest, names = [(names[0], rest[0])], rest[1:], names[1:]
+        name, x = queue.pop()
+        near = np.bitwise_count(rest ^ x) <= max_bits
+        if near.any():
+            found = names[near]
+            heads.append(np.full(len(found), name))
+            tails.append(found)
+            queue += zip(found, rest[near])
+            rest, names = rest[~near], names[~near]
+    none = np.zeros(0, ids.dtype)
     return np.concatenate([none, *heads]), np.concatenate([none, *tails])
 
 
-def links_of(anchor: np.ndarray, prints: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by anchor; every group is whole."""
+def links_of(anchor: np.ndarray, ids: np.ndarray, prints: np.ndarray, home: np.ndarray, max_bits: int, levels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by anchor; every group is whole.  A dense group gives a forest for each of ``levels``."""
     edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     sizes = np.diff(np.append(edge, len(anchor)))
     homes = np.add.reduceat(home, edge, dtype=np.int64)
-    heads, tails = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     dense = homes * sizes > DENSE
     for g in np.flatnonzero(dense):
-        a, b = _forest(prints[edge[g] : edge[g] + sizes[g]], max_bits)
-        heads.append(a)
-        tails.append(b)
+        own = slice(edge[g], edge[g] + sizes[g])
+        for level in levels:
+            a, b = _forest(ids[own], prints[own], level)
+            heads.append(a)
+            tails.append(b)
     group = np.repeat(np.arange(len(edge)), sizes)
     own = np.flatnonzero(home & ~dense[group])
     need = sizes[group[own]]
@@ -165,26 +182,26 @@ def links_of(anchor: np.ndarray, prints: np.ndarray, home: np.ndarray, max_bits:
         one, n = own[k:end], need[k:end]
         left = np.repeat(one, n)
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edge[group[one]], n)
-        x, y = prints[left], prints[right]
-        near = (np.bitwise_count(x ^ y) <= max_bits) & (x != y)
-        heads.append(x[near])
-        tails.append(y[near])
+        near = np.bitwise_count(prints[left] ^ prints[right]) <= max_bits
+        x, y = ids[left[near]], ids[right[near]]
+        heads.append(x[x != y])
+        tails.append(y[x != y])
         k = end
     a, b = np.concatenate(heads), np.concatenate(tails)
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _map_links(max_bits: int):
+def _map_links(max_bits: int, levels: list[int], names: tuple[str, str]):
     def give(parts):
-        columns = [np.concatenate(x) for x in zip(*parts)]
-        a, b = links_of(columns[0], columns[1].view(np.uint64), columns[2], max_bits)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        anchor, ids, prints, home = (np.concatenate(x) for x in zip(*parts))
+        a, b = links_of(anchor, ids, prints.view(np.uint64), home, max_bits, levels)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "print", "home")]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", *names, "home")]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
@@ -201,8 +218,19 @@ def _map_links(max_bits: int):
 
 def links(prints: DataFrame, *, max_bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect all that link."""
-    placed = anchors(prints, max_bits).repartition("anchor").sortWithinPartitions("anchor")
-    return placed.mapInArrow(_map_links(max_bits), "a long, b long").distinct()
+    placed = anchors(prints, max_bits, ["print"], ["print"]).repartition("anchor").sortWithinPartitions("anchor")
+    return placed.mapInArrow(_map_links(max_bits, [max_bits], ("print", "print")), "a long, b long").distinct()
+
+
+def similar(nodes: DataFrame) -> DataFrame:
+    """(a, b): texts (``text_key`` with ``MANY`` fingerprints) of an estimated similarity of 0.8 or more."""
+    names = _names(MANY)
+    placed = anchors(nodes, PARTS, names, ["text_key", "print"]).repartition("anchor").sortWithinPartitions("anchor")
+    pairs = placed.mapInArrow(_map_links(FIRST_BITS, list(range(4, FIRST_BITS + 1, 4)), ("text_key", "print")), "a long, b long").distinct()
+    for side in "ab":
+        pairs = pairs.join(nodes.select(F.col("text_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
+    return pairs.where(apart <= MANY_BITS).select("a", "b")
 
 
 def components(df: DataFrame, *, words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -216,10 +244,19 @@ def components(df: DataFrame, *, words: int = 4, max_bits: int = 4) -> DataFrame
     return prints.join(of_print, "print").select("doc_id", "text_key", "print", "root", "component_id")
 
 
-def dedup(df: DataFrame, *, words: int = 5, max_bits: int = 4) -> DataFrame:
-    """One document of each group: that with the smallest id; rows that repeat it count as one."""
-    firsts = components(df, words=words, max_bits=max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = firsts.groupBy("root").agg(F.min(F.struct("text_key", "doc_id")).alias("kept")).select("kept.*").toDF("_key", "_id")
+def groups(df: DataFrame, *, words: int = 5) -> DataFrame:
+    """doc_id, text_key and root (of its group) of each document, by similarity: ``MANY`` fingerprints of a text have
+    3 * ``MANY`` segments, and a pair is looked at if one of them differs in a bit or none."""
+    prints = store.written(fingerprints(df, words=words, count=MANY), "prints")
+    nodes = store.written(prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in _names(MANY))), "nodes")
+    roots = connected_components(similar(nodes))
+    return prints.join(roots, prints["text_key"] == roots["node"], "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+
+
+def dedup(df: DataFrame, *, words: int = 5) -> DataFrame:
+    """One document of each group: that with the smallest id (a null id is the largest); rows that repeat it count as one."""
+    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    kept = groups(df, words=words).groupBy("root").agg(F.min(last).alias("kept")).select(F.col("kept.text_key").alias("_key"), F.col("kept.doc_id").alias("_id"))
     marked = df.withColumns({"_key_": F.xxhash64(F.col("text").cast("string")), "_id_": F.col("doc_id").cast("long")})
     same = (F.col("_key_") == F.col("_key")) & F.col("_id_").eqNullSafe(F.col("_id"))
     return marked.join(kept, same, "left_semi").dropDuplicates(["_key_", "_id_"]).select(*df.columns)
