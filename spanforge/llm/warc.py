@@ -153,8 +153,11 @@ def _reader(folder: str, outputs: list[str]):
 
 
 def read(selected: DataFrame, folder: str, outputs: list[str]) -> DataFrame:
-    """The records of the selected index rows; ``outputs`` are of ``KINDS``."""
-    placed = selected.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    """The records of the selected index rows; ``outputs`` are of ``KINDS``.
+
+    The rows are few bytes but stand for much to read, so they are dealt to as many tasks as there are archives."""
+    files = max(1, selected.select("file").distinct().count())
+    placed = selected.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(_reader(f"{folder}/archive", outputs), ", ".join(f"{c} {KINDS[c]}" for c in outputs))
 
 
