@@ -30,12 +30,12 @@ from spanforge.llm import store
 from spanforge.llm import words as W
 
 SEQ_LEN, BATCH = 2048, 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 VOCABULARY_BYTES = 64 << 20
 #: Words whose ids a worker keeps from block to block.
 KNOWN = 1 << 17
 #: Words that are encoded as one text.
-TOGETHER = 256
+TOGETHER, TEXTS = 256, 32
 INDEX = "file string, doc_id long, start long, n_tokens long"
 
 
@@ -59,12 +59,14 @@ class Encoder:
         """Ids of words that all are a space and Latin letters: joined, they part again at the spaces."""
         parts = [words.slice(k, TOGETHER).to_pylist() for k in range(0, len(words), TOGETHER)]
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False)):
-            size = np.bincount(e.word_ids, minlength=len(part))
-            if len(size) != len(part):
-                return None
-            ids.append(np.array(e.ids, np.uint32))
-            sizes.append(size)
+        for k in range(0, len(parts), TEXTS):  # an encoding holds much more than its ids
+            some = parts[k : k + TEXTS]
+            for part, e in zip(some, self.tokenizer.encode_batch(["".join(p) for p in some], add_special_tokens=False)):
+                size = np.bincount(e.word_ids, minlength=len(part))
+                if len(size) != len(part):
+                    return None
+                ids.append(np.array(e.ids, np.uint32))
+                sizes.append(size)
         return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(sizes)))), pa.array(np.concatenate(ids)))
 
     def _each(self, words: pa.Array) -> pa.Array:
@@ -191,11 +193,13 @@ def _reader(folder: str):
 
 
 def read_back(index: DataFrame, folder: str) -> DataFrame:
-    """Per document, from its file: its place in the corpus and the checksum of its ids."""
+    """Per document, from its file: its place in the corpus and the checksum of its ids.  A task for each file: the index rows
+    are few bytes but stand for much to read."""
+    count = max(1, index.select("file").distinct().count())
     files = index.groupBy("file").agg(F.min(F.struct("doc_id")).alias("first"), F.sum("n_tokens").alias("total"))
     before = Window.orderBy("first", "file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    found = index.repartition("file").sortWithinPartitions("file", "start").mapInArrow(_reader(f"{folder}/ids"), f"{INDEX}, ids_crc32 long")
+    found = index.repartition(count, "file").sortWithinPartitions("file", "start").mapInArrow(_reader(f"{folder}/ids"), f"{INDEX}, ids_crc32 long")
     return found.join(bases, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
