@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from spanforge.plans import checks_text
+
+QUERIES: dict = dict(checks_text.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(checks_text.ORACLE_SQL)
