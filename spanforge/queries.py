@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanforge.plans import checks_text
+from spanforge.plans import checks_boxes, checks_jobs, checks_text
 
-QUERIES: dict = dict(checks_text.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(checks_text.ORACLE_SQL)
+QUERIES: dict = checks_text.QUERIES | checks_boxes.QUERIES | checks_jobs.QUERIES
+ORACLE_SQL: dict[str, str] = checks_text.ORACLE_SQL | checks_boxes.ORACLE_SQL | checks_jobs.ORACLE_SQL
