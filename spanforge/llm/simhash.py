@@ -32,11 +32,11 @@ SEED = 42
 PARTS = 3
 STEP_BYTES = 2 << 20
 #: Pairs of an anchor that are compared at once, and beyond which its links are thinned to a forest.
-PAIRS, DENSE = 1 << 21, 1 << 14
+PAIRS, DENSE = 1 << 21, 1 << 8
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: For similarity instead of a bit threshold: fingerprints of a text, bits of all that may differ at an estimated similarity
 #: of 0.8 (48 of 320 are expected there), and bits of the first that may differ for a pair to be looked at.
-MANY, MANY_BITS, FIRST_BITS = 5, 54, 20
+MANY, MANY_BITS, FIRST_BITS = 5, 54, 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
@@ -223,12 +223,12 @@ def links(prints: DataFrame, *, max_bits: int = 4) -> DataFrame:
 
 
 def similar(nodes: DataFrame) -> DataFrame:
-    """(a, b): texts (``text_key`` with ``MANY`` fingerprints) of an estimated similarity of 0.8 or more."""
+    """(a, b): texts (``node`` with ``MANY`` fingerprints) of an estimated similarity of 0.8 or more."""
     names = _names(MANY)
-    placed = anchors(nodes, PARTS, names, ["text_key", "print"]).repartition("anchor").sortWithinPartitions("anchor")
-    pairs = placed.mapInArrow(_map_links(FIRST_BITS, list(range(4, FIRST_BITS + 1, 4)), ("text_key", "print")), "a long, b long").distinct()
+    placed = anchors(nodes, PARTS, names, ["node", "print"]).repartition("anchor").sortWithinPartitions("anchor")
+    pairs = placed.mapInArrow(_map_links(FIRST_BITS, [10, FIRST_BITS], ("node", "print")), "a long, b long").distinct()
     for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("text_key").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
     return pairs.where(apart <= MANY_BITS).select("a", "b")
 
@@ -248,9 +248,12 @@ def groups(df: DataFrame, *, words: int = 5) -> DataFrame:
     """doc_id, text_key and root (of its group) of each document, by similarity: ``MANY`` fingerprints of a text have
     3 * ``MANY`` segments, and a pair is looked at if one of them differs in a bit or none."""
     prints = store.written(fingerprints(df, words=words, count=MANY), "prints")
-    nodes = store.written(prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in _names(MANY))), "nodes")
+    # Written once, so the short numbers that stand for the texts stay theirs.
+    distinct = prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in _names(MANY)))
+    nodes = store.written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = connected_components(similar(nodes))
-    return prints.join(roots, prints["text_key"] == roots["node"], "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+    placed = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
+    return prints.join(placed, "text_key").select("doc_id", "text_key", "root")
 
 
 def dedup(df: DataFrame, *, words: int = 5) -> DataFrame:
