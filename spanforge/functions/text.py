@@ -75,8 +75,15 @@ def masked(kind: Column, text: Column) -> Column:
 
 def round1(x: Column) -> Column:
     """One decimal, by the exact value of the double and halves to even."""
-    exact = F.format_string("%.40f", x).cast("decimal(38,30)")
-    return F.bround(exact, 1).cast("double")
+    whole = F.floor(x).cast("double")
+    part = x - whole
+    # 20 times the fraction in two exact terms, so its distance to the next odd number (a half) has the right sign.
+    high = F.floor(part * (1 << 26)) / (1 << 26)
+    high, low = high * 20, (part - high) * 20
+    tenths = F.floor((high + low) / 2).cast("double")
+    over = (high - (2 * tenths + 1)) + low
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise((whole * 10 + tenths) % 2)
+    return (whole * 10 + tenths + F.abs(up)) / 10
 
 
 def slice_is(text: Column, start: Column, end: Column, part: Column) -> Column:

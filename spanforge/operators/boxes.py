@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,8 +180,6 @@ def match_blocks(entities: DataFrame, blocks: DataFrame, *, page: list[str]) ->
 
 def similarity(a: Column, b: Column) -> Column:
     """Ratio of matching blocks of characters, by Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])

@@ -151,7 +151,7 @@ Detector = Callable[[list[str], list[list[str]]], list[dict[str, list[str]]]]
 def find_with(df: DataFrame, make: Callable[[], Detector], types: list[str], *, text_col: str = "text", out_col: str = "entities", attempts: int = 3) -> DataFrame:
     """Adds what a model says, by batches: ``make`` builds it once in each worker; a batch that fails ``attempts`` times gives
     no entities and ``recognition_failed``."""
-    schema = T.StructType.fromJson(df.schema.jsonValue()).add(out_col, "map<string,array<string>>").add("recognition_failed", "boolean")
+    schema = T.StructType.fromJson(df.schema.jsonValue()).add(out_col, T.MapType(T.StringType(), T.ArrayType(T.StringType()))).add("recognition_failed", T.BooleanType())
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,7 @@ Parser = Callable[[bytes], list[str]]
 
 def parse_with(df: DataFrame, make: Callable[[], Parser], *, content_col: str = "content") -> DataFrame:
     """Adds ``pages`` from a parser of bytes (PDF, old Word files, readers of page images); a file it fails on has none."""
-    schema = T.StructType.fromJson(df.schema.jsonValue()).add("pages", "array<string>")
+    schema = T.StructType.fromJson(df.schema.jsonValue()).add("pages", T.ArrayType(T.StringType()))
     place = df.columns.index(content_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
