@@ -25,20 +25,25 @@ MAX_CHARS = 500_000
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern of a type; ``validator`` gets the matched text and says whether it counts."""
+    """A pattern of a type; ``validator`` gets the matched text and says whether it counts.  ``needs`` is a text that every
+    match contains and ``digits`` says that it contains a digit: texts without skip the pattern."""
 
     type: str
     pattern: str
     priority: int = 5
     ignore_case: bool = True
     validator: Callable[[Column], Column] | None = None
+    needs: str | None = None
+    digits: bool = False
 
     @property
     def java(self) -> str:
         return ("(?iU)" if self.ignore_case else "(?U)") + self.pattern
 
 
-BUILTIN = [Rule(*row) for row in V.BUILTIN_PATTERNS]
+_NEEDS = {"EMAIL": "@", "CASE_NUMBER": "号", "URL": "://"}
+_DIGITS = {"ID_CARD", "PHONE", "BANK_CARD", "CASE_NUMBER", "DATE", "IP_ADDRESS"}
+BUILTIN = [Rule(*row, needs=_NEEDS.get(row[0]), digits=row[0] in _DIGITS) for row in V.BUILTIN_PATTERNS]
 OCR_RULES = [Rule(kind, pattern, 0, False) for kind, pattern in V.OCR_PATTERNS]
 
 
@@ -72,8 +77,13 @@ def _of_rule(text: Column, rule: Rule) -> Column:
     if rule.validator:
         found = F.filter(found, lambda m: rule.validator(m["text"]))
     spans = F.transform(found, lambda m: _span(m, F.lit(rule.type), 0.99, "regex", rule.priority)).cast(SPANS)
-    # Texts without a hit skip the offsets.
-    return F.when(text.rlike(rule.java), spans).otherwise(F.array().cast(SPANS))
+    # Texts without a hit skip the offsets, and those that cannot have one the pattern.
+    there = text.rlike(rule.java)
+    if rule.digits:
+        there = text.rlike(r"\p{Nd}") & there
+    if rule.needs:
+        there = F.contains(text, F.lit(rule.needs)) & there
+    return F.when(there, spans).otherwise(F.array().cast(SPANS))
 
 
 def first_of_equal(spans: Column) -> Column:
