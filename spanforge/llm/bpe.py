@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import words as W
+from spanforge.llm.memory import lean, release
 
 BLOCK_BYTES = 16 << 20
 #: A key is (partition, block in it, place in the block).
@@ -199,6 +200,8 @@ def _reassemble(ranks, outputs: Sequence[str]):
                         found[name].append(bytes(body[byte_at[k] : byte_at[k + 1]]))
                     else:
                         found[name].append(hashlib.sha256(body[byte_at[k] : byte_at[k + 1]]).hexdigest())
+        del code, places, lists, where, flat, at, sizes
+        release()
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.binary()}
         return pa.table([docs, *(pa.array(found[k], kinds.get(k, pa.string())) for k in outputs)], names)
 
@@ -212,9 +215,9 @@ def encode(df: DataFrame, rank_file: str, *, id_col: str = "doc_id", text_col: s
     spark = df.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_file))
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = texts.mapInArrow(_explode(block_bytes), "key long, word binary")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(ranks), PACKED)
-    positions = texts.mapInArrow(_positions(block_bytes), POSITIONS)
+    words = texts.mapInArrow(lean(_explode(block_bytes)), "key long, word binary")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_encode(ranks)), PACKED)
+    positions = texts.mapInArrow(lean(_positions(block_bytes)), POSITIONS)
     schema = ", ".join(["doc_id long", *(f"{k} {KINDS[k]}" for k in outputs)])
     return positions.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble(ranks, outputs), schema)
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanforge.llm import words as W
+from spanforge.llm.memory import lean
 from spanforge.llm.chars import folded, points
 
 RATE = 0.1
@@ -237,7 +238,7 @@ def _matches(sent):
 def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE) -> DataFrame:
     """A row for each document and item found in it, with the best stretch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [rows.mapInArrow(_matches(sent), MATCHES) for sent in blocks(benchmark, rate)]
+    found = [rows.mapInArrow(lean(_matches(sent)), MATCHES) for sent in blocks(benchmark, rate)]
     out = docs.sparkSession.createDataFrame([], MATCHES)
     for k, part in enumerate(found):
         out = out.unionByName(part) if k else part
@@ -259,7 +260,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE)
     """``docs`` without the documents in which an item is found; no row moves."""
     schema, place = T.StructType.fromJson(docs.schema.jsonValue()), docs.columns.index("text")
     for sent in blocks(benchmark, rate):
-        docs = docs.mapInArrow(_clean(sent, place), schema)
+        docs = docs.mapInArrow(lean(_clean(sent, place)), schema)
     return docs
 
 

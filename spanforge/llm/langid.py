@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import words as W
+from spanforge.llm.memory import lean
 from spanforge.llm.chars import folded, points
 
 MAX_N, BUCKETS = 3, 1 << 14
@@ -116,7 +117,7 @@ def train(df: DataFrame, usable: Column, *, per_lang: int = PER_LANG) -> Model |
         part = F.when(F.col("lang") == lang, min(1.0, 1.5 * per_lang / n)).otherwise(part)
     pick = F.xxhash64(F.lit("language"), F.col("doc_id"))
     picked = rows.where(F.pmod(pick, F.lit(1 << 20)) < part * (1 << 20)).select(pick.alias("pick"), "lang", "text")
-    taken = picked.mapInArrow(_features, "pick long, lang string, bits binary").orderBy("pick", "lang", "bits").limit(2 * per_lang * len(counts)).toArrow()
+    taken = picked.mapInArrow(lean(_features), "pick long, lang string, bits binary").orderBy("pick", "lang", "bits").limit(2 * per_lang * len(counts)).toArrow()
     left, keep = dict.fromkeys(counts, per_lang), []
     langs = taken.column("lang").to_pylist()
     for k, lang in enumerate(langs):
@@ -128,12 +129,12 @@ def train(df: DataFrame, usable: Column, *, per_lang: int = PER_LANG) -> Model |
     return fit(flags, [langs[k] for k in keep])
 
 
-def _predict(model):
+def _predict(model, place: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs: list[str] = []
             scores = [np.zeros(0)]
-            for flags, has in batches_of(batch.column(0)):
+            for flags, has in batches_of(batch.column(place)):
                 if model.value is None:
                     langs += [UNKNOWN] * len(has)
                     scores.append(np.zeros(len(has)))
@@ -141,7 +142,7 @@ def _predict(model):
                 margin = model.value.margins(flags)
                 langs += [model.value.langs[k] if ok else UNKNOWN for k, ok in zip(margin.argmax(1), has)]
                 scores.append(np.where(has, np.clip((margin.max(1) + 1) / 2, 0, 1), 0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*batch.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*keep, "lang_pred", "score"])
 
     return run
 
@@ -152,7 +153,9 @@ def predict(df: DataFrame, model: Model | None, *, keep: list[str]) -> DataFrame
 
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.select(F.col("text").cast("string").alias("_text"), *keep).mapInArrow(_predict(sent), schema)
+    # A text that is kept is sent once.
+    rows = df.select(*keep) if "text" in keep else df.select(*keep, F.col("text").cast("string").alias("_text"))
+    return rows.mapInArrow(lean(_predict(sent, keep.index("text") if "text" in keep else len(keep), keep)), schema)
 
 
 def held_out() -> Column:

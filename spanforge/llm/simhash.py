@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from spanforge.llm import store
 from spanforge.llm import words as W
+from spanforge.llm.memory import lean
 from spanforge.llm.components import connected_components
 
 SEED = 42
@@ -101,7 +102,7 @@ def fingerprints(df: DataFrame, *, words: int = 4, count: int = 1) -> DataFrame:
     """doc_id, text_key (a hash of the text that tells rows of one id apart) and print (the 64 bits as a long), print1, ..."""
     text = F.col("text").cast("string")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    return rows.mapInArrow(_map_prints(words, count), ", ".join(["doc_id long", "text_key long", *(f"{c} long" for c in _names(count))]))
+    return rows.mapInArrow(lean(_map_prints(words, count)), ", ".join(["doc_id long", "text_key long", *(f"{c} long" for c in _names(count))]))
 
 
 CODE = 15
@@ -219,14 +220,14 @@ def _map_links(max_bits: int, levels: list[int], names: tuple[str, str]):
 def links(prints: DataFrame, *, max_bits: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough to connect all that link."""
     placed = anchors(prints, max_bits, ["print"], ["print"]).repartition("anchor").sortWithinPartitions("anchor")
-    return placed.mapInArrow(_map_links(max_bits, [max_bits], ("print", "print")), "a long, b long").distinct()
+    return placed.mapInArrow(lean(_map_links(max_bits, [max_bits], ("print", "print"))), "a long, b long").distinct()
 
 
 def similar(nodes: DataFrame) -> DataFrame:
     """(a, b): texts (``node`` with ``MANY`` fingerprints) of an estimated similarity of 0.8 or more."""
     names = _names(MANY)
     placed = anchors(nodes, PARTS, names, ["node", "print"]).repartition("anchor").sortWithinPartitions("anchor")
-    pairs = placed.mapInArrow(_map_links(FIRST_BITS, [10, FIRST_BITS], ("node", "print")), "a long, b long").distinct()
+    pairs = placed.mapInArrow(lean(_map_links(FIRST_BITS, [10, FIRST_BITS], ("node", "print"))), "a long, b long").distinct()
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
     apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
