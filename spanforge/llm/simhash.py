@@ -35,21 +35,16 @@ STEP_BYTES = 2 << 20
 #: Pairs of an anchor that are compared at once, and beyond which its links are thinned to a forest.
 PAIRS, DENSE = 1 << 21, 1 << 8
 MIX = np.uint64(0xD6E8FEB86659FD93)
-#: For similarity instead of a bit threshold: fingerprints of a text, bits of all that may differ at an estimated similarity
-#: of 0.8 (48 of 320 are expected there), and bits of the first that may differ for a pair to be looked at.
-MANY, MANY_BITS, FIRST_BITS = 5, 54, 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def _prints(body: np.ndarray, offsets: np.ndarray, size: int, count: int = 1) -> np.ndarray:
-    """The fingerprints of each text (texts x count); after the first they are of hashes mixed from the shingle's."""
+def shingles(body: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles in their order, how many each text has)."""
     import xxhash
 
-    n = len(offsets) - 1
-    out = np.zeros((n, count), np.uint64)
     body = _LOWER[body]
     blank = _BLANK[body]
     first = np.zeros(len(body), bool)
@@ -59,7 +54,7 @@ def _prints(body: np.ndarray, offsets: np.ndarray, size: int, count: int = 1) ->
     # One space after each word, none elsewhere: a shingle is then a slice.
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     shift = np.arange(len(starts)) + 1
     keep = np.cumsum(~blank)
     tidy = np.full(keep[-1] + len(starts), 32, np.uint8)
@@ -68,41 +63,41 @@ def _prints(body: np.ndarray, offsets: np.ndarray, size: int, count: int = 1) ->
     words = np.diff(np.searchsorted(np.flatnonzero(begin), offsets))
     at = np.cumsum(words) - words
     # Shingle i of a text covers words i to i + size - 1; a shorter text is one shingle.
-    shingles = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
-    word = np.repeat(at, shingles) + np.arange(shingles.sum()) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    last = np.minimum(word + size, np.repeat(at + words, shingles)) - 1
+    counts = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
+    word = np.repeat(at, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    last = np.minimum(word + size, np.repeat(at + words, counts)) - 1
     data, digest = tidy.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts[word].tolist(), ends[last].tolist())), np.uint64, len(word))
-    full = np.flatnonzero(shingles)
-    for k in range(count):
-        if k:
-            hashes = (hashes ^ hashes >> np.uint64(29)) * MIX
+    return np.fromiter((digest(data[a:b], SEED) for a, b in zip(starts[word].tolist(), ends[last].tolist())), np.uint64, len(word)), counts
+
+
+def _prints(body: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """The fingerprint of each text."""
+    hashes, counts = shingles(body, offsets, size)
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    full = np.flatnonzero(counts)
+    if len(full):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
-        out[full, k] = np.packbits(sums * 2 > shingles[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        sums = np.add.reduceat(bits, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(sums * 2 > counts[full, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def _map_prints(size: int, count: int):
+def _map_prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = W.buffers(batch.column(1))
-            found = [_prints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, count) for a, b in W.steps(offsets, STEP_BYTES)]
-            prints = np.concatenate([np.zeros((0, count), np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(count))], ["doc_id", "text_key", *_names(count)])
+            found = [_prints(body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size) for a, b in W.steps(offsets, STEP_BYTES)]
+            prints = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], ["doc_id", "text_key", "print"])
 
     return run
 
 
-def _names(count: int) -> list[str]:
-    return ["print", *(f"print{k}" for k in range(1, count))]
-
-
-def fingerprints(df: DataFrame, *, words: int = 4, count: int = 1) -> DataFrame:
-    """doc_id, text_key (a hash of the text that tells rows of one id apart) and print (the 64 bits as a long), print1, ..."""
+def fingerprints(df: DataFrame, *, words: int = 4) -> DataFrame:
+    """doc_id, text_key (a hash of the text that tells rows of one id apart) and print (the 64 bits as a long)."""
     text = F.col("text").cast("string")
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    return rows.mapInArrow(lean(_map_prints(words, count)), ", ".join(["doc_id long", "text_key long", *(f"{c} long" for c in _names(count))]))
+    return rows.mapInArrow(lean(_map_prints(words)), "doc_id long, text_key long, print long")
 
 
 CODE = 15
@@ -223,17 +218,6 @@ def links(prints: DataFrame, *, max_bits: int = 4) -> DataFrame:
     return placed.mapInArrow(lean(_map_links(max_bits, [max_bits], ("print", "print"))), "a long, b long").distinct()
 
 
-def similar(nodes: DataFrame) -> DataFrame:
-    """(a, b): texts (``node`` with ``MANY`` fingerprints) of an estimated similarity of 0.8 or more."""
-    names = _names(MANY)
-    placed = anchors(nodes, PARTS, names, ["node", "print"]).repartition("anchor").sortWithinPartitions("anchor")
-    pairs = placed.mapInArrow(lean(_map_links(FIRST_BITS, [10, FIRST_BITS], ("node", "print"))), "a long, b long").distinct()
-    for side in "ab":
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)), side)
-    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
-    return pairs.where(apart <= MANY_BITS).select("a", "b")
-
-
 def components(df: DataFrame, *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, print and component_id (the smallest doc_id reachable) of each document."""
     prints = store.written(fingerprints(df, words=words), "prints")
@@ -245,22 +229,13 @@ def components(df: DataFrame, *, words: int = 4, max_bits: int = 4) -> DataFrame
     return prints.join(of_print, "print").select("doc_id", "text_key", "print", "root", "component_id")
 
 
-def groups(df: DataFrame, *, words: int = 5) -> DataFrame:
-    """doc_id, text_key and root (of its group) of each document, by similarity: ``MANY`` fingerprints of a text have
-    3 * ``MANY`` segments, and a pair is looked at if one of them differs in a bit or none."""
-    prints = store.written(fingerprints(df, words=words, count=MANY), "prints")
-    # Written once, so the short numbers that stand for the texts stay theirs.
-    distinct = prints.groupBy("text_key").agg(*(F.first(c).alias(c) for c in _names(MANY)))
-    nodes = store.written(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = connected_components(similar(nodes))
-    placed = nodes.join(roots, "node", "left").select("text_key", F.coalesce("root", "node").alias("root"))
-    return prints.join(placed, "text_key").select("doc_id", "text_key", "root")
-
-
 def dedup(df: DataFrame, *, words: int = 5) -> DataFrame:
-    """One document of each group: that with the smallest id (a null id is the largest); rows that repeat it count as one."""
+    """One document of each group of near copies: that with the smallest id (a null id is the largest); rows that repeat it
+    count as one."""
+    from spanforge.llm import nearcopies
+
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = groups(df, words=words).groupBy("root").agg(F.min(last).alias("kept")).select(F.col("kept.text_key").alias("_key"), F.col("kept.doc_id").alias("_id"))
+    kept = nearcopies.groups(df, words=words).groupBy("root").agg(F.min(last).alias("kept")).select(F.col("kept.text_key").alias("_key"), F.col("kept.doc_id").alias("_id"))
     marked = df.withColumns({"_key_": F.xxhash64(F.col("text").cast("string")), "_id_": F.col("doc_id").cast("long")})
     same = (F.col("_key_") == F.col("_key")) & F.col("_id_").eqNullSafe(F.col("_id"))
     return marked.join(kept, same, "left_semi").dropDuplicates(["_key_", "_id_"]).select(*df.columns)

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from spanforge.llm import ann, binary, bpe, chat, components, decontam, langid, secrets, simhash, store, substrings, suffix, warc, words
+from spanforge.llm import ann, binary, bpe, chat, components, decontam, langid, nearcopies, secrets, simhash, store, substrings, suffix, warc, words
 
 DATA = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -248,6 +248,19 @@ def test_dedup_keeps_one_of_each_group(spark):
     kept = sorted(-1 if r.doc_id is None else r.doc_id for r in simhash.dedup(table).collect())
     assert kept == [-1, *range(30), 300]
 
+def test_dense_group_keeps_components():
+    """A and B hang on a seed X that is like neither of them; their own link must not be thinned away."""
+    rng = np.random.default_rng(6)
+    base = np.arange(300, dtype=np.uint64) * np.uint64(7919)
+    fresh = lambda n: rng.integers(1 << 40, 1 << 62, n).astype(np.uint64)
+    x = np.sort(np.concatenate([base[:230], fresh(70)]))
+    members = [x] + [np.sort(np.concatenate([np.delete(base, k), fresh(1)])) for k in range(60)] + [np.sort(fresh(300)) for _ in range(60)]
+    sizes = np.array([len(m) for m in members])
+    assert not any(nearcopies.alike(x, m) for m in members[1:])
+    links = list(nearcopies.forest(members.__getitem__, sizes))
+    assert len(links) == 59 and {k for link in links for k in link} == set(range(1, 61))
+    assert all(nearcopies.alike(members[a], members[b]) for a, b in links)
+
 
 def test_components_of_chains(spark):
     rows = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7)]
