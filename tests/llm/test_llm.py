@@ -248,6 +248,11 @@ def test_dedup_keeps_one_of_each_group(spark):
     kept = sorted(-1 if r.doc_id is None else r.doc_id for r in simhash.dedup(table).collect())
     assert kept == [-1, *range(30), 300]
 
+def _sets_of(text, size=5):
+    found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(found[i : i + size]) for i in range(max(1, len(found) - size + 1))} if found else set()
+
+
 def test_dense_group_keeps_components():
     """A and B hang on a seed X that is like neither of them; their own link must not be thinned away."""
     rng = np.random.default_rng(6)
@@ -262,6 +267,32 @@ def test_dense_group_keeps_components():
     assert all(nearcopies.alike(members[a], members[b]) for a, b in links)
 
 
+def test_near_copies_against_brute_force(spark, docs):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    texts = [r.text for r in docs.collect()]
+    for n in (9, 20, 60, 200):
+        for _ in range(25):
+            one = [word() for _ in range(n)]
+            texts.append(" ".join(one))
+            for _ in range(2):  # around the limit, in both directions
+                texts.append(" ".join(w if rnd.random() > rnd.choice([0.01, 0.02, 0.03, 0.05]) else word() for w in one))
+            texts.append(" ".join([*one, *(word() for _ in range(n // 5))]))
+    line = [word() for _ in range(14)]  # repeats of one line count once
+    texts += [" ".join([word() for _ in range(200)] + line * 30) for _ in range(4)]
+    held = [_sets_of(t) for t in texts]
+    group = list(range(len(texts)))
+    root = lambda k: k if group[k] == k else root(group[k])
+    for b in range(len(texts)):
+        for a in range(b):
+            n, m = len(held[a]), len(held[b])
+            if 5 * min(n, m) >= 4 * max(n, m) and 9 * len(held[a] & held[b]) >= 4 * (n + m):
+                group[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted({root(k) for k in range(len(texts))})
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.dedup(table).collect()) == want
+
+
 def test_components_of_chains(spark):
     rows = [(k, k + 1) for k in range(60)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
