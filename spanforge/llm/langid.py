@@ -10,7 +10,7 @@ Training uses at most ``PER_LANG`` texts a language (``per_lang``), picked by a
 driver: a fixed number of bytes per text.  Every text is scored whole, with the same model for all.
 
 Null texts and texts without letters give ``und`` and score 0; so does every text if there is nothing to learn from.  Languages
-that are null are not learned from; rows with equal or null ids keep their own predictions; other columns are not read.
+that are null are not learned from; with a single language there is nothing to tell apart and every text with letters is of it; rows with equal or null ids keep their own predictions; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ MAX_N, BUCKETS = 3, 1 << 14
 PER_LANG, LANDMARKS, RIDGE = 400, 96, 1e-3
 STEP_BYTES, STEP_ROWS = 1 << 20, 256
 UNKNOWN = "und"
+#: Score under which a text is of no learned language (a margin of -0.08).  Held-out documents at sf0.1 that fall below: 12 of
+#: 3,358, of 4 to 154 characters; texts of other languages, numbers, hexadecimal and base64 junk lie at 0.45 or less.
+LEAST = 0.46
 
 
 def presence(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -311,6 +311,26 @@ def test_language_on_held_out_documents(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, None, keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    import base64
+
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(1)
+    junk = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita",
+        "De burgemeester van de stad heeft gisteren bekendgemaakt dat het nieuwe ziekenhuis volgend jaar geopend zal worden",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由在尊严和权利上一律平等",
+        base64.b64encode(rnd.randbytes(600)).decode(), rnd.randbytes(300).hex(), " ".join(str(rnd.randrange(10**6)) for _ in range(50)) + " x",
+    ]
+    rows = spark.createDataFrame([(10**6 + k, t, None, "junk", len(t)) for k, t in enumerate(junk)], table.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, table.unionByName(rows), "").select("doc_id").collect()}
+    assert not {k for k in kept if k >= 10**6}
+    assert len(kept) >= 0.99 * table.count()
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(1500, 8))
