@@ -365,6 +365,16 @@ def test_chat_reads_back_what_was_written(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_loss_is_read_from_the_examples(spark):
+    rows = [(1, 0, "user", "a<s>"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d</s>"), (2, 0, "user", "e")]
+    turns = chat.segments(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert {r.conv_id: r.loss_chars for r in chat.read_back(turns).collect()} == {1: 6, 2: 0}
+    last = F.col("turn") == 3
+    for wrong in ({"segment_start": F.when(last, 0).otherwise(F.col("segment_start"))}, {"target": F.col("target") & ~last}):
+        with pytest.raises(Exception, match="does not fit"):
+            chat.read_back(turns.withColumns(wrong)).collect()
+
+
 def test_token_files(spark, docs, odd):
     from tokenizers import Tokenizer
 
