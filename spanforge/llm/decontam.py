@@ -139,28 +139,29 @@ class Items:
 
     def align(self, cp: np.ndarray, at: np.ndarray, regions: np.ndarray):
         """(item, text, edits, start, end) of regions whose best alignment inside one text keeps the budget."""
+        item, low, wide = regions.T
+        # Every text that a region overlaps, if it is long enough to hold the item.
+        first = np.searchsorted(at, np.clip(low, 0, len(cp) - 1), "right") - 1
+        last = np.searchsorted(at, np.clip(low + wide + self.size[item], 0, len(cp) - 1), "right") - 1
+        chars = np.diff(at)
         out = []
         for a in range(0, len(regions), 256):
-            out += self._align(cp, at, regions[a : a + 256])
+            n = (last - first + 1)[a : a + 256]
+            pick = np.repeat(np.arange(a, a + len(n)), n)
+            text = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a : a + 256], n)
+            able = chars[text] >= (self.size - self.budget)[item[pick]]
+            pick, text = pick[able], text[able]
+            for k in range(0, len(pick), 512):
+                out += self._align(cp, at, regions[pick[k : k + 512]], text[k : k + 512])
         return out
 
-    def _align(self, cp, at, regions):
+    def _align(self, cp, at, regions, text):
         item, low, wide = regions.T
         size, width = self.size[item], int(wide.max())
         longest = int(size.max())
         pattern = np.full((len(item), longest), 0xFFFFFFFF, np.uint32)
         for r, i in enumerate(item):
             pattern[r, : self.size[i]] = self.texts[i]
-        # The text that holds the middle of the region; other texts' characters match nothing.
-        middle = np.clip(low + wide // 2 + size // 2, 0, len(cp) - 1)
-        text = np.searchsorted(at, middle, "right") - 1
-        rows = [(r, text[r]) for r in range(len(item))]
-        for r in range(len(item)):
-            for other in (np.searchsorted(at, max(low[r], 0), "right") - 1, np.searchsorted(at, min(low[r] + wide[r] + size[r], len(cp) - 1), "right") - 1):
-                if other != text[r]:
-                    rows.append((r, other))
-        pick, text = np.array(rows).T
-        item, low, size, pattern = item[pick], low[pick], size[pick], pattern[pick]
         begin, stop = at[text], at[text + 1]
         column = np.arange(width)
         # A cell is its cost and, below it, the start of its stretch; the least cell is the best one.

@@ -101,6 +101,18 @@ def test_decontamination_finds_all_within_the_budget():
         assert got == want
 
 
+def test_short_documents_beside_a_very_long_item():
+    rnd = random.Random(9)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for long in (1000, 5000):
+        items = [made(long), made(29), made(300)]
+        for item in (1, 2):
+            texts = [made(rnd.randint(0, 11)) + items[item] + made(rnd.randint(0, 11)) if k % 2 else made(rnd.randint(5, 60)) for k in range(60)]
+            held = decontam.Items([0, 1, 2], items, 0.1)
+            got = {(t, i) for t, i, cost, _, _ in decontam.find(held, *words.buffers(pa.array(texts))) if cost == 0}
+            assert got == {(t, item) for t in range(1, 60, 2)}
+
+
 def test_decontamination_on_tables(spark, docs, odd):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = [r.text for r in bench.collect()]
