@@ -171,3 +171,11 @@ def test_names(spark):
     assert sum(len(v) for v in V.ALIASES.values()) == 89
     got = spark.range(1).select(D.type_id(F.lit("甲方")).alias("a"), D.type_id(F.lit("my type")).alias("b"), D.type_name(F.lit("PHONE")).alias("c")).first()
     assert tuple(got) == ("COMPANY", "MY TYPE", "电话号码")
+
+
+def test_whole_texts_are_searched(spark):
+    long = texts(spark, "x " * 250_000 + "a@b.com Acme")
+    assert spans_of(D.find_patterns(long, types=["EMAIL"])) == [[(500_000, 500_007, "EMAIL")]]
+    assert spans_of(D.find_terms(long, {"ORG": ["Acme"]})) == [[(500_008, 500_012, "ORG")]]
+    own = long.withColumn("e", F.create_map(F.lit("ORG"), F.array(F.lit("Acme"))))
+    assert spans_of(D.find_entities(own, "e")) == [[(500_008, 500_012, "ORG")]]
