@@ -326,3 +326,37 @@ def catalog_merge(spark, d):
     stored = C.updated(base.where("id = 'PERSON'"), "PERSON", {"enabled": False})
     made = C.created(base.limit(0), {"id": "CUSTOM_X"})
     return C.merged(base, stored.unionByName(made)).select("id", "enabled", F.col("order").cast("long").alias("position"))
+
+
+#: The queries above over all built-in rules.  Boundaries and classes are Unicode here and ASCII in DuckDB, so these have no SQL.
+EVERY = D.supported_types()
+
+
+@query()
+def spans_every_type(spark, d):
+    return flat(found(spark, d, EVERY))
+
+
+@query()
+def entity_summary_every_type(spark, d):
+    return D.entity_summary(found(spark, d, EVERY), "doc_id")
+
+
+for _mode in ("smart", "mask", "structured"):
+
+    @query()
+    def replace_every_type(spark, d, _mode=_mode):
+        return P.allocate(found(spark, d, EVERY), _mode).select("doc_id", F.explode("entity_map").alias("span_text", "replacement"))
+
+    QUERIES[f"replace_{_mode}_every_type"] = QUERIES.pop("replace_every_type")
+
+
+@query()
+def restore_every_type(spark, d):
+    return W.restore(A.anonymize(docs(spark, d), A.Options(mode="structured", types=EVERY))).select("doc_id", "restored_text")
+
+
+@query()
+def anonymize_offsets_every_type(spark, d):
+    df = A.anonymize(docs(spark, d), A.Options(mode="mask", types=EVERY, scope="offsets"))
+    return df.select("doc_id", F.col("redacted_count").alias("n_spans"))

@@ -179,3 +179,32 @@ def test_whole_texts_are_searched(spark):
     assert spans_of(D.find_terms(long, {"ORG": ["Acme"]})) == [[(500_008, 500_012, "ORG")]]
     own = long.withColumn("e", F.create_map(F.lit("ORG"), F.array(F.lit("Acme"))))
     assert spans_of(D.find_entities(own, "e")) == [[(500_008, 500_012, "ORG")]]
+
+
+def test_queries_over_every_type(spark, tmp_path):
+    from spanforge.plans import checks_text as T
+
+    rnd = random.Random(2)
+    parts = ["a@b.com", "1.2.3.4", "13812345678", "2024年1月2日", "2024-01-02", "(2024)京01民初123号", "京A12345", "4000123412341234", "￥1,234.50元", "https://x.y/z", "110101199001011234", " ", "，", "字", "x"]
+    rows = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(12)) for _ in range(60)]
+    texts(spark, *rows).write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for n, t in enumerate(rows):
+        first, upto = {}, 0
+        for kind in D.supported_types():
+            for r in D.BUILTIN:
+                if r.type == kind:
+                    for m in re.finditer(r.pattern, t, re.IGNORECASE):
+                        first.setdefault(m.span(), (m.start(), -r.priority, len(first), m.end(), kind))
+        for start, _, _, end, kind in sorted(first.values()):
+            if start >= upto:
+                want.append((n, kind, start, t[start:end]))
+                upto = end
+    got = sorted(map(tuple, T.spans_every_type(spark, str(tmp_path)).collect()))
+    assert got == sorted(want) and {k for _, k, *_ in got} == set(D.supported_types())
+    assert sum(r.n for r in T.entity_summary_every_type(spark, str(tmp_path)).collect()) == len(want)
+    assert [r.restored_text for r in T.restore_every_type(spark, str(tmp_path)).orderBy("doc_id").collect()] == rows
+    assert sum(r.n_spans for r in T.anonymize_offsets_every_type(spark, str(tmp_path)).collect()) == len(want)
+    for mode in ("smart", "mask", "structured"):
+        made = T.QUERIES[f"replace_{mode}_every_type"](spark, str(tmp_path)).collect()
+        assert {(r.doc_id, r.span_text) for r in made} == {(n, x) for n, _, _, x in want}
