@@ -130,6 +130,14 @@ def match_blocks(spark, d):
     return found.join(blocks.select("doc_id", F.col("text").alias("block_text")), "doc_id").select("doc_id", "block_text")
 
 
+@query("SELECT doc_id, text AS block_text FROM documents WHERE contains(text, 'the')")
+def match_blocks_whole(spark, d):
+    """As ``match_blocks``, each document's whole text a block."""
+    blocks = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").withColumns({"pos": F.lit(0)} | {c: F.lit(100) for c in ("left", "top", "width", "height")})
+    found_in = O.match_blocks(blocks.select("doc_id", F.lit(1).alias("entity_id"), F.lit("the").alias("text")), blocks, page=["doc_id"])
+    return found_in.join(blocks.select("doc_id", F.col("text").alias("block_text")), "doc_id").select("doc_id", "block_text")
+
+
 @query("SELECT doc_id, m AS card FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[3-6]\\d{15,18}', 0)) AS m FROM documents)")
 def ocr_rule_boxes(spark, d):
     blocks = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(1000).alias("width"), F.lit(20).alias("height"))
