@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PIECE = "array<struct<start:int,end:int,text:string>>"
+#: Items of a fold whose results are gathered together.
+CHUNK = 256
 
 
 def let(value: Column, body) -> Column:
@@ -13,19 +15,37 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(items: Column, state: Column, step, emit, kind: str) -> Column:
+    """What ``emit(state, item)`` (an array of ``kind``) gives for each item in turn, as one array; ``step`` is the next state.
+
+    Results are gathered by ``CHUNK`` items: a fold that appends to one array would copy it whole for each item.
+    """
+    rows = f"array<{kind}>"
+
+    def one(s: Column, x: Column) -> Column:
+        return F.struct(step(s["state"], x).alias("state"), F.concat(s["out"], emit(s["state"], x)).alias("out"))
+
+    def chunk(all_: Column, s: Column, k: Column) -> Column:
+        zero = F.struct(s["state"].alias("state"), F.array().cast(rows).alias("out"))
+        done = F.aggregate(F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)), zero, one)
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    def whole(all_: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / CHUNK).cast("int"))
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<{rows}>").alias("out"))
+        return F.flatten(F.aggregate(chunks, zero, lambda s, k: chunk(all_, s, k), lambda s: s["out"]))
+
+    return let(items, whole)
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, text) of the matches that ``finditer`` gives; offsets are code points, ends exclusive."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("text")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(PIECE).alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["text"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["text"].alias("text")))).alias("out"))
-
-    return F.when(text.isNull(), F.array().cast(PIECE)).otherwise(F.aggregate(pairs, zero, step, lambda s: s["out"]))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("text")))
+    piece = lambda at, p: F.array(F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["text"].alias("text")))
+    found = scan(pairs, F.lit(0), lambda at, p: at + p["gap"] + p["size"], piece, "struct<start:int,end:int,text:string>")
+    return F.when(text.isNull(), F.array().cast(PIECE)).otherwise(found)
 
 
 def quoted(text: Column) -> Column:

@@ -208,3 +208,14 @@ def test_queries_over_every_type(spark, tmp_path):
     for mode in ("smart", "mask", "structured"):
         made = T.QUERIES[f"replace_{mode}_every_type"](spark, str(tmp_path)).collect()
         assert {(r.doc_id, r.span_text) for r in made} == {(n, x) for n, _, _, x in want}
+
+
+def test_many_matches_are_gathered_in_linear_time(spark):
+    import time
+
+    for n in (0, 1, 255, 256, 257, 1000):
+        found = texts(spark, "ab 12 " * n).select(X.located(F.col("text"), r"\d+").alias("m")).first().m
+        assert [(m.start, m.end, m.text) for m in found] == [(6 * k + 3, 6 * k + 5, "12") for k in range(n)]
+    began = time.perf_counter()
+    last = texts(spark, "ab 12 " * 100_000).select(F.element_at(X.located(F.col("text"), r"\d+"), -1).alias("m")).first().m
+    assert last.end == 599_999 and time.perf_counter() - began < 30
