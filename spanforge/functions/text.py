@@ -48,6 +48,34 @@ def located(text: Column, pattern: str | Column) -> Column:
     return F.when(text.isNull(), F.array().cast(PIECE)).otherwise(found)
 
 
+def sliced(text: Column, ranges: Column) -> Column:
+    """The parts of ``text`` at ``ranges`` (array of (a, b), ascending and apart); a part is cut from its chunk's stretch, as
+    cutting it from the text would read that from its beginning each time."""
+
+    def chunk(all_: Column, k: Column) -> Column:
+        own = F.slice(all_, k * CHUNK + 1, F.lit(CHUNK))
+        stretch = lambda r: F.struct(r.alias("r"), r[0]["a"].alias("at"), F.substr(text, r[0]["a"] + 1, F.element_at(r, -1)["b"] - r[0]["a"]).alias("text"))
+        return let(let(own, stretch), lambda c: F.transform(c["r"], lambda x: F.substr(c["text"], x["a"] - c["at"] + 1, x["b"] - x["a"])))
+
+    def whole(all_: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: chunk(all_, k)))
+
+    return let(ranges, lambda all_: F.when(F.size(all_) > 0, whole(all_)).otherwise(F.array().cast("array<string>")))
+
+
+def put(text: Column, spans: Column, value) -> Column:
+    """``text`` with ``value(span)`` in place of each span (start, end; ascending and apart)."""
+
+    def whole(all_: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0)), F.transform(all_, lambda s: s["end"]))
+        starts = F.concat(F.transform(all_, lambda s: s["start"]), F.array(F.length(text)))
+        gaps = sliced(text, F.zip_with(ends, starts, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+        values = F.concat(F.transform(all_, value), F.array(F.lit("")))
+        return F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, v)), "")
+
+    return let(spans, whole)
+
+
 def quoted(text: Column) -> Column:
     """A pattern that matches the text itself."""
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

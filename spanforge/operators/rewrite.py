@@ -15,11 +15,7 @@ def rewrite(df: DataFrame, *, text_col: str = "text", map_col: str = "entity_map
 
 def rewrite_spans(df: DataFrame, *, text_col: str = "text", spans_col: str = "spans", out_col: str = "redacted_text") -> DataFrame:
     """Replaces the spans themselves (sorted, not overlapping, with ``replacement``) and leaves other occurrences alone."""
-    ends = F.concat(F.array(F.lit(0)), F.transform(spans_col, lambda s: s["end"]))
-    starts = F.concat(F.transform(spans_col, lambda s: s["start"]), F.array(F.length(text_col)))
-    gaps = F.zip_with(ends, starts, lambda a, b: F.substr(F.col(text_col), a + 1, b - a))
-    values = F.concat(F.transform(spans_col, lambda s: s["replacement"]), F.array(F.lit("")))
-    return df.withColumn(out_col, F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, v)), ""))
+    return df.withColumn(out_col, X.put(F.col(text_col), F.col(spans_col), lambda s: s["replacement"]))
 
 
 def restore(df: DataFrame, *, text_col: str = "redacted_text", map_col: str = "entity_map", out_col: str = "restored_text") -> DataFrame:

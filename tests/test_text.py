@@ -219,3 +219,12 @@ def test_many_matches_are_gathered_in_linear_time(spark):
     began = time.perf_counter()
     last = texts(spark, "ab 12 " * 100_000).select(F.element_at(X.located(F.col("text"), r"\d+"), -1).alias("m")).first().m
     assert last.end == 599_999 and time.perf_counter() - began < 30
+
+
+def test_spans_are_put_in_linear_time(spark):
+    for n in (0, 1, 256, 700):
+        text = "é😀 12 " * n + "end"
+        df = texts(spark, text).withColumn("spans", F.transform(X.located(F.col("text"), r"\d+"), lambda m: m.withField("replacement", F.lit("<>"))))
+        assert W.rewrite_spans(df).first().redacted_text == text.replace("12", "<>")
+    long = texts(spark, "ab 12 " * 50_000).withColumn("spans", F.transform(X.located(F.col("text"), r"\d+"), lambda m: m.withField("replacement", F.lit("<>"))))
+    assert W.rewrite_spans(long).first().redacted_text == "ab <> " * 50_000
