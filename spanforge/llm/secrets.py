@@ -6,9 +6,9 @@ window of ``WINDOW`` characters moves along the string, the counts of its charac
 that leaves, and the Shannon entropy follows from the changed counts alone.  Windows at or over the threshold of the string's
 character class are merged to spans.  Strings on the allow list give no entropy span; base spans always stay.
 
-Whole texts are read; offsets are code points, ends exclusive.  The work on a candidate is linear in its length.  No row moves:
-the plan is one projection over the scan.  Null texts count as empty; null or repeated ``doc_id`` values keep their rows; an
-empty table gives an empty result; the input's columns named like the result's are replaced.
+Whole texts are read; offsets are code points, ends exclusive.  The work on a text is linear in its length and its matches.  No
+row moves: the plan is one projection over the scan.  Null texts count as empty; null or repeated ``doc_id`` values keep their
+rows; an empty table gives an empty result; ``scan`` replaces a column named like its own, ``masked`` leaves all others alone.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as X
+from spanforge.llm.store import free_name
+
 # Kind, pattern, group whose length counts, least length.
 BASE = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -31,25 +34,12 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 CANDIDATE = r"[A-Za-z0-9+/=_-]{24,}"
 #: Class, pattern of the whole string, least entropy in bits; the first that fits counts.
 CLASSES = [("hex", "^[0-9a-fA-F]+$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.8), ("base64", "^[A-Za-z0-9+/=_-]+$", 3.9)]
-#: Strings that are no secrets: without digits or without letters, UUIDs, paths of words, samples of documentation.
-ALLOWED = [r"^[^0-9]+$", r"^[^A-Za-z]+$", r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^/?(?:[A-Za-z]*[0-9]{0,4}[-_/=+]+)+[A-Za-z]*[0-9]{0,4}$", r"EXAMPLE|example|0123456789|abcdefghij"]
+#: Strings that are no secrets: without digits or without letters, UUIDs, paths of words, samples of documentation.  Repeated
+#: groups are possessive: the engine would go one call deeper for each round otherwise.
+ALLOWED = [r"^[^0-9]+$", r"^[^A-Za-z]+$", r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^/?(?:[A-Za-z]*+[0-9]{0,4}+[-_/=+]++)++[A-Za-z]*+[0-9]{0,4}+$", r"EXAMPLE|example|0123456789|abcdefghij"]
 PLACEHOLDER = "[SECRET]"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, value, group) of a pattern's matches."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + pair["gap"]
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
-
-    return F.aggregate(pairs, empty, step, lambda s: s["out"])
-
-
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -58,9 +48,9 @@ def _base(text: Column, rank: int) -> Column:
     if group == 0 and pattern.endswith("+"):
         # A run that is too short cannot hold a longer one: ask for the length at once and leave short runs in the gaps.
         fixed = len(pattern) - len(pattern.lstrip("AKI"))
-        found = _located(text, f"{pattern[:-1]}{{{least - fixed},}}")
+        found = X.located(text, f"{pattern[:-1]}{{{least - fixed},}}")
     else:
-        found = F.filter(_located(text, pattern), lambda m: F.length(F.regexp_extract(m["value"], pattern, group)) >= least)
+        found = F.filter(X.located(text, pattern), lambda m: F.length(F.regexp_extract(m["text"], pattern, group)) >= least)
     spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("kind"), m["end"].alias("end")))
     return F.when(text.rlike(GUARDS[kind]), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
@@ -107,8 +97,8 @@ def _entropy(text: Column) -> Column:
             found = F.when(value.rlike(pattern), bits).otherwise(found)
         return found
 
-    kept = F.filter(_located(text, CANDIDATE), lambda m: ~allowed(m["value"]))
-    spans = F.transform(kept, lambda m: F.transform(windows(m["value"], least(m["value"])), lambda w: F.struct((m["start"] + w["start"]).alias("start"), F.lit(len(BASE)).alias("kind"), (m["start"] + w["end"]).alias("end"))))
+    kept = F.filter(X.located(text, CANDIDATE), lambda m: ~allowed(m["text"]))
+    spans = F.transform(kept, lambda m: F.transform(windows(m["text"], least(m["text"])), lambda w: F.struct((m["start"] + w["start"]).alias("start"), F.lit(len(BASE)).alias("kind"), (m["start"] + w["end"]).alias("end"))))
     return F.when(text.rlike(CANDIDATE), F.flatten(spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
@@ -121,17 +111,27 @@ def scan(df: DataFrame, text_col: str = "text", out_col: str = "secret_spans") -
     return df.withColumn(out_col, F.array_sort(F.concat(*[_base(text, k) for k in range(len(BASE))], _entropy(text))))
 
 
+def runs(spans: Column) -> Column:
+    """Overlapping or touching spans (sorted by start) as one (start, end) each."""
+    kind = "struct<start:int,end:int>"
+    bounds = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    closed = F.concat(bounds, F.array(F.struct(F.lit(2**31 - 1).alias("start"), F.lit(2**31 - 1).alias("end"))))
+    apart = lambda at, s: s["start"] > at["end"]
+    step = lambda at, s: F.struct(F.when(apart(at, s), s["start"]).otherwise(at["start"]).alias("start"), F.greatest(at["end"], s["end"]).alias("end"))
+    emit = lambda at, s: F.when(apart(at, s) & (at["start"] >= 0), F.array(at)).otherwise(F.array().cast(f"array<{kind}>"))
+    return X.scan(closed, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")), step, emit, kind)
+
+
 def mask(df: DataFrame, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
     """Replaces each run of overlapping spans in ``text_col`` by ``PLACEHOLDER``."""
-    merged = F.aggregate(
-        spans_col,
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= s["start"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    ends = lambda m: F.concat(F.array(F.lit(0)), F.transform(m, lambda s: s["end"]))
-    starts = lambda m: F.concat(F.transform(m, lambda s: s["start"]), F.array(F.length(text_col)))
-    kept = lambda m: F.array_join(F.zip_with(ends(m), starts(m), lambda a, b: F.substr(F.col(text_col), a + 1, b - a)), PLACEHOLDER)
-    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, kept(merged)).otherwise(F.col(text_col)))
+    text = F.col(text_col)
+    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, X.put(text, runs(F.col(spans_col)), lambda _: F.lit(PLACEHOLDER))).otherwise(text))
+
+
+def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with its secrets replaced, and its columns otherwise as they are, whatever their names."""
+    spans = free_name(df, "secret_spans")
+    return mask(scan(df, text_col, spans), text_col, spans).drop(spans)
 
 
 def digest(df: DataFrame, spans_col: str = "secret_spans") -> DataFrame:

@@ -1,6 +1,7 @@
 """The folder that driver and executors share, and tables and files in it.
 
-The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is made.
+The cluster names the folder in ``spark.checkpoint.dir``.  Where that is unset, a session in one process (``local``) gets a
+temporary folder, as in tests; on a cluster such a folder would not be seen by all, so the setting is asked for.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spanforge-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,3 +45,10 @@ def filesystem(uri: str):
 
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
 
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores until no column of ``df`` has it; names are compared without case, as Spark does."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
