@@ -7,7 +7,8 @@ i % BATCH of batch i // BATCH, mapped and not copied.  An index table names each
 order of their first document are the corpus, so a window over the files gives the place in the whole.
 
 Texts of a batch are cut into pre-tokens and each distinct one is encoded once, which gives the ids of the whole texts as the
-pre-tokens are independent.  Strings of special tokens in a text are ordinary text (``encode_special_tokens``).
+pre-tokens are independent.  Strings of special tokens in a text are those tokens, as the library has it by default; with
+``special_as_text`` they are ordinary text.
 
 Null texts count as empty and give the end id alone; null ids come first, equal ids are ordered by text; an empty table gives
 no files; other columns are not read.
@@ -16,6 +17,7 @@ no files; other columns are not read.
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,19 +42,41 @@ INDEX = "file string, doc_id long, start long, n_tokens long"
 
 
 @functools.lru_cache(2)
-def _tokenizer(data: str):
+def _tokenizer(data: str, special_as_text: bool = False):
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_str(data)
-    made.encode_special_tokens = True
+    made.encode_special_tokens = special_as_text
     return made
 
 
+def specials(tokenizer) -> list[bytes]:
+    """Strings that the tokenizer takes out of a text before all else, longest first; none if they are text."""
+    added = [] if tokenizer.encode_special_tokens else tokenizer.get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+        raise ValueError("special tokens that take their neighbours with them are not supported")
+    return sorted((t.content.encode() for t in added), key=len, reverse=True)
+
+
+def found_in(body: np.ndarray, offsets: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the strings in the texts, leftmost first, apart, none across two texts."""
+    if not strings:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pattern = re.compile(b"|".join(map(re.escape, strings)))
+    data, starts, ends = memoryview(np.ascontiguousarray(body)), [], []
+    if any(s in bytes(data) for s in strings):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            for m in pattern.finditer(data, a, b):
+                starts.append(m.start())
+                ends.append(m.end())
+    return np.array(starts, np.int64), np.array(ends, np.int64)
+
+
 class Encoder:
     """Encodes columns of texts; each distinct pre-token of a block once, and frequent ones once for many blocks."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.specials = tokenizer, specials(tokenizer)
         self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_list(pa.uint32()))
 
     def _plain(self, words: pa.Array) -> pa.Array | None:
@@ -83,7 +107,11 @@ class Encoder:
         body, offsets = W.buffers(column)
         for a, b in W.steps(offsets, BLOCK_BYTES):
             inner, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            starts = W.cuts(inner, at)
+            first, end = found_in(inner, at, self.specials)
+            starts = W.cuts(inner, np.unique(np.concatenate([at, first, end])))
+            # A special string is one piece, and what stands before and after it is cut as if it ended or began a text.
+            within = np.searchsorted(end, starts, "right")
+            starts = starts[~((within < len(first)) & (starts > np.append(first, len(inner))[within]))] if len(first) else starts
             found, places = W.distinct(inner, starts, pa.string())
             if not len(found):
                 yield a, b, np.zeros(0, np.uint32), np.zeros(b - a, np.int64)
@@ -130,10 +158,10 @@ class _Sequences:
             self.out.close()
 
 
-def _writer(folder: str, vocabulary, end_id: int, seq_len: int, wide: bool):
+def _writer(folder: str, vocabulary, special_as_text: bool, end_id: int, seq_len: int, wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store.filesystem(folder)
-        encoder = Encoder(_tokenizer(vocabulary.value))
+        encoder = Encoder(_tokenizer(vocabulary.value, special_as_text))
         name, at, stream, out = f"{uuid.uuid4().hex}.arrow", 0, None, None
         for batch in batches:
             for a, b, ids, ends in encoder.blocks(batch.column(1)):
@@ -154,7 +182,7 @@ def _writer(folder: str, vocabulary, end_id: int, seq_len: int, wide: bool):
     return run
 
 
-def write(df: DataFrame, folder: str, vocabulary_file: str, *, end_id: int = 2, seq_len: int = SEQ_LEN) -> DataFrame:
+def write(df: DataFrame, folder: str, vocabulary_file: str, *, end_id: int = 2, seq_len: int = SEQ_LEN, special_as_text: bool = False) -> DataFrame:
     """Writes the files to ``folder`` and gives the index table: file, doc_id, start in the file, n_tokens."""
     with open(vocabulary_file, encoding="utf-8") as f:
         data = f.read(VOCABULARY_BYTES + 1)
@@ -163,7 +191,7 @@ def write(df: DataFrame, folder: str, vocabulary_file: str, *, end_id: int = 2,
     spark = df.sparkSession
     wide = _tokenizer(data).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
     ordered = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_writer(f"{folder}/ids", spark.sparkContext.broadcast(data), end_id, seq_len, wide), INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
+    ordered.mapInArrow(_writer(f"{folder}/ids", spark.sparkContext.broadcast(data), special_as_text, end_id, seq_len, wide), INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
