@@ -8,7 +8,8 @@ Characters are folded first: lower case, white space runs as one space.  q is th
 count of two or more, else of one; an item so short that none does gets fewer edits until one does.
 
 The benchmark goes to the executors in blocks of ``BLOCK_BYTES``, each measured before it is sent; a larger benchmark takes
-more passes over the documents.  A task holds ``STEP_BYTES`` of text, or one longer text.
+more passes over the documents, one after another and each written down.  A task holds ``STEP_BYTES`` of text, or one longer
+text, and aligns ``TILE_CELLS`` at once, or one band of a longer item (a fifth of its characters wide).
 
 Null texts and items count as empty; an empty item matches nothing; repeated rows are judged each; an empty benchmark marks
 nothing; an empty table gives an empty result.
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.llm import store
 from spanforge.llm import words as W
 from spanforge.llm.memory import lean
 from spanforge.llm.chars import folded, points
@@ -32,6 +34,8 @@ from spanforge.llm.chars import folded, points
 RATE = 0.1
 QS = (8, 6, 5, 4, 3, 2, 1)
 STEP_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
+#: Cells (diagonals and characters of items) that are aligned at once.
+TILE_CELLS = 1 << 18
 FILTER_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,8 +155,16 @@ class Items:
             text = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a : a + 256], n)
             able = chars[text] >= (self.size - self.budget)[item[pick]]
             pick, text = pick[able], text[able]
-            for k in range(0, len(pick), 512):
-                out += self._align(cp, at, regions[pick[k : k + 512]], text[k : k + 512])
+            # Narrow bands together; a tile holds so many cells, or one band.
+            order = np.argsort(wide[pick], kind="stable")
+            pick, text = pick[order], text[order]
+            k = 0
+            while k < len(pick):
+                end = len(pick)
+                while end - k > 1 and (end - k) * (wide[pick[end - 1]] + self.size[item[pick[k:end]]].max()) > TILE_CELLS:
+                    end = k + (end - k) // 2
+                out += self._align(cp, at, regions[pick[k:end]], text[k:end])
+                k = end
         return out
 
     def _align(self, cp, at, regions, text):
@@ -210,15 +222,19 @@ def find(items: Items, body: np.ndarray, offsets: np.ndarray) -> list[tuple[int,
     return [(text, item, *own) for (text, item), own in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, rate: float) -> Iterator[object]:
-    """Broadcasts of ``Items``, none of more than about ``BLOCK_BYTES`` of text."""
+def blocks(benchmark: DataFrame, rate: float) -> tuple[int, Iterator[object]]:
+    """(how many, broadcasts of ``Items``), none of more than about ``BLOCK_BYTES`` of text, or one longer item."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / BLOCK_BYTES))
-    for part in range(parts):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id").toArrow()
-        if own.num_rows:
-            yield benchmark.sparkSession.sparkContext.broadcast((own.column("item_id").to_pylist(), own.column("text").to_pylist(), rate))
+
+    def sent() -> Iterator[object]:
+        for part in range(parts):
+            own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id").toArrow()
+            if own.num_rows:
+                yield benchmark.sparkSession.sparkContext.broadcast((own.column("item_id").to_pylist(), own.column("text").to_pylist(), rate))
+
+    return parts, sent()
 
 
 MATCHES = "doc_id long, item_id long, edits long, start long, end long"
@@ -239,9 +255,13 @@ def _matches(sent):
 def matches(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE) -> DataFrame:
     """A row for each document and item found in it, with the best stretch."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [rows.mapInArrow(lean(_matches(sent)), MATCHES) for sent in blocks(benchmark, rate)]
+    parts, sent = blocks(benchmark, rate)
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for k, part in enumerate(found):
+    for k, block in enumerate(sent):
+        part = rows.mapInArrow(lean(_matches(block)), MATCHES)
+        if parts > 1:  # one pass after another: executors hold one block, whatever the benchmark's size
+            part = store.written(part, "matches")
+            block.destroy()
         out = out.unionByName(part) if k else part
     return out
 
@@ -260,8 +280,12 @@ def _clean(sent, place: int):
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, rate: float = RATE) -> DataFrame:
     """``docs`` without the documents in which an item is found; no row moves."""
     schema, place = T.StructType.fromJson(docs.schema.jsonValue()), docs.columns.index("text")
-    for sent in blocks(benchmark, rate):
-        docs = docs.mapInArrow(lean(_clean(sent, place)), schema)
+    parts, sent = blocks(benchmark, rate)
+    for block in sent:
+        docs = docs.mapInArrow(lean(_clean(block, place)), schema)
+        if parts > 1:
+            docs = store.written(docs, "clean")
+            block.destroy()
     return docs
 
 
