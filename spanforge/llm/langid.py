@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.llm import store
 from spanforge.llm import words as W
 from spanforge.llm.memory import lean
 from spanforge.llm.chars import folded, points
@@ -132,7 +133,7 @@ def train(df: DataFrame, usable: Column, *, per_lang: int = PER_LANG) -> Model |
     return fit(flags, [langs[k] for k in keep])
 
 
-def _predict(model, place: int, keep: list[str]):
+def _predict(model, place: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs: list[str] = []
@@ -145,20 +146,27 @@ def _predict(model, place: int, keep: list[str]):
                 margin = model.value.margins(flags)
                 langs += [model.value.langs[k] if ok else UNKNOWN for k, ok in zip(margin.argmax(1), has)]
                 scores.append(np.where(has, np.clip((margin.max(1) + 1) / 2, 0, 1), 0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names) - 2)), pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], names)
 
     return run
 
 
-def predict(df: DataFrame, model: Model | None, *, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred and score of the column ``text``."""
+def predict(df: DataFrame, model: Model | None, *, keep: list[str], lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """The columns ``keep`` with the language and score of the column ``text``."""
     from pyspark.sql import types as T
 
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     # A text that is kept is sent once.
     rows = df.select(*keep) if "text" in keep else df.select(*keep, F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(lean(_predict(sent, keep.index("text") if "text" in keep else len(keep), keep)), schema)
+    return rows.mapInArrow(lean(_predict(sent, keep.index("text") if "text" in keep else len(keep), [*keep, lang_col, score_col])), schema)
+
+
+def learned(df: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
+    """The rows of a learned language: known, and scored ``least`` or more.  A null ``lang`` is filled in; all else stays."""
+    lang, score = store.free_name(df, "lang_pred"), store.free_name(df, "lang_score")
+    found = predict(df, model, keep=df.columns, lang_col=lang, score_col=score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*df.columns)
 
 
 def held_out() -> Column:
