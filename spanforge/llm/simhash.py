@@ -1,14 +1,14 @@
 """Operator 5, SimHash near-dedup by anchor-point covering.
 
 A document's fingerprint has a bit set if more than half of its shingles' XXH64 values have it set.  Fingerprints link at
-``max_bits`` or fewer differing bits.  The 64 bits are split into ``PARTS`` segments, so linked fingerprints differ in at most
-``max_bits // PARTS`` bits of some segment.  On each segment a covering code gives the anchors: the Hamming code of 15 bits
-with the other bits free, whose covering radius is 1 (every value has exactly one anchor within it, its home).  A fingerprint
+``max_bits`` or fewer differing bits.  The 64 bits are split into segments (``Layout``), so linked fingerprints differ in at
+most ``max_bits // parts`` bits of some segment.  On each segment a covering code gives the anchors: a Hamming code of 15 or 31
+bits with the other bits free, whose covering radius is 1 (every value has exactly one anchor within it, its home).  A fingerprint
 goes to every anchor within the radius plus the segment's threshold, by a table of error patterns for each syndrome; of two
 linked fingerprints one's home is then among the other's anchors, so comparing homes with all others per anchor loses no link.
 
-Equal fingerprints are one node from the start, so copies cost nothing.  An anchor's task gives the links of a spanning forest
-instead of all pairs where a group is dense; components of these links are those of all links.
+Equal fingerprints are one node from the start, so copies cost nothing.  Where an anchor's links are many, its task gives as few
+as connect the same fingerprints; components of these links are those of all links.
 
 Null texts count as empty; texts without words have fingerprint zero and link like any other; rows with equal or null ids
 are documents of their own; an empty table gives an empty result; other columns are not read by ``components``.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,11 @@ from spanforge.llm.memory import lean
 from spanforge.llm.components import connected_components
 
 SEED = 42
-PARTS = 3
 STEP_BYTES = 2 << 20
-#: Pairs of an anchor that are compared at once, and beyond which its links are thinned to a forest.
-PAIRS, DENSE = 1 << 21, 1 << 8
+#: Pairs that are compared at once, and links for each row beyond which they are thinned.
+PAIRS, MANY = 1 << 21, 4
+#: Distinct fingerprints up to which segments are short: beyond, groups at an anchor of the short code would grow too large.
+FEW = 1 << 25
 MIX = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -100,17 +102,31 @@ def fingerprints(df: DataFrame, *, words: int = 4) -> DataFrame:
     return rows.mapInArrow(lean(_map_prints(words)), "doc_id long, text_key long, print long")
 
 
-CODE = 15
+@dataclass(frozen=True)
+class Layout:
+    """Segments of a fingerprint and the length of the Hamming code whose words are each segment's anchors."""
 
+    parts: int
+    code: int
 
-def patterns(width: int, radius: int) -> list[list[int]]:
+    def widths(self) -> list[int]:
+        return [64 // self.parts + (k >= self.parts - 64 % self.parts) for k in range(self.parts)]
+
+
+def layout_for(count: int) -> Layout:
+    """Three segments with a code of 15 bits give a fingerprint some 43 anchors of 400,000; two with one of 31 bits some 340 of
+    268 million, whose groups stay small where fingerprints are many.  Both find every link."""
+    return Layout(3, 15) if count <= FEW else Layout(2, 31)
+
+
+def patterns(width: int, radius: int, code: int) -> list[list[int]]:
     """For each syndrome of the code the error patterns of at most ``radius`` bits that lead to an anchor; first that to the home."""
-    found: list[list[int]] = [[] for _ in range(CODE + 1)]
+    found: list[list[int]] = [[] for _ in range(code + 1)]
     for weight in range(radius + 1):
         for places in itertools.combinations(range(width), weight):
             syndrome = 0
             for p in places:
-                syndrome ^= p + 1 if p < CODE else 0
+                syndrome ^= p + 1 if p < code else 0
             found[syndrome].append(sum(1 << p for p in places))
     return found
 
@@ -119,59 +135,43 @@ def _placed(errors: Column, value: Column, part: int) -> Column:
     return F.transform(errors, lambda e, i: F.struct(F.lit(part << 32).cast("long").bitwiseOR(value.bitwiseXOR(e)).alias("anchor"), (i == 0).alias("home")))
 
 
-def anchors(prints: DataFrame, max_bits: int, names: list[str], keep: list[str]) -> DataFrame:
-    """``keep``, anchor, home: a row for each anchor of each fingerprint named."""
-    rows = []
-    for k, name in enumerate(names):
-        low = 0
-        for part in range(PARTS):
-            width = 64 // PARTS + (part >= PARTS - 64 % PARTS)
-            table = F.array(*[F.array(*[F.lit(e).cast("long") for e in es]) for es in patterns(width, 1 + max_bits // PARTS)])
-            value = F.shiftrightunsigned(name, low).bitwiseAND(F.lit((1 << width) - 1))
-            checks = [sum(1 << p for p in range(CODE) if (p + 1) >> c & 1) for c in range(4)]
-            syndrome = sum((F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(F.lit(1)), c) for c, m in enumerate(checks)), F.lit(0))
-            low += width
-            rows.append(_placed(F.get(table, syndrome), value, k * PARTS + part))
-    return prints.select(*keep, F.inline(F.concat(*rows)))
-
-
-def _forest(ids: np.ndarray, prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the same rows as all links within ``max_bits`` do."""
-    order = np.lexsort((ids, prints))
-    rest, names = prints[order], ids[order]
-    heads, tails, queue = [], [], []
-    while len(rest):
-        if not queue:
-            queue, rest, names = [(names[0], rest[0])], rest[1:], names[1:]
-        name, x = queue.pop()
-        near = np.bitwise_count(rest ^ x) <= max_bits
-        if near.any():
-            found = names[near]
-            heads.append(np.full(len(found), name))
-            tails.append(found)
-            queue += zip(found, rest[near])
-            rest, names = rest[~near], names[~near]
-    none = np.zeros(0, ids.dtype)
-    return np.concatenate([none, *heads]), np.concatenate([none, *tails])
-
-
-def links_of(anchor: np.ndarray, ids: np.ndarray, prints: np.ndarray, home: np.ndarray, max_bits: int, levels: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows sorted by anchor; every group is whole.  A dense group gives a forest for each of ``levels``."""
+def anchors(prints: DataFrame, max_bits: int, layout: Layout) -> DataFrame:
+    """print, anchor, home: a row for each anchor of each fingerprint."""
+    rows, low = [], 0
+    for part, width in enumerate(layout.widths()):
+        table = F.array(*[F.array(*[F.lit(e).cast("long") for e in es]) for es in patterns(width, 1 + max_bits // layout.parts, layout.code)])
+        value = F.shiftrightunsigned("print", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        checks = [sum(1 << p for p in range(layout.code) if (p + 1) >> c & 1) for c in range(layout.code.bit_length())]
+        syndrome = sum((F.shiftleft(F.bit_count(value.bitwiseAND(F.lit(m).cast("long"))).bitwiseAND(F.lit(1)), c) for c, m in enumerate(checks)), F.lit(0))
+        low += width
+        rows.append(_placed(F.get(table, syndrome), value, part))
+    return prints.select("print", F.inline(F.concat(*rows)))
+
+
+def thinned(pairs: np.ndarray) -> np.ndarray:
+    """Links that connect what ``pairs`` connect: each node with the least of its component."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root, before = np.arange(len(nodes)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        np.minimum.at(root, a, before[b])
+        np.minimum.at(root, b, before[a])
+        root = np.minimum(root, root[root])
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[root[moved]], nodes[moved]], 1)
+
+
+def links_of(anchor: np.ndarray, ids: np.ndarray, prints: np.ndarray, home: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows sorted by anchor; every group is whole.  Each home is compared with all rows of its anchor, ``PAIRS`` at
+    a time.  Where links are many they are thinned to as few as connect the same, which is all that is asked of them."""
     edge = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     sizes = np.diff(np.append(edge, len(anchor)))
-    homes = np.add.reduceat(home, edge, dtype=np.int64)
-    heads, tails = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    dense = homes * sizes > DENSE
-    for g in np.flatnonzero(dense):
-        own = slice(edge[g], edge[g] + sizes[g])
-        for level in levels:
-            a, b = _forest(ids[own], prints[own], level)
-            heads.append(a)
-            tails.append(b)
     group = np.repeat(np.arange(len(edge)), sizes)
-    own = np.flatnonzero(home & ~dense[group])
+    own = np.flatnonzero(home)
     need = sizes[group[own]]
     at = np.cumsum(need)
+    found, count = [np.zeros((0, 2), np.int64)], 0
     k = 0
     while k < len(own):
         end = max(k + 1, int(np.searchsorted(at, (at[k - 1] if k else 0) + PAIRS, "right")))
@@ -180,24 +180,27 @@ def links_of(anchor: np.ndarray, ids: np.ndarray, prints: np.ndarray, home: np.n
         right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(edge[group[one]], n)
         near = np.bitwise_count(prints[left] ^ prints[right]) <= max_bits
         x, y = ids[left[near]], ids[right[near]]
-        heads.append(x[x != y])
-        tails.append(y[x != y])
+        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y])
+        count += len(found[-1])
+        if count > MANY * len(ids):
+            found, count = [thinned(np.concatenate(found))], 0
         k = end
-    a, b = np.concatenate(heads), np.concatenate(tails)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    if len(pairs) > MANY * len(ids):
+        pairs = thinned(pairs)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _map_links(max_bits: int, levels: list[int], names: tuple[str, str]):
+def _map_links(max_bits: int):
     def give(parts):
-        anchor, ids, prints, home = (np.concatenate(x) for x in zip(*parts))
-        a, b = links_of(anchor, ids, prints.view(np.uint64), home, max_bits, levels)
+        anchor, prints, home = (np.concatenate(x) for x in zip(*parts))
+        a, b = links_of(anchor, prints, prints.view(np.uint64), home, max_bits)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", *names, "home")]
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "print", "home")]
             if not len(rows[0]):
                 continue
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
@@ -212,19 +215,20 @@ def _map_links(max_bits: int, levels: list[int], names: tuple[str, str]):
     return run
 
 
-def links(prints: DataFrame, *, max_bits: int = 4) -> DataFrame:
-    """(a, b): links between distinct fingerprints, enough to connect all that link."""
-    placed = anchors(prints, max_bits, ["print"], ["print"]).repartition("anchor").sortWithinPartitions("anchor")
-    return placed.mapInArrow(lean(_map_links(max_bits, [max_bits], ("print", "print"))), "a long, b long").distinct()
+def links(prints: DataFrame, *, max_bits: int = 4, layout: Layout | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints (``print``), enough to connect all that link."""
+    placed = anchors(prints, max_bits, layout or layout_for(prints.count())).repartition("anchor").sortWithinPartitions("anchor")
+    return placed.mapInArrow(lean(_map_links(max_bits)), "a long, b long").distinct()
 
 
 def components(df: DataFrame, *, words: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, print and component_id (the smallest doc_id reachable) of each document."""
     prints = store.written(fingerprints(df, words=words), "prints")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    nodes = store.written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected_components(links(nodes.select("print"), max_bits=max_bits))
     placed = nodes.join(roots, nodes["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    classes = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join back reads two shuffles as they are and a root with many fingerprints can be split.
+    classes = store.written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
     of_print = placed.join(classes, "root").select("print", "root", "component_id")
     return prints.join(of_print, "print").select("doc_id", "text_key", "print", "root", "component_id")
 
@@ -234,11 +238,12 @@ def dedup(df: DataFrame, *, words: int = 5) -> DataFrame:
     count as one."""
     from spanforge.llm import nearcopies
 
+    text, id_ = store.free_name(df, "dedup_text"), store.free_name(df, "dedup_id")
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    kept = nearcopies.groups(df, words=words).groupBy("root").agg(F.min(last).alias("kept")).select(F.col("kept.text_key").alias("_key"), F.col("kept.doc_id").alias("_id"))
-    marked = df.withColumns({"_key_": F.xxhash64(F.col("text").cast("string")), "_id_": F.col("doc_id").cast("long")})
-    same = (F.col("_key_") == F.col("_key")) & F.col("_id_").eqNullSafe(F.col("_id"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_key_", "_id_"]).select(*df.columns)
+    kept = nearcopies.groups(df, words=words).groupBy("root").agg(F.min(last).alias("kept")).select(F.col("kept.text_key").alias(f"{text}_"), F.col("kept.doc_id").alias(f"{id_}_"))
+    marked = df.withColumns({text: nearcopies.text_key(F.col("text")), id_: F.col("doc_id").cast("long")})
+    same = (F.col(text) == F.col(f"{text}_")) & F.col(id_).eqNullSafe(F.col(f"{id_}_"))
+    return marked.join(kept, same, "left_semi").dropDuplicates([text, id_]).select(*df.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
