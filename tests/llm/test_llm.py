@@ -247,7 +247,7 @@ def test_dense_anchor_gives_a_forest():
     rng = np.random.default_rng(2)
     prints = np.unique(np.array([sum(1 << int(p) for p in rng.choice(64, 2, replace=False)) for _ in range(400)], np.uint64))
     ids = np.arange(len(prints))
-    a, b = simhash.links_of(np.zeros(len(ids), np.int64), ids, prints, np.ones(len(ids), bool), 4, [4])
+    a, b = simhash.links_of(np.zeros(len(ids), np.int64), ids, prints, np.ones(len(ids), bool), 4)
     assert len(a) == len(ids) - 1 and len(set(a) | set(b)) == len(ids)
 
 
@@ -390,14 +390,15 @@ def test_chat_loss_is_read_from_the_examples(spark):
 def test_token_files(spark, docs, odd):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
-    for table in (odd.withColumn("text", F.concat_ws(" ", "text", F.lit("<|endoftext|>"))), docs):
+    untouched, plain = Tokenizer.from_file(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    special = odd.withColumn("text", F.concat_ws("<|endoftext|>", "text", F.lit(" <|endoftext|> a<|endoftext|><|endoftext|>it's<|endoftext|>'s <|endoftext"), F.lit("|> x")))
+    for table, as_text in ((special, False), (special, True), (docs, False)):
         folder = store.fresh_path(spark, "t")
-        got = [(r.start, r.n_tokens, r.ids_crc32) for r in binary.read_back(binary.write(table, folder, VOCABULARY, seq_len=64), folder).orderBy("start").collect()]
+        got = [(r.start, r.n_tokens, r.ids_crc32) for r in binary.read_back(binary.write(table, folder, VOCABULARY, seq_len=64, special_as_text=as_text), folder).orderBy("start").collect()]
         rows = sorted(table.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
         at, want = 0, []
-        for e in tokenizer.encode_batch([r.text or "" for r in rows], add_special_tokens=False):
+        for e in (plain if as_text else untouched).encode_batch([r.text or "" for r in rows], add_special_tokens=False):
             ids = [*e.ids, 2]
             want.append((at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             at += len(ids)
@@ -457,3 +458,162 @@ def test_pipeline_against_plain_stages(spark, docs):
     assert masked.count() == len(rows) and "[SECRET]" in masked.where("doc_id = 9003").first().text
     last = corpus_pipeline.tokens(spark, table, DATA).collect()
     assert len(last) == len(rows) and all(r.n_tokens == len(r.ids) for r in last)
+
+
+def test_secrets_in_long_texts(spark):
+    texts = ["-".join(["ab1"] * 100_000), "https://x.y/" + "/".join(["seg12"] * 3000), " ".join(["deadbeef" * 4] * 20_000), "token: abcdefgh " * 20_000]
+    table = spark.createDataFrame([(k, t, "mine") for k, t in enumerate(texts)], "doc_id long, text string, secret_spans string")
+    found = {r.doc_id: (r.n_assign, r.n_hex, r.n_entropy) for r in secrets.digest(secrets.scan(table.drop("secret_spans"))).collect()}
+    assert found[0] == (0, 0, 0) and found[1] == (0, 0, 0) and found[2][1] == 20_000 and found[3] == (20_000, 0, 0)
+    made = secrets.masked(table)
+    assert made.columns == table.columns
+    rows = {r.doc_id: r for r in made.collect()}
+    assert rows[0].text == texts[0] and rows[2].text == " ".join(["[SECRET]"] * 20_000) and rows[3].text == "[SECRET] " * 20_000
+    assert {r.secret_spans for r in rows.values()} == {"mine"}
+
+
+def test_runs_of_spans(spark):
+    spans = [(0, 0, 4), (2, 3, 6), (6, 1, 8), (9, 0, 10), (20, 2, 30), (21, 3, 22)]
+    df = spark.createDataFrame([(spans,), ([],)], f"s {secrets.SPAN}")
+    assert [[tuple(x) for x in r.r] for r in df.select(secrets.runs(F.col("s")).alias("r")).collect()] == [[(0, 8), (9, 10), (20, 30)], []]
+
+
+def test_allow_list_is_that_of_the_plain_pattern():
+    plain, rnd = re.compile(r"^/?(?:[A-Za-z]*[0-9]{0,4}[-_/=+]+)+[A-Za-z]*[0-9]{0,4}$"), random.Random(5)
+    for _ in range(4000):
+        text = "".join(rnd.choice("aZ19/-_") for _ in range(rnd.randint(0, 14)))
+        assert bool(plain.search(text)) == bool(regex.search(secrets.ALLOWED[3], text)), text
+
+
+def test_long_segments_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = [base ^ np.array([sum(1 << int(p) for p in rng.choice(64, k, replace=False)) for _ in base], np.uint64) for k in (1, 2, 3, 4, 5)]
+    prints = np.unique(np.concatenate([base, *near]))
+    signed = prints.view(np.int64)
+    assert simhash.layout_for(10).parts == 3 and simhash.layout_for(10**9).parts == 2
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(int(x),) for x in signed], "print long"), layout=simhash.Layout(2, 31)).collect()}
+    want = {tuple(sorted((int(a), int(b)))) for k, a in enumerate(signed) for b in signed[np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 4)] if a != b}
+    assert got == want
+
+
+def test_thinned_links_connect_the_same():
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 300, (400, 2))
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    group = list(range(300))
+    root = lambda k: k if group[k] == k else root(group[k])
+    for a, b in pairs:
+        group[max(root(a), root(b))] = min(root(a), root(b))
+    assert {(int(b), int(a)) for a, b in simhash.thinned(pairs)} == {(k, root(k)) for k in range(300) if root(k) != k}
+
+
+def test_dedup_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "x y z"), (3, "x y z"), (4, None), (None, "own words here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_key", "_id", "_key_", "_id_", "dedup_text", "dedup_id", "dedup_text_", "text_key", "root", "node", "kept")})
+    made = simhash.dedup(table)
+    assert made.columns == table.columns and sorted(-1 if r.doc_id is None else r.doc_id for r in made.collect()) == [-1, 1, 3, 4]
+    assert simhash.dedup(table.limit(0)).count() == 0
+
+
+def test_neighbours_by_route(spark):
+    """Clusters of many shards, a hot cell of equal vectors, tiny and huge components, clashing columns: against brute force."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 6)) * 20
+    vectors = np.concatenate([centres[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 6)), np.tile(centres[0], (300, 1))])
+    vectors[::7] *= 1e-200
+    vectors[1::7] *= 1e200
+    ids = np.arange(len(vectors))
+    table = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in zip(ids, vectors)], "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("width", "mixed", "shard", "kind", "id", "vector", "least", "score")})
+    got = {}
+    for r in ann.search(table, table.where("vec_id % 50 = 0"), shard_rows=100).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    unit = vectors / np.abs(vectors).max(1, keepdims=True)
+    unit /= np.sqrt((unit**2).sum(1))[:, None]
+    for q in ids[::50]:
+        score = unit @ unit[q]
+        score[q] = -9
+        assert np.allclose([got[q][k][1] for k in range(1, 6)], np.sort(score)[::-1][:5], atol=1e-12)
+        assert np.isfinite([s for _, s in got[q].values()]).all()
+    some = rng.choice(len(vectors), 500, replace=False)
+    top = ann.top_of(some, vectors[some], len(vectors), 100, 0)
+    asked = ann._units(ann.scaled(vectors[::50]))[0]
+    routed = top.routes(asked, top.least(ids[::50], asked, 5), 1.0)
+    assert len(top.salts) > 8 and np.mean([len(r) for r in routed]) < 0.6 * top.salts.sum()
+
+
+def _grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    return {letters[i : i + n] for n in (1, 2, 3) for i in range(len(letters) - n + 1)}
+
+
+def _bucket(gram):
+    code = 0
+    for k, c in enumerate(gram):
+        code = (code * 0x01000193 + ord(c) * 0x9E3779B1 + k + 1) & 0xFFFFFFFF
+    return ((code ^ code >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 18
+
+
+def _plain_margins(train, asked, _grams):
+    """Presence kernels of sets, ridge regression in their whole feature space, one language against the rest; no landmarks."""
+    sets = [_grams(t) for t, _ in train]
+    kernel = lambda xs, ys: np.array([[len(x & y) / math.sqrt(max(len(x), 1) * max(len(y), 1)) for y in ys] for x in xs])
+    names = sorted({lang for _, lang in train})
+    label = np.array([names.index(lang) for _, lang in train])
+    value, vector = np.linalg.eigh(kernel(sets, sets))
+    good = value > 1e-6 * value.max()
+    root = vector[:, good] / np.sqrt(value[good])
+    z = kernel(sets, sets) @ root
+    weight = 1 / np.bincount(label)[label]
+    weight /= weight.sum()
+    target = np.where(label[:, None] == np.arange(len(names)), 1.0, -1.0)
+    one = np.hstack([z, np.ones((len(z), 1))])
+    ridge = np.diag([langid.RIDGE] * z.shape[1] + [0.0])
+    beta = np.linalg.solve(one.T @ (one * weight[:, None]) + ridge, one.T @ (target * weight[:, None]))
+    q = kernel([_grams(t) for t in asked], sets) @ root
+    return names, np.hstack([q, np.ones((len(q), 1))]) @ beta
+
+
+def _small_corpus(spark):
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if 40 <= len(r.text) <= 500]
+    seen: dict = {}
+    return [r for r in rows if seen.setdefault(r.lang, []).append(r) or len(seen[r.lang]) <= 15]
+
+
+def test_language_against_exact_kernels(spark, docs):
+    rows = _small_corpus(spark)
+    body, offsets = words.buffers(pa.array([r.text for r in rows]))
+    flags, _ = langid.presence(body, offsets)
+    assert np.abs(flags.sum(1) - [len(_grams(r.text)) for r in rows]).max() <= 8  # buckets that two n-grams share
+    table = spark.createDataFrame(rows, docs.schema)
+    model = langid.train(table, F.col("doc_id") % 3 != 1)
+    train, asked = [(r.text, r.lang) for r in rows if r.doc_id % 3 != 1], [r.text for r in rows]
+    assert len(train) <= langid.LANDMARKS
+    names, margin = _plain_margins(train, asked, lambda t: {_bucket(g) for g in _grams(t)})
+    exact = _plain_margins(train, asked, _grams)[1]  # without buckets
+    got = langid.predict(table, model, keep=["doc_id"]).toPandas().set_index("doc_id").loc[[r.doc_id for r in rows]]
+    assert list(got.lang_pred) == [names[k] for k in margin.argmax(1)]
+    score = lambda m: np.clip((m.max(1) + 1) / 2, 0, 1)
+    assert np.abs(got.score.to_numpy() - score(margin)).max() < 1e-4 and np.abs(got.score.to_numpy() - score(exact)).max() < 0.03
+    twice = langid.predict(table.unionByName(table), model, keep=["doc_id"]).groupBy("doc_id").agg(F.countDistinct("score").alias("n"), F.count("*").alias("m")).collect()
+    assert {(r.n, r.m) for r in twice} == {(1, 2)} and langid.predict(table.limit(0), model, keep=["doc_id"]).count() == 0
+    clash = table.withColumns({"lang_pred": F.lit("mine"), "LANG_SCORE": F.lit(7)})
+    kept = langid.learned(clash, model)
+    assert kept.columns == clash.columns and {(r.lang_pred, r.LANG_SCORE) for r in kept.collect()} == {("mine", 7)}
+
+
+def test_decontamination_by_blocks_and_long_items(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    want = sorted(map(tuple, decontam.matches(docs, bench).collect()))
+    clean = sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect())
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 3000)
+    assert decontam.blocks(bench, 0.1)[0] > 3
+    assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == want
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == clean
+    rnd = random.Random(1)
+    long = "".join(rnd.choice("abcdefghij klmnop") for _ in range(20_000))
+    held = decontam.Items([0, 1], [long, long[500:560]], 0.1)
+    changed = long[:9000] + "XYZ" * 30 + long[9000:]
+    texts = ["x" * 50 + changed + "y" * 50, long[490:600], "z" * 300, long[:15_000]]
+    got = {(t, i): cost for t, i, cost, _, _ in decontam.find(held, *words.buffers(pa.array(texts)))}
+    assert got == {(0, 0): 90, (0, 1): 0, (1, 1): 0, (3, 1): 0}
