@@ -17,6 +17,7 @@ from spanforge.functions import boxes as B
 from spanforge.functions import text as X
 from spanforge.functions import values as V
 from spanforge.operators.detect import OCR_RULES
+from spanforge.operators.plug import call_with
 
 MERGE_IOU, DUAL_IOU = 0.5, 0.3
 
@@ -102,7 +103,7 @@ class _Table(HTMLParser):
 
     def close_cell(self):
         if self.text is not None and self.rows:
-            self.rows[-1].append((" ".join("".join(self.text).split()), self.span))
+            self.rows[-1].append(("".join(self.text).strip(), self.span))
         self.text = None
 
     def handle_starttag(self, tag, attrs):
@@ -113,8 +114,11 @@ class _Table(HTMLParser):
             self.close_cell()
             if not self.rows:
                 self.rows.append([])
-            span = dict(attrs).get("colspan") or "1"
-            self.text, self.span = [], max(1, int(span)) if span.isdigit() else 1
+            try:
+                span = int(dict(attrs).get("colspan") or 1)
+            except ValueError:
+                span = 1
+            self.text, self.span = [], max(1, span)
 
     def handle_endtag(self, tag):
         if tag in ("td", "th", "tr", "table"):
@@ -126,21 +130,22 @@ class _Table(HTMLParser):
 
 
 def cells_of(html: str, left: int, top: int, width: int, height: int) -> list[tuple[str, int, int, int, int]]:
-    """(text, left, top, width, height) of a table's filled cells on an even grid; no table gives nothing."""
+    """(text, left, top, width, height) of a table's filled cells on an even grid of steps of one pixel at least; no table gives
+    nothing.  Sides are cut to whole pixels on their own, so neighbours touch."""
     parser = _Table()
     parser.feed(html or "")
     parser.close_cell()
     rows = [r for r in parser.rows if r]
     if not rows:
         return []
-    columns = max(sum(n for _, n in r) for r in rows)
-    wide, high = width / columns, height / len(rows)
+    wide, high = max(width / max(sum(n for _, n in r) for r in rows), 1.0), max(height / len(rows), 1.0)
     out = []
     for k, row in enumerate(rows):
         at = 0
         for text, n in row:
             if text:
-                out.append((text, int(left + at * wide), int(top + k * high), max(1, int(n * wide)), max(1, int(high))))
+                x, y = int(left + at * wide), int(top + k * high)
+                out.append((text, x, y, int(left + at * wide + n * wide) - x, int(top + k * high + high) - y))
             at += n
     return out
 
@@ -214,6 +219,55 @@ def rule_boxes(blocks: DataFrame, types: list[str] | None = None) -> DataFrame:
     return rows.withColumns(part | {"entity_type": F.col("_m.entity_type"), "match": F.col("_m.match"), "source": F.lit("regex"), "confidence": F.lit(1.0)}).drop("_m")
 
 
+def page_boxes(layout: Column, spotting: Column, image_width: Column, image_height: Column) -> Column:
+    """Boxes of a page from a reader's two answers: ``layout`` (label, content, box of four numbers), else, if none of these is
+    usable, ``spotting`` (text, polygon).  If no side exceeds 1.5 the page's numbers are fractions.  Seals read ``[公章]``."""
+    raw = "array<struct<text:string,label:string,x1:double,y1:double,x2:double,y2:double>>"
+    seal = lambda b: F.coalesce(b["label"] == "seal", F.lit(False))
+    usable = F.filter(layout, lambda b: (F.size(b["box"]) == 4) & (seal(b) | F.coalesce(F.length(b["content"]) > 0, F.lit(False))))
+    first = F.transform(usable, lambda b: F.struct(F.when(seal(b), "[公章]").otherwise(b["content"]).alias("text"), F.coalesce(b["label"], F.lit("")).alias("label"), *[b["box"][k].alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])).cast(raw)
+    side = lambda b, k, f: f(F.transform(b["polygon"], lambda p: p[k]))
+    spots = F.transform(F.filter(spotting, lambda b: F.size(b["polygon"]) > 0), lambda b: F.struct(X.strip(F.coalesce(b["text"], F.lit(""))).alias("text"), F.lit("spotting").alias("label"), side(b, 0, F.array_min).alias("x1"), side(b, 1, F.array_min).alias("y1"), side(b, 0, F.array_max).alias("x2"), side(b, 1, F.array_max).alias("y2"))).cast(raw)
+    second = F.filter(spots, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]))
+    chosen = F.when(F.coalesce(F.size(first), F.lit(0)) > 0, first).otherwise(F.coalesce(second, F.array().cast(raw)))
+
+    def placed(all_: Column) -> Column:
+        fractions = F.array_max(F.transform(all_, lambda b: F.greatest(b["x2"], b["y2"]))) <= 1.5
+
+        def one(b: Column) -> Column:
+            inside = lambda v, n: F.least(F.greatest(F.when(fractions, v * n).otherwise(v), F.lit(0.0)), n.cast("double"))
+            x1, x2 = inside(F.least(b["x1"], b["x2"]), image_width), inside(F.greatest(b["x1"], b["x2"]), image_width)
+            y1, y2 = inside(F.least(b["y1"], b["y2"]), image_height), inside(F.greatest(b["y1"], b["y2"]), image_height)
+            sizes = {"x": x1 / image_width, "y": y1 / image_height, "width": F.greatest(F.lit(1.0), x2 - x1) / image_width, "height": F.greatest(F.lit(1.0), y2 - y1) / image_height}
+            return F.struct(b["text"].alias("text"), b["label"].alias("label"), *[v.alias(k) for k, v in sizes.items()], F.lit(0.9).alias("confidence"))
+
+        return F.transform(all_, one)
+
+    return X.let(chosen, placed)
+
+
+BOX = "array<struct<x:double,y:double,width:double,height:double,type:string,text:string,confidence:double>>"
+
+
+def detect_with(df: DataFrame, make, *, source: str, content_col: str = "content", attempts: int = 3, base: float = 0.5) -> DataFrame:
+    """Adds ``{source}_boxes``, what a detector of image bytes says, and ``{source}_failed`` where all attempts failed."""
+    return call_with(df, make, inputs=[content_col], out_col=f"{source}_boxes", kind=BOX, failed_col=f"{source}_failed", attempts=attempts, base=base)
+
+
+def dual_pipeline(pages: DataFrame, text_detector=None, image_detector=None, *, page: list[str], content_col: str = "content", attempts: int = 3, base: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(boxes of both detectors with ``source``, deduplicated by page; pages with a flag for each detector that failed there).
+    A detector that fails, or is none, leaves the other's boxes."""
+    done = pages
+    sources = {s: m for s, m in (("ocr_has", text_detector), ("has_image", image_detector)) if m is not None}
+    for source, make in sources.items():
+        done = detect_with(done, make, source=source, content_col=content_col, attempts=attempts, base=base)
+    parts = [done.select(*page, F.inline(F.coalesce(f"{s}_boxes", F.array().cast(BOX))), F.lit(s).alias("source")) for s in sources]
+    if not parts:
+        return pages.select(*page, F.inline(F.array().cast(BOX)), F.lit("").alias("source")), pages
+    boxes = parts[0] if len(parts) == 1 else dual_dedup(parts[0].unionByName(parts[1]), page=page)
+    return boxes, done.drop(*[f"{s}_boxes" for s in sources])
+
+
 def chosen_types(asked: list[str] | None, other: list[str] | None, enabled: list[str], defaults: list[str]) -> list[str]:
     """The types of one pipeline: as asked; all that are enabled if none of those asked is valid; the defaults if both
     pipelines were asked for nothing; none if only this one was."""

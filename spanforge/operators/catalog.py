@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
 from spanforge.functions import values as V
+from spanforge.operators.detect import Rule
 
-SCHEMA = "id string, category string, risk_level int, `order` int, enabled boolean, has_regex boolean, use_llm boolean, tag_template string"
+SCHEMA = "id string, name string, category string, risk_level int, `order` int, enabled boolean, use_llm boolean, regex_pattern string, tag_template string"
+PIPELINES = "mode string, enabled boolean, types array<struct<id:string,name:string,order:int,enabled:boolean>>"
 CUSTOM_ORDER = 200
 
 
 def preset(spark: SparkSession) -> DataFrame:
-    rows = [tuple(r[k] for k in ("id", "category", "risk_level", "order", "enabled", "has_regex", "use_llm", "tag_template")) for r in V.catalog()]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(V.CATALOG, SCHEMA)
 
 
 def merged(base: DataFrame, stored: DataFrame, id_col: str = "id") -> DataFrame:
@@ -28,8 +29,18 @@ def listed(catalog: DataFrame, *, enabled_only: bool = False) -> DataFrame:
     return (catalog.where("enabled") if enabled_only else catalog).orderBy("order", "id")
 
 
+def recognition_order(catalog: DataFrame, locale: str = "zh") -> DataFrame:
+    """Types with a pattern first, then by name as the locale has it."""
+    return catalog.orderBy(F.col("regex_pattern").isNull(), F.collate(F.col("name"), locale), "id")
+
+
 def regex_types(catalog: DataFrame) -> DataFrame:
-    return catalog.where("enabled and has_regex")
+    return catalog.where("enabled and regex_pattern is not null")
+
+
+def rules_of(catalog: DataFrame, priority: int = 5) -> list[Rule]:
+    """The patterns of a catalog's enabled types as rules, so that a person's own types are found too."""
+    return [Rule(r["id"], r["regex_pattern"], priority) for r in listed(regex_types(catalog)).select("id", "regex_pattern").collect()]
 
 
 def model_types(catalog: DataFrame) -> DataFrame:
@@ -38,7 +49,7 @@ def model_types(catalog: DataFrame) -> DataFrame:
 
 def created(catalog: DataFrame, row: dict) -> DataFrame:
     """With a new type, named by chance unless it has an id."""
-    full = {"id": f"custom_{uuid.uuid4().hex[:8]}", "order": CUSTOM_ORDER, "enabled": True, "has_regex": False, "use_llm": True, "category": None, "risk_level": 3, "tag_template": None} | row
+    full = {"id": f"custom_{uuid.uuid4().hex[:8]}", "order": CUSTOM_ORDER, "enabled": True, "use_llm": True, "name": None, "category": None, "risk_level": 3, "regex_pattern": None, "tag_template": None} | row
     return catalog.unionByName(catalog.sparkSession.createDataFrame([tuple(full[c] for c in catalog.columns)], catalog.schema))
 
 
@@ -92,6 +103,53 @@ def step_one_done(config: Column, job_type: Column) -> Column:
     return F.when(job_type == "text_batch", size("entity_type_ids") > 0).otherwise((size("ocr_has_types") > 0) | (size("has_image_types") > 0))
 
 
+def preset_pipelines(spark: SparkSession) -> DataFrame:
+    """The two ways an image is read, with the types of each."""
+    image = [(slug, name, k, True) for k, (slug, name) in enumerate(V.IMAGE_TYPES)]
+    return spark.createDataFrame([("ocr_has", True, [(*t, True) for t in V.OCR_TYPES]), ("has_image", True, image)], PIPELINES)
+
+
+def merged_pipelines(base: DataFrame, stored: DataFrame, dropped: str = "glm_vision") -> DataFrame:
+    """Stored pipelines set what their preset has enabled and its types; others join as they are; one that is no more goes."""
+    kept = stored.where(F.col("mode") != dropped)
+    own = kept.select("mode", F.struct("enabled", "types").alias("_s"))
+    known = base.join(own, "mode", "left").select("mode", F.coalesce("_s.enabled", "enabled").alias("enabled"), F.coalesce("_s.types", "types").alias("types"))
+    return known.unionByName(kept.join(base.select("mode"), "mode", "left_anti").select("mode", "enabled", "types"))
+
+
+def pipeline_types(pipelines: DataFrame, *, enabled_only: bool = True) -> DataFrame:
+    """A row per pipeline and type, with its ``rank`` by order."""
+    kept = F.filter("types", lambda t: t["enabled"]) if enabled_only else F.col("types")
+    placed = F.array_sort(F.transform(kept, lambda t, i: F.struct(t["order"].alias("order"), i.alias("i"), t.alias("t"))))
+    return pipelines.select("mode", F.posexplode(placed).alias("pos", "p")).select("mode", (F.col("pos") + 1).alias("rank"), "p.t.*")
+
+
+def with_type(pipelines: DataFrame, mode: str, type_: dict, *, replace: bool = False) -> DataFrame:
+    """With a type added to a pipeline, or with ``replace`` in place of the one of its id; an added id that is there stays as it is."""
+    new = F.struct(*[F.lit(type_[k]).alias(k) for k in ("id", "name", "order", "enabled")])
+    there = F.exists("types", lambda t: t["id"] == type_["id"])
+    swapped = F.transform("types", lambda t: F.when(t["id"] == type_["id"], new).otherwise(t))
+    types = F.when(there, swapped if replace else F.col("types")).otherwise(F.col("types") if replace else F.concat("types", F.array(new)))
+    return pipelines.withColumn("types", F.when(F.col("mode") == mode, types).otherwise(F.col("types")))
+
+
+def with_type_toggled(pipelines: DataFrame, mode: str, id_: str) -> DataFrame:
+    types = F.transform("types", lambda t: F.when(t["id"] == id_, t.withField("enabled", ~t["enabled"])).otherwise(t))
+    return pipelines.withColumn("types", F.when(F.col("mode") == mode, types).otherwise(F.col("types")))
+
+
+def without_type(pipelines: DataFrame, mode: str, id_: str, protected: list[str]) -> DataFrame:
+    if id_ in protected:
+        raise ValueError(f"{id_} is a preset; it can only be disabled")
+    return pipelines.withColumn("types", F.when(F.col("mode") == mode, F.filter("types", lambda t: t["id"] != id_)).otherwise(F.col("types")))
+
+
+def merged_models(builtin: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored models without a name or id go; the built-in ones are always there, as stored if they are."""
+    good = stored.where((F.trim(F.coalesce("id", F.lit(""))) != "") & (F.trim(F.coalesce("name", F.lit(""))) != ""))
+    return merged(builtin, good)
+
+
 def active_model(models: DataFrame, active_id: str) -> DataFrame:
     """The model pointed to, else the first that is enabled."""
     best = F.min_by(F.struct(*models.columns), F.struct((F.col("id") != active_id).alias("other"), (~F.col("enabled")).alias("off"), "id"))

@@ -6,9 +6,10 @@ Detectors add no rows and move none; ``explode_spans`` gives a row per span wher
 
 from __future__ import annotations
 
+import subprocess
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from spanforge.functions import text as X
 from spanforge.functions import values as V
+from spanforge.operators.plug import attempted
 
 FIELDS = "text:string,type:string,start:int,end:int,confidence:double,source:string,priority:int,coref_id:string"
 SPANS = f"array<struct<{FIELDS}>>"
@@ -60,6 +62,17 @@ def checked_rule(spark: SparkSession, rule: Rule) -> Rule:
     return rule
 
 
+def guarded_rule(spark: SparkSession, rule: Rule, seconds: float = 2.0, probe: str = "a" * 25 + "!") -> Rule:
+    """As ``checked_rule``; also refuses a pattern that takes longer than ``seconds`` over a probe, in a process that is ended."""
+    checked_rule(spark, rule)
+    code = "import re, sys; re.search(sys.argv[1], sys.argv[2], re.IGNORECASE)"
+    try:
+        subprocess.run([sys.executable, "-c", code, rule.pattern, probe], timeout=seconds, capture_output=True, check=False)
+    except subprocess.TimeoutExpired as e:
+        raise ValueError(f"{rule.type}: {rule.pattern!r} takes more than {seconds} s over {len(probe)} characters") from e
+    return rule
+
+
 def luhn(text: Column) -> Column:
     """Whether the digits of a card number pass the check digit."""
     digits = F.transform(F.filter(F.split(text, ""), lambda c: c.rlike("[0-9]")), lambda c: c.cast("int"))
@@ -137,6 +150,22 @@ def find_entities(df: DataFrame, entities_col: str, *, text_col: str = "text", o
     return df.withColumn(out_col, F.transform(placed, lambda p: p["s"]))
 
 
+def find_first(df: DataFrame, entities_col: str, *, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+    """As ``find_entities``, with the first occurrence of each term alone; ``coref_id`` is ``has_{n}`` in the order they come."""
+    text = F.col(text_col)
+    pairs = F.flatten(F.transform(F.map_entries(entities_col), lambda e: F.transform(e["value"], lambda t: F.struct(type_id(e["key"]).alias("kind"), t.alias("term")))))
+    there = F.filter(pairs, lambda p: F.contains(text, p["term"]))
+    spans = F.transform(there, lambda p, n: _span({"text": p["term"], "start": F.instr(text, p["term"]) - 1, "end": F.instr(text, p["term"]) - 1 + F.length(p["term"])}, p["kind"], 0.95, "has", 0, F.concat(F.lit("has_"), n.cast("string")))).cast(SPANS)
+    placed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), i.alias("i"), s.alias("s"))))
+    return df.withColumn(out_col, F.transform(placed, lambda p: p["s"]))
+
+
+def merged_tags(first: Column, second: Column) -> Column:
+    """Two maps of tags to terms as one: a tag's terms in the order they come, each once."""
+    none = F.array().cast("array<string>")
+    return F.map_zip_with(first, second, lambda _, a, b: F.array_union(F.coalesce(a, none), F.coalesce(b, none)))
+
+
 def parsed_entities(reply: Column) -> Column:
     """A model's reply as ``map<type, array<term>>``: the object, or the first block in braces, or empty."""
     found = F.from_json(X.json_block(reply), "map<string,array<string>>")
@@ -158,9 +187,9 @@ def type_name(kind: Column) -> Column:
 Detector = Callable[[list[str], list[list[str]]], list[dict[str, list[str]]]]
 
 
-def find_with(df: DataFrame, make: Callable[[], Detector], types: list[str], *, text_col: str = "text", out_col: str = "entities", attempts: int = 3) -> DataFrame:
-    """Adds what a model says, by batches: ``make`` builds it once in each worker; a batch that fails ``attempts`` times gives
-    no entities and ``recognition_failed``."""
+def find_with(df: DataFrame, make: Callable[[], Detector], types: list[str], *, text_col: str = "text", out_col: str = "entities", attempts: int = 3, base: float = 0.1) -> DataFrame:
+    """Adds what a model says, by batches: ``make`` builds it once in each worker; a batch that fails ``attempts`` times (with
+    growing waits between) gives no entities and ``recognition_failed``."""
     schema = T.StructType.fromJson(df.schema.jsonValue()).add(out_col, T.MapType(T.StringType(), T.ArrayType(T.StringType()))).add("recognition_failed", T.BooleanType())
     place = df.columns.index(text_col)
 
@@ -169,13 +198,7 @@ def find_with(df: DataFrame, make: Callable[[], Detector], types: list[str], *,
         kind = pa.map_(pa.string(), pa.list_(pa.string()))
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]
-            found: list[Any] | None = None
-            for _ in range(attempts):
-                try:
-                    found = model(texts, [types] * len(texts))
-                    break
-                except Exception:  # noqa: BLE001  a detector's failure must not end the job
-                    continue
+            found, _ = attempted(lambda: model(texts, [types] * len(texts)), attempts, base)  # noqa: B023
             rows = [list(x.items()) for x in found] if found is not None else [[] for _ in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind), pa.array([found is None] * len(texts))], [*batch.schema.names, out_col, "recognition_failed"])
 

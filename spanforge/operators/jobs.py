@@ -75,6 +75,47 @@ def committed(items: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(moves & F.col("ok"), "completed").when(moves, "awaiting_review").otherwise(F.col("status"))).drop("ok")
 
 
+def approved(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Items whose review is approved (``id``): those that wait are approved, what is approved or completed stays, and others
+    get ``refused``."""
+    joined = items.join(ids.select("id").distinct().withColumn("_t", F.lit(True)), "id", "left")
+    waits = F.coalesce(F.col("_t"), F.lit(False)) & (F.col("status") == "awaiting_review")
+    refused = F.coalesce(F.col("_t"), F.lit(False)) & ~F.col("status").isin("awaiting_review", "review_approved", "completed")
+    return _set(joined.withColumn("refused", refused), waits, "review_approved").drop("_t")
+
+
+def rejected(items: DataFrame, ids: DataFrame) -> DataFrame:
+    """Items whose review is rejected (``id``): those that wait are queued again, others get ``refused``."""
+    joined = items.join(ids.select("id").distinct().withColumn("_t", F.lit(True)), "id", "left")
+    asked, waits = F.coalesce(F.col("_t"), F.lit(False)), F.col("status") == "awaiting_review"
+    return _set(joined.withColumn("refused", asked & ~waits), asked & waits, "queued").drop("_t")
+
+
+def committable(status: Column) -> Column:
+    """Whether a review can be committed; what is completed already stays."""
+    return F.when(status.isin("cancelled", "failed"), "refused").when(status == "completed", "done").otherwise("redact")
+
+
+def recognition_plan(items: DataFrame, files: DataFrame) -> DataFrame:
+    """What each item that is not at its end is to be read by: ``route`` text or vision, by its file's kind; without its file
+    ``missing``."""
+    active = items.where(~F.col("status").isin(TERMINAL))
+    joined = active.join(files.select("file_id", "file_type", "is_scanned"), "file_id", "left")
+    return joined.withColumn("route", F.when(F.col("file_type").isNull(), "missing").otherwise(task_route(F.col("file_type"), F.col("is_scanned"))))
+
+
+def after_attempts(attempts: DataFrame, *, most: int = 3) -> DataFrame:
+    """Of attempts (item_id, attempt, ok, error) each item's end: done by its first success of the first ``most``, else failed
+    with its last error (500 characters) once all were made, else still open; ``waited`` is the seconds of its back-off."""
+    counted = attempts.where(F.col("attempt") <= most)
+    won = F.min(F.when(F.col("ok"), F.col("attempt")))
+    last = F.max("attempt")
+    tried = F.coalesce(won, last)
+    end = F.when(won.isNotNull(), "done").when(last == most, "failed").otherwise("open")
+    error = F.when(won.isNull() & (last == most), F.left(F.max_by("error", "attempt"), F.lit(500)))
+    return counted.groupBy("item_id").agg(end.alias("outcome"), tried.cast("long").alias("attempts"), (F.pow(F.lit(2.0), tried - 1) - 1).cast("long").alias("waited"), error.alias("error"))
+
+
 def latest_drafts(drafts: DataFrame, key: str = "item_id", order: str = "updated_at") -> DataFrame:
     """The last saved draft of each item; an empty one clears it."""
     return drafts.groupBy(key).agg(F.max_by("draft_json", order).alias("draft_json")).where(F.coalesce(F.length("draft_json"), F.lit(0)) > 0)

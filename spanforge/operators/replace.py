@@ -111,6 +111,11 @@ def select_spans(df: DataFrame, chosen: Column | None = None, *, spans_col: str
     return df.withColumn(spans_col, F.transform(spans_col, lambda s: s.withField("selected", set_(s))))
 
 
+def remove_spans(df: DataFrame, gone: Column, *, spans_col: str = "spans") -> DataFrame:
+    """Without the spans whose place (from 0) is in the array ``gone``."""
+    return df.withColumn(spans_col, F.filter(spans_col, lambda s, i: ~F.coalesce(F.array_contains(gone, i), F.lit(False))))
+
+
 def normalized(df: DataFrame, *, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Spans cut to their text, with defaults for what is missing; those that end before they start go."""
     n = F.length(text_col)
@@ -119,9 +124,9 @@ def normalized(df: DataFrame, *, text_col: str = "text", spans_col: str = "spans
     return df.withColumn(spans_col, F.filter(cut, lambda s: s["start"] < s["end"]))
 
 
-def undone(versions: DataFrame, key: str, order: str, steps: int = 0) -> DataFrame:
-    """The state of each key ``steps`` versions before its last (at most 50 back)."""
-    from pyspark.sql import Window
-
-    back = Window.partitionBy(key).orderBy(F.desc(order))
-    return versions.withColumn("_n", F.row_number().over(back)).where(F.col("_n") == min(steps, 50) + 1).drop("_n")
+def undone(versions: DataFrame, key: str, order: str, steps: int = 0, redo: int = 0) -> DataFrame:
+    """The state of each key ``steps`` versions before its last (at most 50 back, and not before its first), then ``redo`` ahead
+    again."""
+    back = max(0, min(steps, 50) - redo)
+    kept = versions.groupBy(key).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(order, F.struct(*versions.columns).alias("_v"))))), 1, 51).alias("_h"))
+    return kept.select(F.get("_h", F.least(F.lit(back), F.size("_h") - 1))["_v"].alias("_v")).select("_v.*")

@@ -98,13 +98,13 @@ def lockout(threshold: int, ttl: float) -> Machine:
 
 
 def breaker(threshold: int, recovery: float) -> Machine:
-    """The state in which a call finds its circuit: closed, open (refused), or half_open, one trial after ``recovery`` seconds."""
+    """The state in which a call finds its circuit: closed, open (refused), or half_open, one trial after more than ``recovery`` seconds."""
 
     def make():
         state = {"failures": 0, "opened": None}
 
         def call(now: float, success: bool) -> str:
-            found = "closed" if state["opened"] is None else "half_open" if now - state["opened"] >= recovery else "open"
+            found = "closed" if state["opened"] is None else "half_open" if now - state["opened"] > recovery else "open"
             if found == "open":
                 return found
             if success:

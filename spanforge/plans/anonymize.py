@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,16 +21,21 @@ class Options:
     types: list[str] | None = None
     rules: list[D.Rule] = field(default_factory=lambda: list(D.BUILTIN))
     terms: dict[str, list[str]] = field(default_factory=dict)
+    model: Callable[[], D.Detector] | None = None  # finds entities by batches; where it fails, the rules' spans stay
     custom_col: str | None = None
     scope: str = "text"  # "text": every occurrence; "offsets": the spans alone
     compat: bool = False
 
 
 def detect(df: DataFrame, options: Options = Options(), *, text_col: str = "text") -> DataFrame:
-    """Adds ``spans`` of terms, then of patterns, reconciled."""
+    """Adds ``spans`` of terms and of the model, then of patterns, reconciled; with a model also ``recognition_failed``."""
     df = D.find_patterns(df, options.rules, options.types, text_col=text_col, out_col="_rules")
     df = D.find_terms(df, options.terms, text_col=text_col, out_col="_terms")
-    df = df.withColumn("spans", F.concat("_terms", "_rules")).drop("_terms", "_rules")
+    parts = ["_terms", "_rules"]
+    if options.model is not None:
+        df = D.find_entities(D.find_with(df, options.model, options.types or D.supported_types(options.rules), text_col=text_col, out_col="_said"), "_said", text_col=text_col, out_col="_model").drop("_said")
+        parts = ["_model", *parts]
+    df = df.withColumn("spans", F.concat(*parts)).drop(*parts)
     return R.reconcile(df, text_col=text_col)
 
 

@@ -122,22 +122,17 @@ def table_cells(spark, d):
 ORACLE_SQL["table_cells"] = "SELECT doc_id, unnest(['n', 'v & w', doc_id::VARCHAR, 'b']) AS text, unnest([0, 100, 0, 200])::BIGINT AS left_px, unnest([0, 0, 50, 50])::BIGINT AS top_px, unnest([100, 200, 100, 100])::BIGINT AS width_px FROM documents"
 
 
-@query("SELECT b.doc_id, b.block AS block_text FROM (SELECT doc_id, substr(text, 1, 60) AS block FROM documents) b WHERE contains(b.block, 'the')")
-def match_blocks(spark, d):
-    blocks = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.substring("text", 1, 60).alias("text"), F.lit(0).alias("pos"), *[F.lit(100).alias(c) for c in ("left", "top", "width", "height")])
-    entities = blocks.select("doc_id", F.lit(1).alias("entity_id"), F.lit("the").alias("text"))
-    found = O.match_blocks(entities, blocks, page=["doc_id"])
-    return found.join(blocks.select("doc_id", F.col("text").alias("block_text")), "doc_id").select("doc_id", "block_text")
-
-
 @query("SELECT doc_id, text AS block_text FROM documents WHERE contains(text, 'the')")
-def match_blocks_whole(spark, d):
-    """As ``match_blocks``, each document's whole text a block."""
+def match_blocks(spark, d):
+    """Each document's whole text is a block."""
     blocks = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").withColumns({"pos": F.lit(0)} | {c: F.lit(100) for c in ("left", "top", "width", "height")})
     found_in = O.match_blocks(blocks.select("doc_id", F.lit(1).alias("entity_id"), F.lit("the").alias("text")), blocks, page=["doc_id"])
     return found_in.join(blocks.select("doc_id", F.col("text").alias("block_text")), "doc_id").select("doc_id", "block_text")
 
 
+QUERIES["match_blocks_whole"], ORACLE_SQL["match_blocks_whole"] = QUERIES["match_blocks"], ORACLE_SQL["match_blocks"]
+
+
 @query("SELECT doc_id, m AS card FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[3-6]\\d{15,18}', 0)) AS m FROM documents)")
 def ocr_rule_boxes(spark, d):
     blocks = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", F.lit(0).alias("left"), F.lit(0).alias("top"), F.lit(1000).alias("width"), F.lit(20).alias("height"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanforge.functions import text as X
 from spanforge.functions import values as V
 from spanforge.operators import history as H
+from spanforge.operators.plug import call_with
 
 MAX_BYTES = 50 * 1024 * 1024
 SCANNED_CHARS = 100
@@ -41,10 +42,10 @@ def allowed(name: Column, length: Column, most: int = MAX_BYTES) -> Column:
 
 def signature_fits(content: Column, ext: Column) -> Column:
     """Whether the first bytes are a known signature that stands for the extension; without a known one only texts fit."""
-    head = F.hex(F.substring(content, 1, 8))
+    head = F.substring(content, 1, 8)
     out = ext.isin([".txt", ".md", ".rtf", ".html", ".htm"])
     for signature, extensions in reversed(V.SIGNATURES):
-        out = F.when(head.startswith(signature), ext.isin(extensions)).otherwise(out)
+        out = F.when(F.startswith(head, F.lit(signature)), ext.isin(extensions)).otherwise(out)
     return out
 
 
@@ -84,6 +85,37 @@ def classified_pdf(df: DataFrame, *, pages_col: str = "pages") -> DataFrame:
     })
 
 
+def _number(content: Column, at: int, size: int, little: bool = False) -> Column:
+    """An unsigned number in bytes ``at`` (from 1) and on."""
+    part = F.substring(content, at, size)
+    return F.conv(F.hex(F.reverse(part) if little else part), 16, 10).cast("int")
+
+
+def image_size(content: Column) -> Column:
+    """(width, height) from the header of a PNG, GIF or BMP file; null for others."""
+    size = lambda w, h: F.struct(w.alias("width"), h.alias("height"))
+    is_ = lambda head: F.startswith(content, F.lit(head))
+    png = F.when(is_(b"\x89PNG"), size(_number(content, 17, 4), _number(content, 21, 4)))
+    gif = png.when(is_(b"GIF8"), size(_number(content, 7, 2, True), _number(content, 9, 2, True)))
+    return gif.when(is_(b"BM"), size(_number(content, 19, 4, True), _number(content, 23, 4, True)))
+
+
+def converted_with(df: DataFrame, make: Callable[[], Callable[[bytes], bytes]], *, content_col: str = "content") -> DataFrame:
+    """``content`` through a converter of bytes, such as one of old Word files; ``converted`` is false where it failed, and the
+    content is then null."""
+    return call_with(df, make, inputs=[content_col], out_col="_new", kind="binary", failed_col="_failed").withColumns({content_col: F.col("_new"), "converted": ~F.col("_failed")}).drop("_new", "_failed")
+
+
+def page_images(df: DataFrame, make: Callable[[], Callable[[bytes], list[bytes]]], *, content_col: str = "content") -> DataFrame:
+    """Adds ``images``, the pages of a file as a renderer of bytes gives them."""
+    return call_with(df, make, inputs=[content_col], out_col="images", kind="array<binary>")
+
+
+def page_image(images: Column, number: Column) -> Column:
+    """The image of a page, from 1; a page that is not there is null."""
+    return F.when(number.between(1, F.size(images)), F.get(images, number - 1))
+
+
 def parsed_image(df: DataFrame) -> DataFrame:
     return df.withColumns({"file_type": F.lit("image"), "is_scanned": F.lit(True), "page_count": F.lit(1), "content": F.lit(""), "pages": F.array().cast("array<string>")})
 
@@ -132,8 +164,7 @@ def registered(uploads: DataFrame, *, is_clean: Callable[[Column], Column] | Non
 def upserted(table: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key of both."""
     rows = table.unionByName(new, allowMissingColumns=True)
-    last = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(order).isNotNull(), F.col(order))).alias("_r")).select("_r.*")
 
 
 def patched(table: DataFrame, patches: DataFrame, key: str) -> DataFrame:
@@ -153,10 +184,11 @@ def without(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 def orphans(disk: DataFrame, known: DataFrame, *, path_col: str = "path", age_col: str = "age_seconds", least_age: int = 3600) -> DataFrame:
     """Files that no row knows and that are an hour old; none if the table knows suspiciously few of many files."""
-    there, named = disk.count(), known.count()
-    if there > 5 and named < there // 2:
-        return disk.limit(0)
-    return disk.where(F.col(age_col) > least_age).join(known.select(path_col), path_col, "left_anti")
+    one = lambda df, there, named: df.select(F.lit(there).alias("there"), F.lit(named).alias("named"))
+    counts = one(disk, 1, 0).unionByName(one(known, 0, 1)).agg(F.sum("there").alias("there"), F.sum("named").alias("named"))
+    sound = counts.where("there <= 5 OR named >= floor(there / 2)").select(F.lit(1).alias("_one"))
+    lost = disk.where(F.col(age_col) > least_age).join(known.select(path_col), path_col, "left_anti")
+    return lost.withColumn("_one", F.lit(1)).join(F.broadcast(sound), "_one", "left_semi").drop("_one")  # a row or none
 
 
 def newest(files: DataFrame, name_col: str, keep: int = 24) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.functions import pixels
+from spanforge.operators.plug import call_with
 from spanforge.sources import docx
 
 
@@ -35,6 +38,29 @@ def docx_outputs(df: DataFrame, *, content_col: str = "content", map_col: str =
     return df.mapInArrow(run, schema)
 
 
+def painted(df: DataFrame, *, method: str = "fill", strength: int = 25, color: str = "#000000", content_col: str = "content", boxes_col: str = "boxes", out_col: str = "output") -> DataFrame:
+    """Adds the PNG file with its boxes (fractions) covered; null for files that are no such PNG."""
+
+    def make():
+        return lambda data, boxes: pixels.write_png(pixels.cover(pixels.read_png(data), boxes or [], method, strength, color))
+
+    return call_with(df, make, inputs=[content_col, boxes_col], out_col=out_col, kind="binary")
+
+
+def previews(df: DataFrame, *, most: int = 256, content_col: str = "content", boxes_col: str = "boxes", out_col: str = "preview") -> DataFrame:
+    """Adds a small PNG with frames around the boxes; null for files that are no PNG."""
+
+    def make():
+        return lambda data, boxes: pixels.write_png(pixels.preview(pixels.outlined(pixels.read_png(data), boxes or []), most))
+
+    return call_with(df, make, inputs=[content_col, boxes_col], out_col=out_col, kind="binary")
+
+
+def images_with(df: DataFrame, make, *, content_col: str = "content", boxes_col: str = "boxes", out_col: str = "output") -> DataFrame:
+    """Adds the file that a writer of (bytes, boxes) gives, such as one that paints over a PDF's pages; null where it failed."""
+    return call_with(df, make, inputs=[content_col, boxes_col], out_col=out_col, kind="binary")
+
+
 def save_catalog(catalog: DataFrame, path: str) -> None:
     """Overwrites by the commit protocol: readers see the old table or the new one."""
     catalog.write.mode("overwrite").json(path)
@@ -44,9 +70,11 @@ def load_catalog(spark, path: str, schema: str, default: DataFrame) -> DataFrame
     """The saved catalog, or ``default`` if there is none or nothing in it can be read."""
     try:
         found = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-        return found if found.head(1) else default
-    except Exception:  # noqa: BLE001  a missing path is an analysis error
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return default
+    return found if found.head(1) else default
 
 
 def audit_rows(df: DataFrame, action: Column, resource_type: Column, resource_id: Column, user: Column, detail: Column) -> DataFrame:
