@@ -38,6 +38,38 @@ def scan(items: Column, state: Column, step, emit, kind: str) -> Column:
     return let(items, whole)
 
 
+def first_places(keys: Column) -> Column:
+    """For each element the place (from 0) of the first one equal to it; by sorting, not by comparing all with all."""
+
+    def of(placed: Column) -> Column:
+        new = lambda p, j: (j == 0) | ~F.get(placed, j - 1)["k"].eqNullSafe(p["k"])
+        marked = F.transform(placed, lambda p, j: F.struct(p["i"].alias("i"), new(p, j).alias("new")))
+        first = lambda at, m: F.when(m["new"], m["i"]).otherwise(at)
+        told = scan(marked, F.lit(0), first, lambda at, m: F.array(F.struct(m["i"].alias("i"), first(at, m).alias("first"))), "struct<i:int,first:int>")
+        return F.transform(F.array_sort(told), lambda x: x["first"])
+
+    return let(F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))), of)
+
+
+def ranks(first: Column) -> Column:
+    """Of ``first_places``: how many different elements there are up to each place."""
+    count = lambda n, new: n + new.cast("int")
+    return scan(F.transform(first, lambda f, i: f == i), F.lit(0), count, lambda n, new: F.array(count(n, new)), "int")
+
+
+def numbered(kinds: Column) -> Column:
+    """Of (kind, counts) structs: for each the number of those of its kind up to it that count."""
+
+    def of(placed: Column) -> Column:
+        zero = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).alias("n"))
+        count = lambda s, p: F.when(s["kind"].eqNullSafe(p["kind"]), s["n"]).otherwise(0) + p["counts"].cast("int")
+        step = lambda s, p: F.struct(p["kind"].alias("kind"), count(s, p).alias("n"))
+        told = scan(placed, zero, step, lambda s, p: F.array(F.struct(p["i"].alias("i"), count(s, p).alias("n"))), "struct<i:int,n:int>")
+        return F.transform(F.array_sort(told), lambda x: x["n"])
+
+    return let(F.array_sort(F.transform(kinds, lambda k, i: F.struct(k["kind"].alias("kind"), i.alias("i"), k["counts"].alias("counts")))), of)
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, text) of the matches that ``finditer`` gives; offsets are code points, ends exclusive."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern

@@ -101,15 +101,16 @@ def _of_rule(text: Column, rule: Rule) -> Column:
 
 def first_of_equal(spans: Column) -> Column:
     """Of spans with the same offsets the first; their order stays."""
-    return X.let(spans, lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda o: (o["start"] == s["start"]) & (o["end"] == s["end"]))))
+    places = lambda all_: X.first_places(F.transform(all_, lambda s: F.struct(s["start"], s["end"])))
+    return X.let(spans, lambda all_: X.let(places(all_), lambda first: F.filter(all_, lambda s, i: F.get(first, i) == i)))
 
 
 def leftmost(spans: Column) -> Column:
     """Spans by start, of equal starts the higher priority first, leaving out what begins before the last kept one ends."""
     placed = F.array_sort(F.transform(spans, lambda s, i: F.struct(s["start"].alias("a"), (-s["priority"]).alias("b"), i.alias("i"), s.alias("s"))))
-    zero = F.struct(F.lit(0).alias("upto"), F.array().cast(SPANS).alias("out"))
-    step = lambda x, p: F.when(p["s"]["start"] >= x["upto"], F.struct(p["s"]["end"].alias("upto"), F.concat(x["out"], F.array(p["s"])).alias("out"))).otherwise(x)
-    return F.aggregate(placed, zero, step, lambda x: x["out"])
+    free = lambda upto, p: p["s"]["start"] >= upto
+    emit = lambda upto, p: F.when(free(upto, p), F.array(p["s"])).otherwise(F.array().cast(SPANS))
+    return X.scan(placed, F.lit(0), lambda upto, p: F.when(free(upto, p), p["s"]["end"]).otherwise(upto), emit, SPANS[len("array<") : -1])
 
 
 def find_patterns(df: DataFrame, rules: list[Rule] = BUILTIN, types: list[str] | None = None, *, text_col: str = "text", out_col: str = "spans", resolve: bool = True) -> DataFrame:

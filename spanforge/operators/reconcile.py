@@ -28,28 +28,29 @@ def verified(text: Column, spans: Column) -> Column:
         moved = F.transform(F.slice(places, 1, 1), lambda p: s.withField("start", p["start"]).withField("end", p["end"]))
         return F.concat(out, F.when(F.coalesce(X.slice_is(text, s["start"], s["end"], s["text"]), F.lit(False)), F.array(s)).when(F.length(s["text"]) > 0, moved).otherwise(F.array().cast(SPANS)).cast(SPANS))
 
-    return F.aggregate(spans, F.array().cast(SPANS), step)
+    placed = F.forall(spans, lambda s: F.coalesce(X.slice_is(text, s["start"], s["end"], s["text"]), F.lit(False)))
+    return F.when(placed, spans).otherwise(F.aggregate(spans, F.array().cast(SPANS), step))
 
 
 def best_of_equal(spans: Column) -> Column:
     """Of spans with the same offsets the one of highest confidence, then source, then type; the first of full ties."""
-    rank = lambda s: F.struct(s["confidence"].alias("a"), _rank(s["source"], SOURCE_RANK, 0).alias("b"), _rank(s["type"], TYPE_RANK, 1).alias("c"))
-    return X.let(F.transform(spans, lambda s, i: F.struct(rank(s).alias("r"), i.alias("i"), s.alias("s"))), _winners)
+    less = lambda s, i: [(-s["confidence"]).alias("a"), (-_rank(s["source"], SOURCE_RANK, 0)).alias("b"), (-_rank(s["type"], TYPE_RANK, 1)).alias("c"), i.alias("i")]
 
+    def of(all_: Column, first: Column) -> Column:
+        # By the place of the first of its equals, then the best one: that stands where the first stood.
+        placed = F.array_sort(F.transform(all_, lambda s, i: F.struct(F.get(first, i).alias("g"), *less(s, i), s.alias("s"))))
+        best = X.let(placed, lambda ps: F.filter(ps, lambda p, j: (j == 0) | (F.get(ps, j - 1)["g"] != p["g"])))
+        return F.transform(best, lambda p: p["s"])
 
-def _winners(placed: Column) -> Column:
-    same = lambda p, o: (p["s"]["start"] == o["s"]["start"]) & (p["s"]["end"] == o["s"]["end"])
-    beaten = lambda p: F.exists(placed, lambda o: same(p, o) & ((o["r"] > p["r"]) | ((o["r"] == p["r"]) & (o["i"] < p["i"]))))
-    # The winner stands where the first of its equals stood.
-    first = lambda p: F.array_min(F.transform(F.filter(placed, lambda o: same(p, o)), lambda o: o["i"]))
-    kept = F.transform(F.filter(placed, lambda p: ~beaten(p)), lambda p: F.struct(first(p).alias("i"), p["s"].alias("s")))
-    return F.transform(F.array_sort(kept), lambda p: p["s"])
+    places = lambda all_: X.first_places(F.transform(all_, lambda s: F.struct(s["start"], s["end"])))
+    return X.let(spans, lambda all_: X.let(places(all_), lambda first: of(all_, first)))
 
 
 def with_corefs(spans: Column) -> Column:
     """``coref_NNN`` from 1 for each (text, type) in the order they come."""
-    keys = F.array_distinct(F.transform(spans, lambda s: F.struct(s["text"].alias("text"), s["type"].alias("type"))))
-    return X.let(keys, lambda k: F.transform(spans, lambda s: s.withField("coref_id", F.format_string("coref_%03d", F.array_position(k, F.struct(s["text"].alias("text"), s["type"].alias("type")))))))
+    places = lambda all_: X.first_places(F.transform(all_, lambda s: F.struct(s["text"], s["type"])))
+    named = lambda all_, first, n: F.transform(all_, lambda s, i: s.withField("coref_id", F.format_string("coref_%03d", F.get(n, F.get(first, i)))))
+    return X.let(spans, lambda all_: X.let(places(all_), lambda first: X.let(X.ranks(first), lambda n: named(all_, first, n))))
 
 
 def by_start(spans: Column) -> Column:

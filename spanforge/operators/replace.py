@@ -38,14 +38,20 @@ def _key(s: Column) -> Column:
     return F.coalesce(s["coref_id"], s["text"])
 
 
-def things(spans: Column, custom: Column | None = None) -> Column:
+def _firsts(spans: Column) -> Column:
+    return X.first_places(F.transform(spans, _key))
+
+
+def things(spans: Column, custom: Column | None = None, first: Column | None = None) -> Column:
     """(key, text, type, n) of each thing in the order they come; n counts the things of a type, with ``custom`` only those
     that neither it nor the span gives a value."""
     own = (lambda s: s["replacement"]) if custom is not None else (lambda s: F.lit(None).cast("string"))
     uses = (lambda t: F.lit(True)) if custom is None else (lambda t: ~F.coalesce(F.map_contains_key(custom, t["text"]), F.lit(False)) & t["own"].isNull())
-    first = F.filter(spans, lambda s, i: ~F.exists(F.slice(spans, F.lit(1), i), lambda o: _key(o) == _key(s)))
-    told = F.transform(first, lambda s: F.struct(_key(s).alias("key"), s["text"].alias("text"), s["type"].alias("type"), own(s).alias("own")))
-    return X.let(told, lambda all_: F.transform(all_, lambda t, i: t.withField("n", F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda o: (o["type"] == t["type"]) & uses(o))))))
+    chosen = lambda f: F.filter(spans, lambda s, i: F.get(f, i) == i)
+    told = lambda f: F.transform(chosen(f), lambda s: F.struct(_key(s).alias("key"), s["text"].alias("text"), s["type"].alias("type"), own(s).alias("own")))
+    numbers = lambda all_: X.numbered(F.transform(all_, lambda t: F.struct(t["type"].alias("kind"), uses(t).alias("counts"))))
+    with_n = lambda all_: X.let(numbers(all_), lambda n: F.transform(all_, lambda t, i: t.withField("n", F.get(n, i))))
+    return X.let(_firsts(spans) if first is None else first, lambda f: X.let(told(f), with_n))
 
 
 def allocate(df: DataFrame, mode: str = "smart", *, spans_col: str = "spans", custom_col: str | None = None, templates: dict[str, str] | None = None, selected_only: bool = True, compat: bool = False) -> DataFrame:
@@ -74,24 +80,30 @@ def allocate(df: DataFrame, mode: str = "smart", *, spans_col: str = "spans", cu
             return F.coalesce(F.element_at(custom, t["text"]), s["replacement"], smart(t["type"], t["n"]))
         return smart(t["type"], t["n"])
 
-    def filled(all_: Column, known: Column) -> Column:
-        return F.transform(all_, lambda s: s.withField("replacement", X.let(F.get(F.filter(known, lambda t: t["key"] == _key(s)), F.lit(0)), lambda t: value(s, t))))
+    def filled(all_: Column, first: Column, known: Column) -> Column:
+        thing = lambda n, i: F.get(known, F.get(n, F.get(first, i)) - 1)
+        return X.let(X.ranks(first), lambda n: F.transform(all_, lambda s, i: s.withField("replacement", X.let(thing(n, i), lambda t: value(s, t)))))
 
     def mapped(done: Column) -> Column:
-        first = F.filter(done, lambda s, i: ~F.exists(F.slice(done, F.lit(1), i), lambda o: o["text"] == s["text"]))
-        return F.struct(done.alias("spans"), F.map_from_entries(F.transform(first, lambda s: F.struct(s["text"].alias("key"), s["replacement"].alias("value")))).alias("entity_map"))
+        own = lambda f: F.filter(done, lambda s, i: F.get(f, i) == i)
+        texts = X.first_places(F.transform(done, lambda s: s["text"]))
+        pairs = X.let(texts, lambda f: F.transform(own(f), lambda s: F.struct(s["text"].alias("key"), s["replacement"].alias("value"))))
+        return F.struct(done.alias("spans"), F.map_from_entries(pairs).alias("entity_map"))
 
     counted = custom if mode == "custom" and not compat else None
-    both = X.let(spans, lambda all_: X.let(things(all_, counted), lambda known: X.let(filled(all_, known), mapped)))
+    with_first = lambda all_, first: X.let(things(all_, counted, first), lambda known: X.let(filled(all_, first, known), mapped))
+    both = X.let(spans, lambda all_: X.let(_firsts(all_), lambda first: with_first(all_, first)))
     return df.withColumn("_both", both).withColumns({spans_col: F.col("_both.spans"), "entity_map": F.col("_both.entity_map")}).drop("_both")
 
 
 def fallback_map(spans: Column, mode: str = "smart") -> Column:
     """The map a screen shows before the server answers: numbers go up with each span, and the last value of a text stays."""
     made = {"smart": lambda s, n: smart(s["type"], n), "mask": lambda s, n: X.masked(s["type"], s["text"]), "structured": lambda s, n: structured(s["type"], n, {})}[mode]
-    number = lambda all_, s, i: F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda o: o["type"] == s["type"]))
-    pairs = lambda all_: F.transform(all_, lambda s, i: F.struct(s["text"].alias("key"), made(s, number(all_, s, i)).alias("value")))
-    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda o: o["key"] == p["key"]))
+    numbers = lambda all_: X.numbered(F.transform(all_, lambda s: F.struct(s["type"].alias("kind"), F.lit(True).alias("counts"))))
+    pairs = lambda all_: X.let(numbers(all_), lambda n: F.transform(all_, lambda s, i: F.struct(s["text"].alias("key"), made(s, F.get(n, i)).alias("value"))))
+    # The last of equal keys is the first from behind.
+    back = lambda ps: X.first_places(F.transform(F.reverse(ps), lambda p: p["key"]))
+    last = lambda ps: X.let(back(ps), lambda f: F.filter(ps, lambda p, i: F.get(f, F.size(ps) - 1 - i) == F.size(ps) - 1 - i))
     chosen = F.filter(spans, lambda s: F.coalesce(s["selected"], F.lit(True)) & (F.length(s["text"]) > 0))
     return F.map_from_entries(X.let(chosen, lambda all_: X.let(pairs(all_), last)))
 
@@ -127,6 +139,8 @@ def normalized(df: DataFrame, *, text_col: str = "text", spans_col: str = "spans
 def undone(versions: DataFrame, key: str, order: str, steps: int = 0, redo: int = 0) -> DataFrame:
     """The state of each key ``steps`` versions before its last (at most 50 back, and not before its first), then ``redo`` ahead
     again."""
-    back = max(0, min(steps, 50) - redo)
-    kept = versions.groupBy(key).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(order, F.struct(*versions.columns).alias("_v"))))), 1, 51).alias("_h"))
-    return kept.select(F.get("_h", F.least(F.lit(back), F.size("_h") - 1))["_v"].alias("_v")).select("_v.*")
+    from pyspark.sql import Window
+
+    back = max(0, min(steps, 50) - redo) + 1
+    recent = versions.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_n") <= back)
+    return recent.groupBy(key).agg(F.max_by(F.struct(*versions.columns), "_n").alias("_v")).select("_v.*")

@@ -49,8 +49,10 @@ def anonymize(df: DataFrame, options: Options = Options(), *, text_col: str = "t
 
 
 def _apart(spans: Column) -> Column:
-    """Spans by start that don't begin inside the one kept before."""
-    return X.let(spans, lambda all_: F.filter(all_, lambda s, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda o: o["end"] > s["start"])))
+    """Spans by start that don't begin inside one before."""
+    emit = lambda upto, s: F.when(s["start"] >= upto, F.array(s)).otherwise(F.slice(F.array(s), 1, 0))
+    step = lambda upto, s: F.greatest(upto, s["end"])
+    return X.scan(spans, F.lit(0), step, emit, f"struct<{D.FIELDS},id:string,replacement:string>")
 
 
 def mask_emails(df: DataFrame, *, text_col: str = "text") -> DataFrame:
