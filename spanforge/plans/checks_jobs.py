@@ -274,23 +274,51 @@ def progress_changes(spark, d):
     return S.changed(events(spark, d), key="user_id", order=["event_id"], columns=["event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query()
+CALLS_SQL = """calls AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1e6 AS t, event_type <> 'error' AS success, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"""
+
+
+def _machine(first: str, next_: str, out: str) -> str:
+    """A key's calls one after another: the state and the answer of the first call, and of the next ones from the state before."""
+    return f"""WITH RECURSIVE {CALLS_SQL}, s AS (SELECT event_id, user_id, n, {first} FROM calls c WHERE n = 1 UNION ALL SELECT c.event_id, c.user_id, c.n, {next_} FROM s JOIN calls c ON c.user_id = s.user_id AND c.n = s.n + 1) SELECT event_id, user_id, {out} FROM s"""
+
+
+SEEN = "list_filter(s.seen, lambda x: x > c.t - 3600)"
+LOCKED, LIFTED = "s.until IS NOT NULL AND c.t < s.until", "s.until IS NOT NULL AND c.t >= s.until"
+FAILURES = f"CASE WHEN {LIFTED} THEN 0 ELSE s.failures END"
+FOUND = "CASE WHEN s.opened IS NULL THEN 'closed' WHEN c.t - s.opened > 3600 THEN 'half_open' ELSE 'open' END"
+MACHINES_SQL = {
+    "rate_limit": _machine("true AS allowed, [t] AS seen", f"len({SEEN}) < 2, CASE WHEN len({SEEN}) < 2 THEN list_append({SEEN}, c.t) ELSE {SEEN} END", "allowed"),
+    "idempotency_first": _machine("event_type AS result, t AS at", "CASE WHEN c.t - s.at < 3600 THEN s.result ELSE c.event_type END, CASE WHEN c.t - s.at < 3600 THEN s.at ELSE c.t END", "result"),
+    "login_lockout": _machine(
+        "CASE WHEN success THEN 'ok' ELSE 'failed' END AS outcome, CASE WHEN success THEN 0 ELSE 1 END AS failures, NULL::DOUBLE AS until",
+        f"CASE WHEN {LOCKED} THEN 'locked' WHEN c.success THEN 'ok' ELSE 'failed' END, CASE WHEN {LOCKED} THEN s.failures WHEN c.success THEN 0 ELSE {FAILURES} + 1 END, CASE WHEN {LOCKED} THEN s.until WHEN NOT c.success AND {FAILURES} + 1 >= 2 THEN c.t + 86400 END",
+        "outcome",
+    ),
+    "circuit_breaker": _machine(
+        "'closed' AS state, CASE WHEN success THEN 0 ELSE 1 END AS failures, NULL::DOUBLE AS opened",
+        f"{FOUND}, CASE WHEN {FOUND} = 'open' THEN s.failures WHEN c.success THEN 0 ELSE s.failures + 1 END, CASE WHEN {FOUND} = 'open' THEN s.opened WHEN c.success THEN NULL WHEN {FOUND} = 'half_open' OR s.failures + 1 >= 2 THEN c.t END",
+        "state",
+    ),
+}
+
+
+@query(MACHINES_SQL["rate_limit"])
 def rate_limit(spark, d):
     return S.fold(events(spark, d), S.sliding_limit(2, 3600.0), key="user_id", time="seconds", id_col="event_id", inputs=[], out="allowed boolean")
 
 
-@query()
+@query(MACHINES_SQL["idempotency_first"])
 def idempotency_first(spark, d):
     return S.fold(events(spark, d), S.first_result(3600.0), key="user_id", time="seconds", id_col="event_id", inputs=["event_type"], out="result string")
 
 
-@query()
+@query(MACHINES_SQL["login_lockout"])
 def login_lockout(spark, d):
     calls = events(spark, d).withColumn("success", F.col("event_type") != "error")
     return S.fold(calls, S.lockout(2, 86400.0), key="user_id", time="seconds", id_col="event_id", inputs=["success"], out="outcome string")
 
 
-@query()
+@query(MACHINES_SQL["circuit_breaker"])
 def circuit_breaker(spark, d):
     calls = events(spark, d).withColumn("success", F.col("event_type") != "error")
     return S.fold(calls, S.breaker(2, 3600.0), key="user_id", time="seconds", id_col="event_id", inputs=["success"], out="state string")
