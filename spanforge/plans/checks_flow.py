@@ -124,8 +124,9 @@ def image_files(spark, d):
 def image_sizes(spark, d):
     w, h, k = F.col("page_id") % 256 + 1, F.col("page_id") % 100 + 7, F.col("page_id") % 4
     big = lambda v, n: F.unhex(F.lpad(F.hex(v), 2 * n, "0"))
+    little = lambda v, n: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(n)])
     pad = lambda n: F.unhex(F.lit("00" * n))
-    content = F.when(k == 0, F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), pad(8), big(w, 4), big(h, 4))).when(k == 1, F.concat(F.lit(b"GIF89a"), F.reverse(big(w, 2)), F.reverse(big(h, 2)))).when(k == 2, F.concat(F.lit(b"BM"), pad(16), F.reverse(big(w, 4)), F.reverse(big(h, 4)))).otherwise(F.lit(b"\xff\xd8\xff"))
+    content = F.when(k == 0, F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), pad(8), big(w, 4), big(h, 4))).when(k == 1, F.concat(F.lit(b"GIF89a"), little(w, 2), little(h, 2))).when(k == 2, F.concat(F.lit(b"BM"), pad(16), little(w, 4), little(h, 4))).otherwise(F.lit(b"\xff\xd8\xff"))
     size = S.image_size(content)
     return pages(spark, d).select("page_id", size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height"))
 

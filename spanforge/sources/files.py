@@ -87,8 +87,9 @@ def classified_pdf(df: DataFrame, *, pages_col: str = "pages") -> DataFrame:
 
 def _number(content: Column, at: int, size: int, little: bool = False) -> Column:
     """An unsigned number in bytes ``at`` (from 1) and on."""
-    part = F.substring(content, at, size)
-    return F.conv(F.hex(F.reverse(part) if little else part), 16, 10).try_cast("int")
+    places = range(at, at + size)
+    digits = F.concat(*[F.hex(F.substring(content, k, 1)) for k in (reversed(places) if little else places)])
+    return F.conv(digits, 16, 10).try_cast("int")
 
 
 def image_size(content: Column) -> Column:
