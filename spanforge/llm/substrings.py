@@ -7,7 +7,10 @@ those of their anchor's hash only, and neighbouring windows of one anchor travel
 1. Blocks of documents give their anchors' hashes; a block names a hash once.  A shuffle by hash drops those seen once.
 2. The stretches of the rest, each distinct one of a block once, are shuffled by hash.  A hash with one distinct stretch that
    is there twice is repeated as a whole; otherwise the windows of its stretches are sorted as suffixes (``Suffixes``).
-3. What is repeated goes back to the blocks, which cut their texts.
+3. A hash of more than ``HOT`` stretches is not one task's: its stretches are spread by their own bytes.  Those that are there
+   twice are repeated as a whole, and one of each gives a 128-bit digest for each window; digests are counted before they are
+   shuffled, and a window whose digest is there twice is repeated.
+4. What is repeated goes back to the blocks, which cut their texts.
 
 Texts travel in compressed blocks (``BLOCK_BYTES`` or one longer text); no task holds more than one, and copies of a passage
 are one row a block.  A block's key contains a checksum of its bytes: an input that changes between reads fails the job.
@@ -19,6 +22,7 @@ repeat each other's text; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -28,12 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.llm import store
 from spanforge.llm import words as W
 from spanforge.llm.decontam import qgrams
 from spanforge.llm.suffix import Suffixes
 
 LENGTH, GRAM = 200, 40
 BLOCK_BYTES, STEP_BYTES, SORT_BYTES = 8 << 20, 2 << 20, 2 << 20
+#: Stretches of one anchor that are sorted in one task: about ``SORT_BYTES`` of them.
+HOT = SORT_BYTES >> 9
 COUNT_BITS, CHECK_BITS = 14, 27
 #: A stretch is packed as start, place of its anchor in it, length.
 SHORT = 9
@@ -100,26 +107,34 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ANCHORS = "code long, block long, place long, more binary"
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, those whose hash is there twice."""
-    held = None  # the last row so far, and whether it is wanted already
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        code = batch.column(0).to_numpy()
-        equal = code[1:] == code[:-1]
-        want = np.append(False, equal) | np.append(equal, False) | batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+def _shared(most: int):
+    """Of rows sorted by hash, those whose hash is there twice, and whether it is of more than ``most`` stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None  # rows of the last hash, if they are few so far; the last hash, if they are not
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            code = table.column("code").to_numpy()
+            weight = 1 + np.diff(W.buffers(table.column("more").combine_chunks())[1]) // 8
+            edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            total = np.add.reduceat(weight, edge)
+            if code[0] == hot:
+                total[0] = most + 1
+            last = int(edge[-1]) if total[-1] <= most else table.num_rows
+            held = table.slice(last).to_batches()[0] if last < table.num_rows else None
+            hot = code[-1] if held is None else None
+            yield from given(table.slice(0, last), np.repeat(total, np.diff(np.append(edge, len(code))))[:last])
         if held is not None:
-            row, good = held
-            if row.column(0)[0].as_py() == code[0]:
-                good = want[0] = True
-            if good:
-                yield row
-        held = batch.slice(batch.num_rows - 1), bool(want[-1])
-        want[-1] = False
-        yield batch.filter(pa.array(want))
-    if held is not None and held[1]:
-        yield held[0]
+            weight = 1 + np.diff(W.buffers(held.column("more"))[1]) // 8
+            yield from given(pa.Table.from_batches([held]), np.full(held.num_rows, weight.sum()))
+
+    def given(table: pa.Table, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = table.append_column("hot", pa.array(total > most))
+        yield from table.filter(pa.array(total > 1)).combine_chunks().to_batches()
+
+    return run
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,23 +160,24 @@ def _take(body: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(body[index])])
 
 
-STRETCHES = "code long, body binary, block long, own long, many boolean"
+STRETCHES = "code long, body binary, block long, own long, many boolean, hot boolean"
 _MASK = (1 << SHORT) - 1
 
 
 def _cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
     """The distinct stretches of a block with what stands for them (``own``), and one row (own < 0) that says where they are."""
-    names = ["code", "body", "block", "own", "many"]
+    names = ["code", "body", "block", "own", "many", "hot"]
     if not right.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())], names)
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())], names)
     _, body, _ = _open(left)
     key = right.column("block")[0].as_py()
     more = right.column("more").combine_chunks()
     extra = [np.frombuffer(m, np.int64) if m else np.zeros(0, np.int64) for m in more.to_pylist()]
-    code = np.concatenate([right.column("code").to_numpy(), np.repeat(right.column("code").to_numpy(), [len(e) for e in extra])])
+    times = [len(e) for e in extra]
+    code, hot = (np.concatenate([c, np.repeat(c, times)]) for c in (right.column(n).to_numpy() for n in ("code", "hot")))
     place = np.concatenate([right.column("place").to_numpy(), *extra])
     order = np.argsort(code, kind="stable")
-    code, place = code[order], place[order]
+    code, hot, place = code[order], hot[order], place[order]
     own, parts, count = [], [], 0
     for k in range(0, len(code), 1 << 15):
         p = place[k : k + (1 << 15)]
@@ -169,15 +185,16 @@ def _cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         index = coded.indices.to_numpy()
         first = np.unique(index, return_index=True)[1]
         name = np.arange(count, count + len(first)) << SHORT | (p[first] >> SHORT & _MASK)
-        parts.append(pa.table([pa.array(code[k : k + (1 << 15)][first]), coded.dictionary, pa.array(np.full(len(first), key)), pa.array(name), pa.array(np.bincount(index) > 1)], names))
+        parts.append(pa.table([pa.array(code[k : k + (1 << 15)][first]), coded.dictionary, pa.array(np.full(len(first), key)), pa.array(name), pa.array(np.bincount(index) > 1), pa.array(hot[k : k + (1 << 15)][first])], names))
         own.append(index.astype(np.int64) + count)
         count += len(first)
     where = np.stack([place >> 2 * SHORT, np.concatenate(own)]).astype(np.uint32)
-    told = pa.table([pa.array([key]), pa.array([len(code).to_bytes(8, "little") + pa.compress(where.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([key]), pa.array([-1]), pa.array([False])], names)
+    told = pa.table([pa.array([key]), pa.array([len(code).to_bytes(8, "little") + pa.compress(where.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([key]), pa.array([-1]), pa.array([False]), pa.array([False])], names)
     return pa.concat_tables([*parts, told])
 
 
-ANSWERS = "block long, own long, spans binary"
+#: ``key`` is the digest of one window of a hot hash, which is an answer if it is there twice; without ``spans`` it only counts.
+ANSWERS = "block long, own long, spans binary, key binary"
 
 
 def judge(code: np.ndarray, body: pa.Array, anchor: np.ndarray, many: np.ndarray, length: int = LENGTH) -> list[bytes]:
@@ -220,21 +237,69 @@ def judge(code: np.ndarray, body: pa.Array, anchor: np.ndarray, many: np.ndarray
     return [spans[k] for k in index]
 
 
+def _answers(block: pa.Array, own: pa.Array, spans: pa.Array, key: pa.Array | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([block, own, spans, pa.nulls(len(block), pa.binary()) if key is None else key], ["block", "own", "spans", "key"])
+
+
+def _windows(rows: list[tuple[bytes, int, int, bool]], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
+    """The digest of each window of distinct stretches (bytes, block, own, whether they are answered)."""
+    for k in range(0, len(rows), 256):
+        part = rows[k : k + 256]
+        key = [hashlib.blake2b(body[i : i + length], digest_size=16).digest() for body, *_ in part for i in range(len(body) - length + 1)]
+        times = np.array([len(body) - length + 1 for body, *_ in part])
+        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        spans = np.stack([offset, offset + length], 1).astype(np.uint16)
+        block, own, done = (np.repeat(np.array(c), times) for c in list(zip(*part))[1:])
+        yield _answers(pa.array(block), pa.array(own), pa.array([None if d else s.tobytes() for d, s in zip(done, spans)], pa.binary()), pa.array(key, pa.binary()))
+
+
+def _spread(batch: pa.RecordBatch, last):
+    """Answers for rows of hot hashes, equal stretches of which are together, and the last stretch, which may go on: those that
+    are there twice are repeated as a whole, and one of each gives its windows."""
+    body, many = batch.column("body").to_pylist(), batch.column("many").to_pylist()
+    block, own = batch.column("block").to_pylist(), [x >> SHORT for x in batch.column("own").to_pylist()]
+    whole: list[tuple[int, int, bytes]] = []
+    ended = []
+
+    def answered(of_block: int, of_own: int, text: bytes) -> None:
+        whole.append((of_block, of_own, np.array([0, len(text)], np.uint16).tobytes()))
+
+    for text, twice, of_block, of_own in zip(body, many, block, own):
+        if last is not None and last[0] == text:
+            if not last[3]:
+                answered(last[1], last[2], text)
+                last = (*last[:3], True)
+            answered(of_block, of_own, text)
+            continue
+        if last is not None:
+            ended.append(last)
+        if twice:
+            answered(of_block, of_own, text)
+        last = (text, of_block, of_own, twice)
+    made = [_answers(*(pa.array(c, t) for c, t in zip(zip(*whole), (pa.int64(), pa.int64(), pa.binary()))))] if whole else []
+    return itertools.chain(made, _windows(ended)), last
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answer(table: pa.Table) -> pa.RecordBatch:
         own = table.column("own").to_numpy()
         spans = judge(table.column("code").to_numpy(), table.column("body").combine_chunks(), own & _MASK, table.column("many").to_numpy(), LENGTH)
-        made = pa.RecordBatch.from_arrays([table.column("block").combine_chunks(), pa.array(own >> SHORT), pa.array(spans, pa.binary())], ["block", "own", "spans"])
+        made = _answers(table.column("block").combine_chunks(), pa.array(own >> SHORT), pa.array(spans, pa.binary()))
         return made.filter(pa.array([bool(s) for s in spans]))
 
+    last = None  # the last stretch of a hot hash: its bytes, its row, and whether it has been answered
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
         told = pa.array(batch.column("own").to_numpy() < 0)
         where = batch.filter(told)
         if where.num_rows:
-            yield pa.RecordBatch.from_arrays([where.column("block"), where.column("own"), where.column("body")], ["block", "own", "spans"])
-        batch = batch.filter(pa.array(~told.to_numpy(zero_copy_only=False)))
+            yield _answers(where.column("block"), where.column("own"), where.column("body"))
+        hot = batch.filter(batch.column("hot"))
+        if hot.num_rows:
+            made, last = _spread(hot, last)
+            yield from made
+        batch = batch.filter(pa.array(~(told.to_numpy(zero_copy_only=False) | batch.column("hot").to_numpy(zero_copy_only=False))))
         k = 0
         while k < batch.num_rows:
             # Rows of the hash that was last held, then as many whole hashes as fit.
@@ -259,6 +324,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = end
     if held:
         yield answer(pa.Table.from_batches(held))
+    if last is not None:
+        yield from _windows([last])
 
 
 KINDS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
@@ -275,12 +342,12 @@ def _finish(outputs: Sequence[str]):
             data = spans[int(told[0])].as_py()
             n = int.from_bytes(data[:8], "little")
             start, name = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint32).reshape(2, n).astype(np.int64)
-            real = np.flatnonzero(own >= 0)
+            real = np.argsort(own, kind="stable")[len(told) :]
             flat, at = W.buffers(spans.take(pa.array(real)))
             pairs, at = np.frombuffer(flat.tobytes(), np.uint16).reshape(-1, 2).astype(np.int64), at // 4
-            first = np.zeros(int(name.max()) + 2, np.int64)
-            count = np.zeros(int(name.max()) + 2, np.int64)
-            first[own[real]], count[own[real]] = at[:-1], np.diff(at)
+            # A hot hash's stretch has a row for each of its windows.
+            count = np.bincount(np.repeat(own[real], np.diff(at)), minlength=int(name.max()) + 2)
+            first = np.cumsum(count) - count
             n_pairs = count[name]
             entry = np.repeat(first[name], n_pairs) + np.arange(n_pairs.sum()) - np.repeat(np.cumsum(n_pairs) - n_pairs, n_pairs)
             begin = np.repeat(start, n_pairs)
@@ -304,14 +371,20 @@ def _finish(outputs: Sequence[str]):
     return run
 
 
-def remove_repeats(df: DataFrame, *, outputs: Sequence[str] = ("n_bytes", "n_removed", "n_spans", "kept")) -> DataFrame:
-    """One row per document: ``doc_id`` and the named outputs (see ``KINDS``); ``kept`` are the bytes that stay."""
+def remove_repeats(df: DataFrame, *, hot: int = HOT, outputs: Sequence[str] = ("n_bytes", "n_removed", "n_spans", "kept")) -> DataFrame:
+    """One row per document: ``doc_id`` and the named outputs (see ``KINDS``); ``kept`` are the bytes that stay.  ``hot`` says
+    how many stretches of one anchor a task sorts; the result is the same for any."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = rows.mapInArrow(_anchors, ANCHORS).repartition("code").sortWithinPartitions("code").mapInArrow(_shared, ANCHORS)
+    shared = rows.mapInArrow(_anchors, ANCHORS).repartition("code").sortWithinPartitions("code").mapInArrow(_shared(hot), f"{ANCHORS}, hot boolean")
     texts = rows.mapInArrow(_texts, TEXTS)
     cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_out, STRETCHES)
-    answers = cut.repartition("code").sortWithinPartitions("code", "body").mapInArrow(_judge, ANSWERS)
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(outputs), ", ".join(["doc_id long", *(f"{c} {KINDS[c]}" for c in outputs)]))
+    route = F.when(F.col("hot"), F.xxhash64("code", "body")).otherwise(F.col("code"))
+    placed = cut.withColumn("route", route).repartition("route").sortWithinPartitions("route", "body").drop("route")
+    judged = store.written(placed.mapInArrow(_judge, ANSWERS), "judged")
+    windows = judged.where("key IS NOT NULL")
+    twice = windows.groupBy("key").count().where("count > 1").select("key")
+    found = judged.where("key IS NULL").unionByName(windows.where("spans IS NOT NULL").join(twice, "key", "left_semi")).drop("key")
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_finish(outputs), ", ".join(["doc_id long", *(f"{c} {KINDS[c]}" for c in outputs)]))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,9 +198,42 @@ def test_repeats_are_removed_exactly(spark, docs, odd):
                 gone[i + 200] -= 1
         gone = np.cumsum(gone[:-1]) > 0
         want.append((name or -1, len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()) if len(b) else 0, np.frombuffer(b, np.uint8)[~gone].tobytes()))
-    got = [(r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(table).collect()]
-    assert sorted(got) == sorted(want)
-    assert substrings.remove_repeats(odd.limit(0)).count() == 0
+    for hot in (0, 3, substrings.HOT):
+        got = [(r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(table, hot=hot).collect()]
+        assert sorted(got) == sorted(want)
+        assert substrings.remove_repeats(odd.limit(0), hot=hot).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 2, 5])
+@pytest.mark.parametrize("step", [1, 2, 7, 100])
+def test_hot_anchors_are_told_whatever_the_batches(most, step):
+    rnd = random.Random(most)
+    rows = [(code, block, 0, b"12345678" * rnd.choice([0, 0, 1, 3]) or None) for code in range(30) for block in range(rnd.randint(1, 6))]
+    total = {code: sum(1 + len(r[3] or b"") // 8 for r in rows if r[0] == code) for code in range(30)}
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["code", "block", "place", "more"])
+    batches = (whole.slice(k, step) for k in range(0, len(rows), step))
+    got = [tuple(r.values()) for b in substrings._shared(most)(batches) for r in b.to_pylist()]
+    assert got == [(*r, total[r[0]] > most) for r in rows if total[r[0]] > 1]
+
+
+def test_stretches_of_a_hot_anchor_go_by_their_bytes():
+    rnd = random.Random(4)
+    common = rnd.randbytes(200)
+    # Copies, variants around one passage, and one that nothing shares.
+    texts = [rnd.randbytes(20) + common[:150] + rnd.randbytes(60), rnd.randbytes(12) + common + rnd.randbytes(8), common + rnd.randbytes(15), common[:199]]
+    texts = sorted(t for t, n in zip(texts, (1, 3, 1, 1)) for _ in range(n) if len(t) >= 200)
+    for step in (1, 2, 5):
+        last, found = None, []
+        for k in range(0, len(texts), step):
+            part = texts[k : k + step]
+            made, last = substrings._spread(pa.table({"body": part, "many": [False] * len(part), "block": [0] * len(part), "own": [(k + i) << substrings.SHORT for i in range(len(part))]}), last)
+            found += [r for b in made for r in b.to_pylist()]
+        found += [r for b in substrings._windows([last]) for r in b.to_pylist()]
+        whole = sorted(r["own"] for r in found if r["key"] is None)
+        assert whole == [k for k, t in enumerate(texts) if texts.count(t) > 1]
+        keys = [r["key"] for r in found if r["key"]]
+        again = {r["own"]: np.frombuffer(r["spans"], np.uint16).tolist() for r in found if r["key"] and r["spans"] and keys.count(r["key"]) > 1}
+        assert again == {k: [0, 200] for k, t in enumerate(texts) if t.startswith(common)}
 
 
 def _fingerprint(text, size=4):
