@@ -287,7 +287,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _answers(table.column("block").combine_chunks(), pa.array(own >> SHORT), pa.array(spans, pa.binary()))
         return made.filter(pa.array([bool(s) for s in spans]))
 
-    last = None  # the last stretch of a hot hash: its bytes, its row, and whether it has been answered
+    open_run = None  # the last stretch of a hot hash: its bytes, its row, and whether it has been answered
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -297,7 +297,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _answers(where.column("block"), where.column("own"), where.column("body"))
         hot = batch.filter(batch.column("hot"))
         if hot.num_rows:
-            made, last = _spread(hot, last)
+            made, open_run = _spread(hot, open_run)
             yield from made
         batch = batch.filter(pa.array(~(told.to_numpy(zero_copy_only=False) | batch.column("hot").to_numpy(zero_copy_only=False))))
         k = 0
@@ -324,8 +324,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             k = end
     if held:
         yield answer(pa.Table.from_batches(held))
-    if last is not None:
-        yield from _windows([last])
+    if open_run is not None:
+        yield from _windows([open_run])
 
 
 KINDS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}

@@ -236,6 +236,36 @@ def test_stretches_of_a_hot_anchor_go_by_their_bytes():
         assert again == {k: [0, 200] for k, t in enumerate(texts) if t.startswith(common)}
 
 
+@pytest.mark.parametrize("step", [1, 3, 50])
+@pytest.mark.parametrize("bytes_held", [1, 700, 1 << 20])
+def test_judging_is_the_same_whatever_is_held(monkeypatch, step, bytes_held):
+    """Hot and other hashes in one task: rows in the order of the shuffle, judged in batches of any size."""
+    monkeypatch.setattr(substrings, "SORT_BYTES", bytes_held)
+    rnd = random.Random(step)
+    rows, want = [], {}
+    for code in range(24):
+        common, hot = rnd.randbytes(210), code % 3 == 0
+        texts = [common[: rnd.choice([200, 205, 210])] for _ in range(rnd.randint(1, 4))] + [common[5:205] + rnd.randbytes(3), rnd.randbytes(201)]
+        for body in texts:
+            rows.append((code, body, code, len(rows) << substrings.SHORT | (10 if body[0] == common[0] else 5), False, hot))
+        seen = [t[i : i + 200] for t in texts for i in range(len(t) - 199)]
+        for row in rows[-len(texts) :]:
+            gone = {i + j for i in range(len(row[1]) - 199) if seen.count(row[1][i : i + 200]) > 1 for j in range(200)}
+            if gone:
+                want[row[3] >> substrings.SHORT] = gone
+    rows.sort(key=lambda r: r[:2])
+    types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["code", "body", "block", "own", "many", "hot"])
+    found = [r for b in substrings._judge(whole.slice(k, step) for k in range(0, len(rows), step)) for r in b.to_pylist()]
+    keys = [r["key"] for r in found if r["key"]]
+    got: dict[int, set[int]] = {}
+    for r in found:
+        if r["spans"] and (not r["key"] or keys.count(r["key"]) > 1):
+            for a, b in np.frombuffer(r["spans"], np.uint16).reshape(-1, 2).tolist():
+                got.setdefault(r["own"], set()).update(range(a, b))
+    assert got == want
+
+
 def _fingerprint(text, size=4):
     import xxhash
 
