@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
 
+#: Positions that one task numbers.
+BLOCK_ROWS = 1 << 16
 SCHEDULABLE = ["queued", "processing", "running", "redacting", "awaiting_review"]
 
 
@@ -54,11 +56,34 @@ def items_in_order(items: DataFrame) -> DataFrame:
     return items.orderBy("sort_order", "created_at", "id")
 
 
-def runs(df: DataFrame, *, group: Column, order: list[str], within: list[str]) -> DataFrame:
-    """``run``: number of the stretch of neighbouring rows with one group, inside ``within``."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    changed = F.when(F.lag(group).over(w).eqNullSafe(group) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("_c", changed).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_c")
+def _block(pos_col: str, rows: int) -> Column:
+    """Numbers of blocks that keep the order of positions, null ones in a block before all others."""
+    return F.coalesce(F.floor(F.col(pos_col) / rows), F.lit(-(1 << 62))).cast("long")
+
+
+def _with(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what was found for their keys, of which nulls are equal too."""
+    named = found.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [rows[k].eqNullSafe(named[f"_of_{k}"]) for k in keys]
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
+def runs(df: DataFrame, *, group: Column, pos_col: str = "pos", within: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``run``: number of the stretch of neighbouring rows with one group, inside ``within``.  Rows are numbered in blocks of
+    positions, whose ends are then joined up, so a long list is not one task's; positions are unique."""
+    keys = [*within, "_b"]
+    rows = df.withColumns({"_g": group, "_b": _block(pos_col, block_rows)})
+    w = Window.partitionBy(*keys).orderBy(pos_col)
+    changed = F.when(F.lag("_g").over(w).eqNullSafe(F.col("_g")) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    rows = rows.withColumn("_c", changed).withColumn("_n", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct(F.col(pos_col))
+    ends = rows.groupBy(*keys).agg(F.min_by("_g", place).alias("_first"), F.max_by("_g", place).alias("_last"), F.max("_n").alias("_runs"))
+    order = Window.partitionBy(*within).orderBy("_b")
+    goes_on = F.when(F.lag("_last").over(order).eqNullSafe(F.col("_first")) & (F.row_number().over(order) > 1), 1).otherwise(0)
+    ends = ends.withColumn("_on", goes_on)
+    before = F.coalesce(F.sum("_runs").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(*keys, (before - F.sum("_on").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("_before"))
+    return _with(rows, ends, keys).withColumn("run", F.col("_n") + F.col("_before")).drop("_g", "_b", "_c", "_n", "_before")
 
 
 def of_source(files: DataFrame, source: str | None) -> DataFrame:
@@ -131,8 +156,13 @@ def with_jobs(files: DataFrame, summary: DataFrame) -> DataFrame:
     return files.join(summary, "job_id", "left")
 
 
-def zip_names(files: DataFrame, *, name_col: str = "name", pos_col: str = "pos") -> DataFrame:
-    """Names in an archive: a name that was there before gets the number of times it was, in front."""
-    w = Window.partitionBy(name_col).orderBy(pos_col)
-    n = F.row_number().over(w) - 1
-    return files.withColumn("zip_name", F.when(n > 0, F.concat_ws("_", n.cast("string"), F.col(name_col))).otherwise(F.col(name_col)))
+def zip_names(files: DataFrame, *, name_col: str = "name", pos_col: str = "pos", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Names in an archive: a name that was there before gets the number of times it was, in front.  A name is counted in blocks of
+    positions, so one that many files have is not one task's."""
+    keys = [name_col, "_b"]
+    rows = files.withColumn("_b", _block(pos_col, block_rows))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(name_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    rows = _with(rows, counts.select(*keys, F.coalesce(before, F.lit(0)).alias("_before")), keys)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(pos_col)) - 1 + F.col("_before")
+    return rows.withColumn("zip_name", F.when(n > 0, F.concat_ws("_", n.cast("string"), F.col(name_col))).otherwise(F.col(name_col))).drop("_b", "_before")

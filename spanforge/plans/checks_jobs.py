@@ -135,8 +135,7 @@ def history_page(spark, d):
 
 @query(f"WITH {HISTORY_SQL}, c AS (SELECT *, CASE WHEN lag(batch_group_id) OVER (ORDER BY pos) IS NOT DISTINCT FROM batch_group_id AND row_number() OVER (ORDER BY pos) > 1 THEN 0 ELSE 1 END AS c FROM h) SELECT file_id, (sum(c) OVER (ORDER BY pos))::BIGINT AS run FROM c")
 def run_grouping(spark, d):
-    one = history(spark, d).withColumn("_all", F.lit(1))
-    return H.runs(one, group=F.col("batch_group_id"), order=["pos"], within=["_all"]).select("file_id", "run")
+    return H.runs(history(spark, d), group=F.col("batch_group_id")).select("file_id", "run")
 
 
 @query(f"WITH {ITEMS_SQL}, {FILES_SQL}, l AS (SELECT file_id, first(status ORDER BY updated_at DESC, id DESC) AS status FROM items GROUP BY file_id) SELECT file_id, CASE WHEN has_output THEN 'redacted' WHEN status IN ('awaiting_review', 'review_approved', 'completed', 'processing') THEN 'awaiting_review' ELSE 'unredacted' END AS state FROM files LEFT JOIN l USING (file_id)")

@@ -165,3 +165,22 @@ def test_streams(spark, tmp_path):
     assert M.drain(M.tumbling(events, time="ts", size="1 hour", late="10 minutes", by=["event_type"]), "windows").count() > 0
     assert M.drain(M.sessions(events, time="ts", gap="10 minutes", late="10 minutes", by=["user_id"]), "sessions").count() > 0
     assert M.drain(M.first_of_key(events, key="user_id", time="ts"), "firsts").count() > 0
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 1 << 16])
+def test_long_lists_are_numbered_in_blocks(spark, block_rows):
+    groups = ["a", "a", None, None, None, "b", "a", "a", "a", "a", "a", "c", None, "c"]
+    rows = [(w, pos, g) for w in ("x", None) for pos, g in zip([None, *range(-4, 9)], groups)]
+    table = spark.createDataFrame(rows, "w string, pos long, name string").repartition(3)
+    want = [1, 1, 2, 2, 2, 3, 4, 4, 4, 4, 4, 5, 6, 7]
+    got = H.runs(table, group=F.col("name"), within=("w",), block_rows=block_rows)
+    assert got.columns == ["w", "pos", "name", "run"]
+    for w in ("x", None):
+        found = sorted((r.pos is not None, r.pos or 0, r.run) for r in got.where(F.col("w").eqNullSafe(w)).collect())
+        assert [f[-1] for f in found] == want
+    one = table.where("w = 'x'").drop("w")
+    assert sorted(r.run for r in H.runs(one, group=F.col("name"), block_rows=block_rows).collect()) == want
+    assert H.runs(one.limit(0), group=F.col("name"), block_rows=block_rows).count() == 0
+    named = sorted((r.pos is not None, r.pos or 0, r.zip_name) for r in H.zip_names(one, block_rows=block_rows).where("name = 'a'").collect())
+    assert [n[-1] for n in named] == ["a", "1_a", "2_a", "3_a", "4_a", "5_a", "6_a"]
+    assert H.zip_names(one, block_rows=block_rows).count() == len(groups)
