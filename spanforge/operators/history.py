@@ -62,9 +62,10 @@ def _block(pos_col: str, rows: int) -> Column:
 
 
 def _with(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with what was found for their keys, of which nulls are equal too."""
+    """``rows`` with what was found for their keys, of which nulls are equal too.  Blocks are never null; a plain comparison keeps
+    the partitioning that numbered them."""
     named = found.withColumnsRenamed({k: f"_of_{k}" for k in keys})
-    same = [rows[k].eqNullSafe(named[f"_of_{k}"]) for k in keys]
+    same = [rows[k] == named[f"_of_{k}"] if k == "_b" else rows[k].eqNullSafe(named[f"_of_{k}"]) for k in keys]
     return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
 
 
