@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
 from spanforge.llm.memory import lean
+from spanforge.llm.store import free_name
 
 LEAST_WORDS, LEAST_TIMES = 6, 4
 #: Of characters: what texts a batch of results holds at least before it is handed on.
@@ -144,7 +145,7 @@ def find_runs(df: DataFrame, *, keep: list[str], text_col: str = "text", runs_co
     if least_times < 3:
         raise ValueError("runs of three periods or more are found")
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{runs_col}` array<{RUN}>", f"`{out_col}` string"])
-    rows = df.select(*keep, F.col(text_col).cast("string"))
+    rows = df.select(*keep, F.col(text_col).cast("string").alias(free_name(df.select(*keep), "_text")))
     return rows.mapInArrow(lean(_of_texts(len(keep), [*keep, runs_col, out_col], least_words, least_times)), schema)
 
 

@@ -1,7 +1,8 @@
 """Operator 11, quality classifier: learned vectors of words and character n-grams, averaged per document, with a softmax on top.
 
 Words stand between white space.  A word's features are itself and its n-grams of ``MIN_N`` to ``MAX_N`` characters, with ``<`` and
-``>`` as its ends; each falls into one of ``BUCKETS`` by a hash and has a vector of ``WIDTH`` numbers there.  A document is the mean
+``>`` as its ends; each falls into one of ``BUCKETS`` by a hash and has a vector of ``WIDTH`` numbers there.  Of word pairs only
+those of equal words count, which share a bucket.  A document is the mean
 of its features' vectors; a softmax layer gives its labels' probabilities.  Vectors and layer are trained together by stochastic
 gradient descent in numpy, a document at a time.
 
@@ -32,8 +33,11 @@ from spanforge.llm.memory import lean
 
 MIN_N, MAX_N, BITS, WIDTH = 3, 4, 17, 16
 BUCKETS = 1 << BITS
+#: The bucket of a word that repeats the one before it, whichever that is.
+AGAIN = BUCKETS
 SAMPLE_DOCS, SAMPLE_BYTES, LONGEST = 4096, 16 << 20, 1 << 20
-EPOCHS, RATE, SEED = 10, 1.0, 11
+#: Documents that training looks at, the same ones again where there are fewer.
+STEPS, RATE, SEED = 20_480, 0.5, 11
 STEP_BYTES = 4 << 20
 AT_LEAST = 0.3
 
@@ -85,6 +89,12 @@ def words_of(body: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return found, places.astype(np.int64), np.searchsorted(offsets, starts, "right") - 1
 
 
+def repeated(places: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """How many words of each of ``n`` texts repeat the word before."""
+    again = (places[1:] == places[:-1]) & (text[1:] == text[:-1])
+    return np.bincount(text[1:][again], minlength=n)
+
+
 @dataclass
 class Model:
     """What each bucket adds to the labels' logits, and their constants."""
@@ -97,17 +107,19 @@ class Model:
         found, places, text = words_of(body, offsets)
         buckets, of = features(found)
         count = np.bincount(of, minlength=len(found))
-        total = np.maximum(np.bincount(text, weights=count[places], minlength=n), 1)
-        sums = [np.bincount(text, weights=np.bincount(of, weights=column[buckets], minlength=len(found))[places], minlength=n) / total + b for column, b in zip(self.logits.T, self.bias)]
+        again = repeated(places, text, n)
+        total = np.maximum(np.bincount(text, weights=count[places], minlength=n) + again, 1)
+        of_words = [np.bincount(of, weights=column[buckets], minlength=len(found)) for column in self.logits.T]
+        sums = [(np.bincount(text, weights=w[places], minlength=n) + again * column[AGAIN]) / total + b for w, column, b in zip(of_words, self.logits.T, self.bias)]
         return 1 / (1 + np.exp(np.clip(sums[0] - sums[1], -700, 700)))
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], *, epochs: int = EPOCHS, rate: float = RATE, width: int = WIDTH) -> Model:
+def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], *, steps: int = STEPS, rate: float = RATE, width: int = WIDTH) -> Model:
     """Stochastic gradient descent over (buckets, counts, label); the rate falls to nothing along a line."""
     chance = np.random.default_rng(SEED)
-    vectors = chance.uniform(-1 / width, 1 / width, (BUCKETS, width)).astype(np.float32)
+    vectors = chance.uniform(-1 / width, 1 / width, (BUCKETS + 1, width)).astype(np.float32)
     layer, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = max(1, epochs * len(docs)), 0
+    epochs, done = -(-steps // len(docs)), 0
     for _ in range(epochs):
         for k in chance.permutation(len(docs)):
             buckets, counts, label = docs[k]
@@ -118,7 +130,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], *, epochs: int = EPOCHS,
             p = np.exp(logits - logits.max())
             gap = p / p.sum()
             gap[label] -= 1
-            gap *= rate * (1 - done / steps)
+            gap *= rate * (1 - done / (epochs * len(docs)))
             vectors[buckets] = own - share[:, None] * (layer @ gap)
             layer -= np.outer(mean, gap)
             bias -= gap
@@ -131,9 +143,10 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         body, offsets = W.buffers(batch.column(2))
         rows = []
         for a, b in zip(offsets[:-1], offsets[1:]):
-            found, places, _ = words_of(body[a:b], np.array([0, b - a]))
+            found, places, text = words_of(body[a:b], np.array([0, b - a]))
             buckets, of = features(found)
-            counts = np.bincount(buckets, weights=np.bincount(places, minlength=len(found))[of], minlength=BUCKETS) if len(of) else np.zeros(0)
+            counts = np.bincount(buckets, weights=np.bincount(places, minlength=len(found))[of], minlength=BUCKETS + 1)
+            counts[AGAIN] = repeated(places, text, 1)[0]
             own = np.flatnonzero(counts)
             rows.append((int(b - a), own.astype("<u4").tobytes(), counts[own].astype("<u4").tobytes()))
         sizes, buckets, counts = zip(*rows) if rows else ((), (), ())
@@ -178,7 +191,9 @@ def score(df: DataFrame, model: Model | None, *, keep: list[str], text_col: str
     """The columns ``keep`` with the probability of label 1."""
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out_col, T.DoubleType())])
-    return df.select(*keep, F.col(text_col).cast("string")).mapInArrow(lean(_score(sent, [*keep, out_col])), schema)
+    rows = df.select(*keep)
+    text = F.col(text_col).cast("string").alias(store.free_name(rows, "_text"))
+    return df.select(*keep, text).mapInArrow(lean(_score(sent, [*keep, out_col])), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,7 +7,10 @@ from spanforge.llm.binary import op9_token_files
 from spanforge.llm.bpe import op1_byte_bpe
 from spanforge.llm.chat import OP8_SQL, op8_chat_format
 from spanforge.llm.decontam import op2_decontaminate
+from spanforge.llm.divergence import OP13_SQL, op13_source_divergence
 from spanforge.llm.langid import op6_language
+from spanforge.llm.periodic import op12_periodic_runs
+from spanforge.llm.quality import op11_quality
 from spanforge.llm.secrets import op3_secret_scan
 from spanforge.llm.simhash import op5_simhash
 from spanforge.llm.substrings import op4_substring_dedup
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
+    "op11_quality": op11_quality,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: The others have no SQL (tokenizer merges, alignment, suffixes, models) or none that ends on whole tables; tests hold them
@@ -32,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_nearest": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op10_warc": OP10_SQL,
+    "op13_source_divergence": OP13_SQL,
 }
