@@ -29,9 +29,10 @@ from pyspark.sql import types as T
 from spanforge.functions import text as X
 from spanforge.functions.arrays import buffers, grouped, steps
 from spanforge.operators.detect import SPANS, leftmost
+from spanforge.sources import shared
 
-#: Of all terms together; the automaton takes up to 40 times as much.
-AUTOMATON_BYTES = 4 << 20
+#: Of all terms together.  A state takes 20 bytes, and terms that share beginnings have fewer states than bytes.
+AUTOMATON_BYTES = 16 << 20
 STEP_BYTES, PIECE = 2 << 20, 256
 #: States whose every move is listed.
 DENSE = 1 << 13
@@ -284,7 +285,7 @@ def _places(sent, place: int):
                         context = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(flat)])
                         start = lead[k[s]] - lead[at[of[s]]]
                         ids = batch.column(0).slice(a, b - a).take(pa.array(of[s]))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(h[s]), pa.array(np.full(len(n), size, np.int64)), pa.array(start.astype(np.int32)), context], ["id", "hash", "used", "start", "context"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(h[s]), pa.array(start.astype(np.int32)), context], ["id", "hash", "start", "context"])
 
     return run
 
@@ -292,12 +293,12 @@ def _places(sent, place: int):
 def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_col: str, overlaps: bool) -> DataFrame:
     spark = df.sparkSession
     kinds = "type string, text string, pos long, value string"
-    hashed = entries.select("type", "text", "pos", "value").mapInArrow(_hashed_terms, f"{kinds}, hash long, used long, look long")
+    hashed = shared.written(entries.select("type", "text", "pos", "value").mapInArrow(_hashed_terms, f"{kinds}, hash long, used long, look long"), shared.fresh_path(spark, "hashed-terms"))
     classes = sorted(r["used"] for r in hashed.select("used").distinct().collect())
     sent = spark.sparkContext.broadcast((classes, _bitmap(hashed, "look"), _bitmap(hashed, "hash")))
     kind = df.schema[id_col].dataType.simpleString()
-    places = df.select(id_col, text_col).mapInArrow(_places(sent, 1), f"id {kind}, hash long, used long, start int, context binary")
-    hits = places.join(hashed.drop("look"), ["hash", "used"]).where(F.startswith("context", F.encode("text", "utf-8")))
+    places = df.select(id_col, text_col).mapInArrow(_places(sent, 1), f"id {kind}, hash long, start int, context binary")
+    hits = places.join(hashed.drop("look", "used"), "hash").where(F.startswith("context", F.encode("text", "utf-8")))
     hits = hits.select("id", "type", "text", "pos", "value", "start", (F.col("start") + F.length("text")).cast("int").alias("end"))
     if not overlaps:
         own = hits.groupBy("id", "type", "text", "pos", "value").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
@@ -317,7 +318,8 @@ def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_c
 def hits(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type", term_col: str = "term", pos_col: str | None = None, value_col: str | None = None, text_col: str = "text", out_col: str = "hits", overlaps: bool = True, most: int = AUTOMATON_BYTES) -> DataFrame:
     """Adds the occurrences of the terms as (start, end, text, type, pos, value, number), by start, end, then position; without
     ``overlaps`` those of one (type, term) that a search from the left gives, and its number among those of the text, from 0.  ``id_col`` tells rows apart where it is a join."""
-    entries = _entries(terms, type_col, term_col, pos_col, value_col)
+    # Read several times: once for the size, and by each step of a join.
+    entries = shared.written(_entries(terms, type_col, term_col, pos_col, value_col), shared.fresh_path(df.sparkSession, "terms"))
     size = entries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > most:
         return _joined(df, entries, id_col, text_col, out_col, overlaps)
