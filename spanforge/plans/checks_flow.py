@@ -15,6 +15,7 @@ from spanforge.functions import values as V
 from spanforge.operators import boxes as O
 from spanforge.operators import catalog as C
 from spanforge.operators import history as H
+from spanforge.operators import paging as G
 from spanforge.operators import jobs as J
 from spanforge.operators import plug
 from spanforge.operators import reports as R
@@ -379,9 +380,11 @@ def item_pages(spark, d):
     return H.page(H.items_in_order(items(spark, d).withColumnRenamed("updated_at", "created_at")), 3, 50).select("id")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (1::BIGINT, 3::BIGINT), (2::BIGINT, 1::BIGINT), (3::BIGINT, 2::BIGINT)) AS t(n, page)")
+@query("WITH s AS (SELECT source, count(*) AS total, min(doc_id) % 90 - 10 AS asked, 1 + count(*) % 9 AS size FROM documents GROUP BY source) SELECT source, asked, greatest(1, least(asked, ceil(total / size)))::BIGINT AS page FROM s")
 def page_clamps(spark, d):
-    return spark.createDataFrame([(k, H.last_page(*c)) for k, c in enumerate([(1, 0, 10), (9, 25, 10), (-4, 25, 10), (2, 25, 10)])], "n long, page long")
+    """Pages asked for of each source's list, before its first, in it and behind its last."""
+    lists = spark.read.parquet(f"{d}/documents.parquet").groupBy("source").agg(F.count("*").alias("total"), (F.min("doc_id") % 90 - 10).alias("asked"))
+    return lists.select("source", "asked", G.clamped_page(F.col("asked"), F.col("total"), 1 + F.col("total") % 9).alias("page"))
 
 
 @query(f"WITH {HISTORY_SQL} SELECT file_id FROM h WHERE batch_group_id IS NOT NULL AND file_id % 5 < 2")

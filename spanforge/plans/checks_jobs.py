@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import values as V
 from spanforge.operators import catalog as C
 from spanforge.operators import history as H
 from spanforge.operators import jobs as J
+from spanforge.operators import paging as P
 from spanforge.operators import reports as R
 from spanforge.operators import state as S
 from spanforge.plans.checks_text import TYPES, found, spans_sql
@@ -121,16 +121,32 @@ def batch_group_size(spark, d):
 GROUPED = f"{HISTORY_SQL}, k AS (SELECT *, coalesce(batch_group_id, 'single:' || file_id) AS group_key FROM h), g AS (SELECT group_key, max(created_at) AS newest, min(pos) AS first FROM k GROUP BY group_key), o AS (SELECT file_id, group_key, row_number() OVER (ORDER BY newest DESC, first, created_at, pos) AS n FROM k JOIN g USING (group_key))"
 
 
+def in_groups(spark, d):
+    return P.ranked(H.group_and_sort(history(spark, d)), F.desc("_newest"), "_first", "_t", "pos")
+
+
 @query(f"WITH {GROUPED} SELECT file_id, group_key, n FROM o")
 def batch_group_sort(spark, d):
-    rows = H.group_and_sort(history(spark, d))
-    order = Window.orderBy(F.desc("_newest"), "_first", "_t", "pos")
-    return rows.select("file_id", "group_key", F.row_number().over(order).cast("long").alias("n"))
+    return in_groups(spark, d).numbered("n").select("file_id", "group_key", "n")
 
 
 @query(f"WITH {GROUPED} SELECT file_id, group_key FROM o WHERE n BETWEEN 21 AND 40")
 def history_page(spark, d):
-    return H.page(H.ordered(H.group_and_sort(history(spark, d))), 2, 20).select("file_id", "group_key")
+    return in_groups(spark, d).page(2, 20).select("file_id", "group_key")
+
+
+@query(f"WITH {GROUPED} SELECT (n - 1) // 20 + 1 AS page, count(*) AS n, first(file_id ORDER BY n) AS first_id, last(file_id ORDER BY n) AS last_id FROM o GROUP BY (n - 1) // 20")
+def page_bounds(spark, d):
+    """Where every page begins and ends, for reading on from there."""
+    return in_groups(spark, d).pages(20, ["file_id"]).select("page", "n", F.col("first.file_id").alias("first_id"), F.col("last.file_id").alias("last_id"))
+
+
+@query(f"WITH {HISTORY_SQL}, w AS (SELECT file_id, created_at, row_number() OVER (ORDER BY created_at DESC, file_id DESC) AS n FROM h) SELECT file_id, created_at FROM w WHERE n BETWEEN 101 AND 130")
+def page_read_on(spark, d):
+    """The 30 rows behind the hundredth, newest first, from its keys alone."""
+    rows = history(spark, d).select("file_id", "created_at")
+    last = P.after(rows, ["created_at", "file_id"], None, 100, descending=True).orderBy("created_at", "file_id").first()
+    return P.after(rows, ["created_at", "file_id"], (last["created_at"], last["file_id"]), 30, descending=True)
 
 
 @query(f"WITH {HISTORY_SQL}, c AS (SELECT *, CASE WHEN lag(batch_group_id) OVER (ORDER BY pos) IS NOT DISTINCT FROM batch_group_id AND row_number() OVER (ORDER BY pos) > 1 THEN 0 ELSE 1 END AS c FROM h) SELECT file_id, (sum(c) OVER (ORDER BY pos))::BIGINT AS run FROM c")

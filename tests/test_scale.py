@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import detect as D
 from spanforge.operators import dictionary as L
+from spanforge.operators import paging
 from spanforge.sources import archive
 
 TERMS = {"ORG": ["aa", "aab", "é日", "日", "b", "ab", "a" * 70 + "b", "aa"], "PER": ["aa", "ba", "😀a", "a" * 65]}
@@ -108,3 +109,31 @@ def test_archive_beyond_four_gigabytes(spark, tmp_path):
     with zipfile.ZipFile(path) as z:
         assert z.read("far") == content
     assert [bytes(r.content) for r in archive.read_archive(spark, path).collect()] == [content]
+
+
+def test_ranks_and_pages(spark):
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice([None, 1, 1, 1, 2, 3]), rnd.choice("ab")) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id int, g int, s string").repartition(5)
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[2], r[0]))
+    made = paging.ranked(df, F.desc_nulls_first("g"), "s", "id", partitions=7)
+    assert made.total == 1000 and len(made.counts) <= 7
+    assert [(r.rank, *r[:3]) for r in sorted(made.numbered().collect(), key=lambda r: r.rank)] == [(k, *r) for k, r in enumerate(want, 1)]
+    for number, size in ((1, 10), (31, 32), (32, 32), (4, 300), (9, 300), (1, 0)):
+        asked = want if size == 0 else want[(number - 1) * size : number * size]
+        assert [tuple(r) for r in made.page(number, size).collect()] == asked
+    bounds = sorted(made.pages(300, ["id"]).collect())
+    assert [(b.page, b.n, b.first.id, b["last"].id) for b in bounds] == [(k + 1, len(p), p[0][0], p[-1][0]) for k, p in enumerate([want[i : i + 300] for i in range(0, 1000, 300)])]
+    assert paging.ranked(df.limit(0), "id").page(3, 5).count() == 0
+    # A page's filter reaches the files.
+    assert "PushedFilters: [Or(" in made.page(5, 60)._jdf.queryExecution().toString() or "GreaterThanOrEqual(_place" in made.page(5, 60)._jdf.queryExecution().toString()
+
+
+def test_reading_on(spark):
+    rows = sorted((k % 17, k) for k in range(300))
+    df = spark.createDataFrame(rows, "t int, id int").repartition(4)
+    for down in (False, True):
+        want, last, got = sorted(rows, reverse=down), None, []
+        while part := [tuple(r) for r in paging.after(df, ["t", "id"], last, 70, descending=down).collect()]:
+            got, last = got + part, part[-1]
+        assert got == want
