@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from spanforge.functions import boxes as B
 from spanforge.functions import text as X
 from spanforge.functions import values as V
+from spanforge.operators import spatial
 from spanforge.operators.detect import OCR_RULES
 from spanforge.operators.plug import call_with
 
@@ -31,16 +32,12 @@ def dual_dedup(df: DataFrame, *, page: list[str], source_col: str = "source", te
     """Drops boxes of the image detector that overlap one of the text detector on their page by more than ``threshold``; boxes
     of other sources are kept unless they overlap a kept one or an earlier one of theirs.
 
-    The image side is an anti join on the page, which may be split; only a page's boxes of other sources are folded in order.
+    The image side is held against the text side by the cells of a page that boxes touch (``spatial``), so a crowded page is no one
+    task's; only a page's boxes of other sources are folded in order (``spatial.first_kept`` does that for crowded pages).
     """
-    sides = [F.col(c) for c in (*page, *B.SIDES)]
     text = df.where(F.col(source_col) == text_source)
     image = df.where(F.col(source_col) == image_source)
-    ours, theirs = image.alias("i"), text.select(*sides).alias("t")
-    meets = B.iou({s: F.col(f"i.{s}") for s in B.SIDES}, {s: F.col(f"t.{s}") for s in B.SIDES}) > threshold
-    for c in page:
-        meets = (F.col(f"i.{c}") == F.col(f"t.{c}")) & meets
-    kept = text.unionByName(ours.join(theirs, meets, "left_anti"))
+    kept = text.unionByName(spatial.without_meeting(image, text, page=page, least=threshold))
     other = df.where(~F.col(source_col).isin(text_source, image_source) | F.col(source_col).isNull())
     columns = [c for c in df.columns if c not in page]
     row = F.struct(*columns)
@@ -203,9 +200,9 @@ def fuzzy_blocks(entities: DataFrame, blocks: DataFrame, *, page: list[str], lea
 
 def refine(boxes: DataFrame, refined: DataFrame, *, page: list[str], least_iou: float = 0.3) -> DataFrame:
     """Boxes moved to the refined box that overlaps them most, by ``least_iou`` or more."""
-    other = refined.select(*page, *[F.col(s).alias(f"_{s}") for s in B.SIDES])
-    score = B.iou({s: F.col(s) for s in B.SIDES}, {s: F.col(f"_{s}") for s in B.SIDES})
-    best = boxes.join(other, page).withColumn("_iou", score).where(F.col("_iou") >= least_iou).groupBy(*page, "box_id").agg(F.max_by(F.struct(*[f"_{s}" for s in B.SIDES]), F.struct("_iou", *[-F.col(f"_{s}") for s in B.SIDES])).alias("_b"))
+    near = spatial.meeting(boxes.select(*page, "box_id", *B.SIDES), refined.select(*page, *B.SIDES), page=page, least=least_iou, inclusive=True)
+    named = near.select(*[F.col(f"a.{c}").alias(c) for c in (*page, "box_id")], "iou", *[F.col(f"b.{s}").alias(f"_{s}") for s in B.SIDES])
+    best = named.groupBy(*page, "box_id").agg(F.max_by(F.struct(*[f"_{s}" for s in B.SIDES]), F.struct("iou", *[-F.col(f"_{s}") for s in B.SIDES])).alias("_b"))
     return boxes.join(best, [*page, "box_id"], "left").withColumns({s: F.coalesce(F.col(f"_b._{s}"), F.col(s)) for s in B.SIDES}).drop("_b")
 
 

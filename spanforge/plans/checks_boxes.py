@@ -9,6 +9,7 @@ from spanforge.functions import text as X
 from spanforge.functions import values as V
 from spanforge.operators import boxes as O
 from spanforge.operators import detect as D
+from spanforge.operators import spatial
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,10 +42,9 @@ def boxes(spark, d):
 
 @query(f"WITH {BOXES_SQL} SELECT a.doc, a.page, a.part AS part_a, b.part AS part_b, round({IOU_SQL}, 6) AS iou FROM boxes a JOIN boxes b ON a.doc = b.doc AND a.page = b.page AND a.part < b.part WHERE {IOU_SQL} > 0.1")
 def iou_pairs(spark, d):
-    a, b = boxes(spark, d).alias("a"), boxes(spark, d).alias("b")
-    score = B.iou({s: F.col(f"a.{s}") for s in B.SIDES}, {s: F.col(f"b.{s}") for s in B.SIDES})
-    pairs = a.join(b, (F.col("a.doc") == F.col("b.doc")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.part") < F.col("b.part")) & (score > 0.1))
-    return pairs.select("a.doc", "a.page", F.col("a.part").alias("part_a"), F.col("b.part").alias("part_b"), F.round(score, 6).alias("iou"))
+    own = boxes(spark, d).select("doc", "page", "part", *B.SIDES)
+    pairs = spatial.meeting(own, own, page=["doc", "page"], least=0.1).where("a.part < b.part")
+    return pairs.select("a.doc", "a.page", F.col("a.part").alias("part_a"), F.col("b.part").alias("part_b"), F.round("iou", 6).alias("iou"))
 
 
 @query(f"WITH {BOXES_SQL} SELECT doc, page, part, supp, cents, source FROM boxes a WHERE source = 'ocr_has' OR NOT EXISTS (SELECT 1 FROM boxes b WHERE b.source = 'ocr_has' AND a.doc = b.doc AND a.page = b.page AND {IOU_SQL} > 0.3)")

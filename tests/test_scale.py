@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import detect as D
 from spanforge.operators import dictionary as L
-from spanforge.operators import paging
+from spanforge.operators import paging, spatial
 from spanforge.sources import archive
 
 TERMS = {"ORG": ["aa", "aab", "é日", "日", "b", "ab", "a" * 70 + "b", "aa"], "PER": ["aa", "ba", "😀a", "a" * 65]}
@@ -137,3 +137,41 @@ def test_reading_on(spark):
         while part := [tuple(r) for r in paging.after(df, ["t", "id"], last, 70, descending=down).collect()]:
             got, last = got + part, part[-1]
         assert got == want
+
+
+def _iou(a, b):
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    union = a[2] * a[3] + b[2] * b[3] - w * h
+    return 0.0 if w <= 0 or h <= 0 or union <= 0 else w * h / union
+
+
+@pytest.fixture(scope="module")
+def crowd(spark):
+    rnd = random.Random(6)
+    size = lambda: rnd.choice([0.0, 0.01, 0.1, 0.1, 1.0, 1.0, 3.0, 30.0]) * rnd.choice([1, 1.3])
+    rows = [(k, rnd.randint(1, 2), rnd.uniform(-5, 5), rnd.uniform(-5, 5), size(), size()) for k in range(500)]
+    rows += [(500, 1, 0.0, 0.0, 1.0, 1.0), (501, 1, 1.0, 0.0, 1.0, 1.0), (502, 1, 0.0, 0.0, 1.0, 1.0)]
+    odd = [(600, None, 0.0, 0.0, 1.0, 1.0), (601, 1, None, 0.0, 1.0, 1.0), (602, 1, float("nan"), 0.0, 1.0, 1.0), (603, 1, 0.0, 0.0, -1.0, 1.0)]
+    return rows, spark.createDataFrame(rows + odd, "id int, page int, x double, y double, width double, height double")
+
+
+@pytest.mark.parametrize("least", [0.0, 0.05, 0.5])
+def test_meeting_boxes(crowd, least):
+    rows, df = crowd
+    got = sorted((r.a.id, r.b.id) for r in spatial.meeting(df, df, page=["page"], least=least).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and _iou(a[2:], b[2:]) > least)
+    far = df.where("id % 3 = 0")
+    left = sorted(r.id for r in spatial.without_meeting(df, far, page=["page"], least=least).collect())
+    met = {a[0] for a in rows for b in rows if b[0] % 3 == 0 and a[1] == b[1] and _iou(a[2:], b[2:]) > least}
+    assert left == sorted({*(r[0] for r in rows), 600, 601, 602, 603} - met)
+
+
+def test_first_kept_is_a_walk(crowd):
+    rows, df = crowd
+    kept = []
+    for r in sorted(rows):
+        if not any(k[1] == r[1] and _iou(k[2:], r[2:]) >= 0.02 for k in kept):
+            kept.append(r)
+    got = sorted(r.id for r in spatial.first_kept(df, page=["page"], order=["id"], least=0.02).collect())
+    assert got == [r[0] for r in kept] + [600, 601, 602, 603]
+    assert spatial.first_kept(df.limit(0), page=["page"], order=["id"], least=0.02).count() == 0
