@@ -1,5 +1,7 @@
 """Dictionaries, archives, pages and boxes at scale against plain versions."""
 
+import collections
+import difflib
 import random
 import zipfile
 
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import detect as D
 from spanforge.operators import dictionary as L
-from spanforge.operators import paging, spatial
+from spanforge.operators import fuzzy, paging, spatial
+from spanforge.plans import checks_scale
 from spanforge.sources import archive
 
 TERMS = {"ORG": ["aa", "aab", "é日", "日", "b", "ab", "a" * 70 + "b", "aa"], "PER": ["aa", "ba", "😀a", "a" * 65]}
@@ -175,3 +178,38 @@ def test_first_kept_is_a_walk(crowd):
     got = sorted(r.id for r in spatial.first_kept(df, page=["page"], order=["id"], least=0.02).collect())
     assert got == [r[0] for r in kept] + [600, 601, 602, 603]
     assert spatial.first_kept(df.limit(0), page=["page"], order=["id"], least=0.02).count() == 0
+
+
+def test_named_characters_meet():
+    rnd = random.Random(7)
+    for _ in range(4000):
+        a = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 30)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 4)):
+            b[rnd.randrange(len(b))] = rnd.choice(["", "a", "x", "bc"])
+        b = "".join(b)
+        if b and difflib.SequenceMatcher(None, a, b).ratio() > 0.85:
+            assert set(fuzzy.named(a, 0.85)) & set(fuzzy.named(b, 0.85)), (a, b)
+
+
+def test_fuzzy_matches_are_the_plain_ones(spark):
+    entities, blocks = checks_scale.misread(spark, "/root/testdata/sf0.001")
+    pages = collections.defaultdict(list)
+    for b in blocks.collect():
+        pages[b.conv_id].append((b.pos, b.text))
+    want, pairs = [], 0
+    for e in entities.collect():
+        for pos, text in sorted(pages[e.conv_id]):
+            pairs += 1
+            if e.text and (e.text in text or difflib.SequenceMatcher(None, e.text, text).ratio() > 0.85):
+                want.append((e.conv_id, e.entity_id, pos, "text_match" if e.text in text else "fuzzy_match"))
+                break
+    got = checks_scale.fuzzy_matches(spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.conv_id, r.entity_id, r.pos, r.source) for r in got) == sorted(want) and want
+    # On one page with all turns few pairs are left to align.
+    one = [df.withColumn("page", F.lit(1)).withColumn(k, F.monotonically_increasing_id()) for df, k in ((entities, "entity_id"), (blocks, "pos"))]
+    n = blocks.count()
+    assert fuzzy.candidates(*one, page=["page"]).count() < 0.25 * n * n
+    near = sorted((r.entity_id, r.pos) for r in fuzzy.alike(*one, page=["page"]).collect())
+    texts = [[(r[k], r.text) for r in df.collect()] for df, k in zip(one, ("entity_id", "pos"))]
+    assert near == sorted((e, b) for e, x in texts[0] for b, y in texts[1] if difflib.SequenceMatcher(None, x, y).ratio() > 0.85 and x and y)
