@@ -170,7 +170,6 @@ def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, overlap
         table, (automaton, first, sizes, rank) = sent.value.table, sent.value.built
         for batch in batches:
             body, offsets = buffers(batch.column(place))
-            done = []
             for a, b in steps(offsets, STEP_BYTES):
                 part, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 text, end, term = automaton.scan(part, at)
@@ -192,11 +191,8 @@ def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, overlap
                 points = lambda x: pa.array((lead[x] - lead[at[text]]).astype(np.int32))  # noqa: B023, E731
                 own = table.take(pa.array(entry))
                 values = [points(start), points(end), *(own.column(c).combine_chunks() for c in ("text", "type", "pos", "value")), pa.array(number.astype(np.int32))]
-                done.append(grouped(values, ["start", "end", "text", "type", "pos", "value", "number"], text, b - a))
-            if not done:
-                continue
-            out = pa.concat_arrays(done)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names)
+                out = grouped(values, ["start", "end", "text", "type", "pos", "value", "number"], text, b - a)
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, out], names)
 
     return df.mapInArrow(run, T.StructType.fromJson(df.schema.jsonValue()).add(out_col, T._parse_datatype_string(HIT)))
 

@@ -15,6 +15,7 @@ from spanforge.operators import dictionary as L
 from spanforge.operators import fuzzy, paging, spatial
 from spanforge.plans import checks_scale
 from spanforge.sources import archive
+from spanforge.streaming import live
 
 TERMS = {"ORG": ["aa", "aab", "é日", "日", "b", "ab", "a" * 70 + "b", "aa"], "PER": ["aa", "ba", "😀a", "a" * 65]}
 TEXTS = ["aaaa", "", None, "aabaab é日日 😀aab", "a" * 200 + "b" + "a" * 70, "nothing", "日é日b"]
@@ -213,3 +214,43 @@ def test_fuzzy_matches_are_the_plain_ones(spark):
     near = sorted((r.entity_id, r.pos) for r in fuzzy.alike(*one, page=["page"]).collect())
     texts = [[(r[k], r.text) for r in df.collect()] for df, k in zip(one, ("entity_id", "pos"))]
     assert near == sorted((e, b) for e, x in texts[0] for b, y in texts[1] if difflib.SequenceMatcher(None, x, y).ratio() > 0.85 and x and y)
+
+
+def test_drafts_after_silence(spark, tmp_path):
+    """Rows of three keys in files whose times overlap, against gaps worked out over all of them."""
+    rnd = random.Random(8)
+    rows = [(k, rnd.choice("abc"), i * 400 + rnd.randint(0, 900), f"d{k}") for i, k in enumerate(range(300))]
+    schema = "place long, who string, ms long, draft string"
+    for n in range(5):
+        spark.createDataFrame(rows[n * 60 : n * 60 + 60], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").select("place", "who", F.timestamp_millis("ms").alias("ts"), "draft")
+    with live.with_timers(spark):
+        saved = live.saved_after_silence(stream, key="who", time="ts", place="place", draft="draft", silence="900 milliseconds", late="5 seconds")
+        got = sorted(r.place for r in live.run_to_table(saved, f"file://{tmp_path}/out").collect())
+        kept = spark.read.format("statestore").option("stateVarName", "waiting").load(f"file://{tmp_path}/out/progress").select("list_element.*").collect()
+    mark, want = max(r[2] for r in rows) - 5_000, []
+    for who in "abc":
+        own = sorted((ms, place) for place, w, ms, _ in rows if w == who)
+        want += [place for (ms, place), after in zip(own, [*own[1:], None]) if ms + 900 <= mark and (after is None or after[0] - ms >= 900)]
+    assert got == sorted(want) and len(want) > 20
+    # Nothing that is settled stays in the state.
+    assert sorted(r.place for r in kept) == sorted(place for place, _, ms, _ in rows if ms + 900 > mark)
+
+
+def test_counts_follow_each_batch(spark, tmp_path):
+    rnd, state, steps = random.Random(9), {}, []
+    for k in range(400):
+        item, new = rnd.randrange(40), rnd.choice(["queued", "running", "done"])
+        steps.append((k, item % 4, state.get(item), new))
+        state[item] = new
+    schema = "k int, job int, old string, new string"
+    for n in range(4):
+        spark.createDataFrame(steps[n * 100 : n * 100 + 100], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        got = live.run_upserted(live.live_counts(stream, job="job", old="old", new="new"), f"file://{tmp_path}/out", ["job", "status"]).where("n <> 0").collect()
+        now = {}
+        for _, job, old, new in steps[: n * 100 + 100]:
+            now[job, new] = now.get((job, new), 0) + 1
+            if old:
+                now[job, old] -= 1
+        assert {(r.job, r.status): r.n for r in got} == {k: v for k, v in now.items() if v}
