@@ -33,11 +33,12 @@ from spanforge.sources import shared
 
 #: Of all terms together.  A state takes 20 bytes, and terms that share beginnings have fewer states than bytes.
 AUTOMATON_BYTES = 16 << 20
-STEP_BYTES, PIECE = 2 << 20, 256
+STEP_BYTES, PIECE = 4 << 20, 256
 #: States whose every move is listed.
-DENSE = 1 << 13
+DENSE = 1 << 14
 #: Bits of the bitmaps, the lengths that are classes of their own, and bytes of the first look.
 MAP_BITS, EXACT, LOOK = 27, 64, 4
+ALL, APART, LONGEST = "all", "apart", "longest"
 HIT = "array<struct<start:int,end:int,text:string,type:string,pos:long,value:string,number:int>>"
 
 
@@ -60,8 +61,10 @@ class Automaton:
             self.starts.append(self.starts[-1] + int(new.sum()))
             done = alive[size[alive] == depth + 1]
             ends.append((node[done], done))
-        self.keys = np.concatenate([np.zeros(0, np.int64), *keys])
-        n = len(self.keys) + 1
+        keys = np.concatenate([np.zeros(0, np.int64), *keys])
+        n = len(keys) + 1
+        # Child k of all is state k + 1; those of a state are first[state] to first[state + 1].
+        self.first, self.label = np.searchsorted(keys, np.arange(n + 1) << 8).astype(np.int32), (keys & 255).astype(np.uint8)
         self.term, self.link, self.fail = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
         for nodes, done in ends:
             self.term[nodes] = done
@@ -69,31 +72,35 @@ class Automaton:
         for a, b in zip(self.starts[:-1], self.starts[1:]):
             own = np.arange(a, b)
             if a > 1:
-                key = self.keys[own - 1]
-                self.fail[own] = self.step(self.fail[key >> 8], key & 255)
+                self.fail[own] = self.step(self.fail[keys[own - 1] >> 8], self.label[own - 1])
             back = self.fail[own]
             self.link[own] = np.where(self.term[back] >= 0, back, self.link[back])
             listed = own[own < len(self.dense)]
             if len(listed):
                 self.dense[listed] = self.dense[self.fail[listed]] if a else 0
-                child = np.arange(*np.searchsorted(self.keys, [int(listed[0]) << 8, (int(listed[-1]) + 1) << 8]))
-                self.dense[self.keys[child] >> 8, self.keys[child] & 255] = child + 1
+                child = np.arange(self.first[listed[0]], self.first[listed[-1] + 1])
+                self.dense[keys[child] >> 8, self.label[child]] = child + 1
         self.ends = (self.term >= 0) | (self.link > 0)
 
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next state of each."""
         out = self.dense[np.minimum(state, len(self.dense) - 1), byte]
         todo = np.flatnonzero(state >= len(self.dense))
-        at = state[todo]
+        at, byte = state[todo], byte[todo]
         while len(todo):
-            key = at.astype(np.int64) * 256 + byte[todo]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            there = self.keys[found] == key
-            out[todo[there]] = found[there] + 1
-            todo, at = todo[~there], self.fail[at[~there]]
+            child, end = self.first[at], self.first[at + 1]
+            there, look = np.zeros(len(at), bool), np.flatnonzero(child < end)
+            while len(look):
+                label = self.label[child[look]]
+                same = look[label == byte[look]]
+                out[todo[same]], there[same] = child[same] + 1, True
+                look = look[label < byte[look]]
+                child[look] += 1
+                look = look[child[look] < end[look]]
+            todo, at, byte = todo[~there], self.fail[at[~there]], byte[~there]
             shallow = at < len(self.dense)
-            out[todo[shallow]] = self.dense[at[shallow], byte[todo[shallow]]]
-            todo, at = todo[~shallow], at[~shallow]
+            out[todo[shallow]] = self.dense[at[shallow], byte[shallow]]
+            todo, at, byte = todo[~shallow], at[~shallow], byte[~shallow]
         return out
 
     def scan(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,6 +143,20 @@ def apart(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return kept
 
 
+def longest_first(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of occurrences: those that a walk from the left takes, the longest at each place, going on behind it; in order."""
+    order = np.lexsort((-end, start, text))
+    text, start, end = text[order], start[order], end[order]
+    first = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (start[1:] != start[:-1]))) if len(text) else np.zeros(0, np.int64)
+    width = int(end.max(initial=0)) + 1
+    place, behind = text[first] * width + start[first], np.searchsorted(text[first] * width + start[first], text[first] * width + end[first])
+    kept, k, behind = [], 0, behind.tolist()
+    while k < len(place):
+        kept.append(k)
+        k = behind[k]
+    return order[first[kept]]
+
+
 def _entries(terms: DataFrame, type_col: str, term_col: str, pos_col: str | None, value_col: str | None) -> DataFrame:
     """type, text, pos, value: each (type, term) once, at its smallest position; without positions by type, then term."""
     pos = F.col(pos_col).cast("long") if pos_col else F.lit(None).cast("long")
@@ -162,7 +183,7 @@ class Entries:
         return Automaton(coded.dictionary), first, np.diff(buffers(coded.dictionary)[1]), rank
 
 
-def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, overlaps: bool) -> DataFrame:
+def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, mode: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(Entries(rows))
     place, names = df.columns.index(text_col), [*df.columns, out_col]
 
@@ -174,10 +195,13 @@ def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, overlap
                 part, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 text, end, term = automaton.scan(part, at)
                 start = end - sizes[term]
+                if mode == LONGEST:
+                    kept = longest_first(text, start, end)
+                    text, start, end, term = (x[kept] for x in (text, start, end, term))
                 count = first[term + 1] - first[term]
                 entry = np.repeat(first[term], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 text, start, end = (np.repeat(x, count) for x in (text, start, end))
-                if not overlaps:
+                if mode == APART:
                     order = np.lexsort((start, entry, text))
                     text, start, end, entry = (x[order] for x in (text, start, end, entry))
                     kept = apart(text * len(table) + entry, start, end)
@@ -286,7 +310,7 @@ def _places(sent, place: int):
     return run
 
 
-def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_col: str, overlaps: bool) -> DataFrame:
+def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_col: str, mode: str) -> DataFrame:
     spark = df.sparkSession
     kinds = "type string, text string, pos long, value string"
     hashed = shared.written(entries.select("type", "text", "pos", "value").mapInArrow(_hashed_terms, f"{kinds}, hash long, used long, look long"), shared.fresh_path(spark, "hashed-terms"))
@@ -296,7 +320,7 @@ def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_c
     places = df.select(id_col, text_col).mapInArrow(_places(sent, 1), f"id {kind}, hash long, start int, context binary")
     hits = places.join(hashed.drop("look", "used"), "hash").where(F.startswith("context", F.encode("text", "utf-8")))
     hits = hits.select("id", "type", "text", "pos", "value", "start", (F.col("start") + F.length("text")).cast("int").alias("end"))
-    if not overlaps:
+    if mode == APART:
         own = hits.groupBy("id", "type", "text", "pos", "value").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
         free = lambda upto, s: s["start"] >= upto
         kept = X.scan(F.col("all"), F.lit(0), lambda upto, s: F.when(free(upto, s), s["end"]).otherwise(upto), lambda upto, s: F.when(free(upto, s), F.array(s)).otherwise(F.array().cast("array<struct<start:int,end:int>>")), "struct<start:int,end:int>")
@@ -307,28 +331,33 @@ def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_c
     hit = F.struct("start", "end", "pos", "type", "text", "value", "number")
     rows = hits.groupBy("id").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
     order = F.transform("_hits", lambda h: F.struct(*[h[c].alias(c) for c in ("start", "end", "text", "type", "pos", "value", "number")])).cast(HIT)
+    if mode == LONGEST:
+        # As spans of their lengths' priorities, which are resolved from the left; the place in the array rides in the type.
+        span = lambda h, i: F.struct(F.lit(""), i.cast("string"), h["start"], h["end"], F.lit(0.0), F.lit(""), h["end"] - h["start"], F.lit(""))
+        order = X.let(order, lambda all_: F.transform(leftmost(F.transform(all_, span).cast(SPANS)), lambda s: F.get(all_, s["type"].cast("int"))))
     named = rows.select(F.col("id").alias("_id"), order.alias("_hits"))
     return df.join(named, df[id_col] == named["_id"], "left").withColumn(out_col, F.coalesce("_hits", F.array().cast(HIT))).drop("_id", "_hits")
 
 
-def hits(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type", term_col: str = "term", pos_col: str | None = None, value_col: str | None = None, text_col: str = "text", out_col: str = "hits", overlaps: bool = True, most: int = AUTOMATON_BYTES) -> DataFrame:
-    """Adds the occurrences of the terms as (start, end, text, type, pos, value, number), by start, end, then position; without
-    ``overlaps`` those of one (type, term) that a search from the left gives, and its number among those of the text, from 0.  ``id_col`` tells rows apart where it is a join."""
+def hits(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type", term_col: str = "term", pos_col: str | None = None, value_col: str | None = None, text_col: str = "text", out_col: str = "hits", mode: str = ALL, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """Adds the occurrences of the terms as (start, end, text, type, pos, value, number), by start, end, then position.
+    ``APART`` gives those of one (type, term) that a search from the left gives, and its number among those of the text, from 0;
+    ``LONGEST`` those that a walk over the text takes, the longest term at each place.  ``id_col`` tells rows apart where it is a join."""
     # Read several times: once for the size, and by each step of a join.
     entries = shared.written(_entries(terms, type_col, term_col, pos_col, value_col), shared.fresh_path(df.sparkSession, "terms"))
     size = entries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if size > most:
-        return _joined(df, entries, id_col, text_col, out_col, overlaps)
+        return _joined(df, entries, id_col, text_col, out_col, mode)
     # At most ``most`` bytes of terms, sorted here.
     rows = entries.select("text", "type", "pos", "value").toArrow()
     rows = rows.sort_by([("text", "ascending"), ("pos", "ascending"), ("type", "ascending")])
-    return _scanned(df, rows, text_col, out_col, overlaps)
+    return _scanned(df, rows, text_col, out_col, mode)
 
 
 def find_dictionary(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type", term_col: str = "term", pos_col: str | None = None, text_col: str = "text", out_col: str = "spans", most: int = AUTOMATON_BYTES) -> DataFrame:
     """As ``detect.find_terms`` for a table of terms: spans by start; a (type, term) that occurs numbers ``coref_{n}`` from 0 in the
     order of ``pos_col``, or of types and terms."""
-    found = hits(df, terms, id_col=id_col, type_col=type_col, term_col=term_col, pos_col=pos_col, text_col=text_col, out_col="_found", overlaps=False, most=most)
+    found = hits(df, terms, id_col=id_col, type_col=type_col, term_col=term_col, pos_col=pos_col, text_col=text_col, out_col="_found", mode=APART, most=most)
 
     span = lambda h: F.struct(h["text"].alias("text"), h["type"].alias("type"), h["start"].alias("start"), h["end"].alias("end"), F.lit(0.95).alias("confidence"), F.lit("has").alias("source"), F.lit(0).alias("priority"), F.concat(F.lit("coref_"), h["number"].cast("string")).alias("coref_id"))
     return found.withColumn(out_col, F.transform("_found", span).cast(SPANS)).drop("_found")
@@ -336,10 +365,6 @@ def find_dictionary(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: s
 
 def replace_dictionary(df: DataFrame, mapping: DataFrame, *, id_col: str, term_col: str = "term", value_col: str = "value", text_col: str = "text", out_col: str = "redacted_text", count_col: str = "redacted_count", most: int = AUTOMATON_BYTES) -> DataFrame:
     """As ``text.rewritten`` for a table of terms and their values: from the left, the longest term at each place."""
-    found = hits(df, mapping.withColumn("_type", F.lit("")), id_col=id_col, type_col="_type", term_col=term_col, value_col=value_col, text_col=text_col, out_col="_found", most=most)
-    # The value rides in a span's coref_id, the length in its priority.
-    span = lambda h: F.struct(h["text"], h["type"], h["start"], h["end"], F.lit(0.0), F.lit(""), h["end"] - h["start"], h["value"])
-    kept = leftmost(F.transform("_found", span).cast(SPANS))
-    rows = found.withColumn("_found", kept)
-    text = F.when(F.size("_found") > 0, X.put(F.col(text_col), F.col("_found"), lambda s: F.coalesce(s["coref_id"], F.lit("")))).otherwise(F.col(text_col))
-    return rows.withColumns({out_col: text, count_col: F.size("_found").cast("long")}).drop("_found")
+    found = hits(df, mapping.withColumn("_type", F.lit("")), id_col=id_col, type_col="_type", term_col=term_col, value_col=value_col, text_col=text_col, out_col="_found", mode=LONGEST, most=most)
+    text = F.when(F.size("_found") > 0, X.put(F.col(text_col), F.col("_found"), lambda h: F.coalesce(h["value"], F.lit("")))).otherwise(F.col(text_col))
+    return found.withColumns({out_col: text, count_col: F.size("_found").cast("long")}).drop("_found")
