@@ -66,26 +66,33 @@ def windows(value: Column, least: Column) -> Column:
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     # One more alphabet entry than there are characters: what leaves before the window is full.
     steps = F.zip_with(codes, F.concat(F.array_repeat(F.lit(len(ALPHABET)), WINDOW), codes), lambda a, b: F.struct(a.alias("add"), b.alias("drop")))
-    steps = F.filter(steps, lambda s: s["add"].isNotNull())
-    out = "array<struct<start:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("open"), F.lit(0).alias("upto"), F.array().cast(out).alias("out"))
+    # Behind the last one stands what closes the window that is open.
+    end = F.array(F.struct(F.lit(-1).alias("add"), F.lit(-1).alias("drop")))
+    steps = F.concat(F.filter(steps, lambda s: s["add"].isNotNull()), end)
+    zero = F.struct(F.lit(0).alias("at"), F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("open"), F.lit(0).alias("upto"))
 
-    def step(s: Column, x: Column) -> Column:
+    def total(s: Column, x: Column) -> Column:
         here, gone = F.get(s["counts"], x["add"]), F.get(s["counts"], x["drop"])
-        full = s["at"] >= WINDOW
-        same = x["add"] == x["drop"]
-        entered = _log(here + 1) - _log(here)
-        left = F.when(full, _log(gone - 1) - _log(gone)).otherwise(0.0)
-        total = s["sum"] + F.when(same, 0.0).otherwise(entered + left)
-        counts = F.transform(s["counts"], lambda c, i: c + F.when(i == x["add"], 1).otherwise(0) - F.when(full & (i == x["drop"]), 1).otherwise(0))
-        at = s["at"] + 1
-        high = (at >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least - 1e-9)
-        apart = high & (s["open"] >= 0) & (at - WINDOW > s["upto"])
-        closed = F.when(apart, F.concat(s["out"], F.array(F.struct(s["open"].alias("start"), s["upto"].alias("end"))).cast(out))).otherwise(s["out"])
-        return F.struct(at.alias("at"), counts.alias("counts"), total.alias("sum"), F.when(high & (apart | (s["open"] < 0)), at - WINDOW).otherwise(s["open"]).alias("open"), F.when(high, at).otherwise(s["upto"]).alias("upto"), closed.alias("out"))
-
-    last = lambda s: F.when(s["open"] >= 0, F.concat(s["out"], F.array(F.struct(s["open"].alias("start"), s["upto"].alias("end"))).cast(out))).otherwise(s["out"])
-    return F.aggregate(steps, zero, step, last)
+        left = F.when(s["at"] >= WINDOW, _log(gone - 1) - _log(gone)).otherwise(0.0)
+        return s["sum"] + F.when(x["add"] == x["drop"], 0.0).otherwise(_log(here + 1) - _log(here) + left)
+
+    def scanned(bits: Column) -> Column:
+        high = lambda s, x: (s["at"] + 1 >= WINDOW) & (F.lit(math.log2(WINDOW)) - total(s, x) / WINDOW >= bits - 1e-9)
+        apart = lambda s: (s["open"] >= 0) & (s["at"] + 1 - WINDOW > s["upto"])
+
+        def step(s: Column, x: Column) -> Column:
+            counts = F.transform(s["counts"], lambda c, i: c + F.when(i == x["add"], 1).otherwise(0) - F.when((s["at"] >= WINDOW) & (i == x["drop"]), 1).otherwise(0))
+            now = lambda h: F.struct((s["at"] + 1).alias("at"), counts.alias("counts"), total(s, x).alias("sum"), F.when(h & (apart(s) | (s["open"] < 0)), s["at"] + 1 - WINDOW).otherwise(s["open"]).alias("open"), F.when(h, s["at"] + 1).otherwise(s["upto"]).alias("upto"))
+            return F.when(x["add"] < 0, s).otherwise(X.let(high(s, x), now))
+
+        def emit(s: Column, x: Column) -> Column:
+            closes = F.when(x["add"] < 0, s["open"] >= 0).otherwise(apart(s) & high(s, x))
+            return F.when(closes, F.array(F.struct(s["open"].alias("start"), s["upto"].alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+        return X.scan(steps, zero, step, emit, "struct<start:int,end:int>")
+
+    # Worked out once for a string, not for each of its characters.
+    return X.let(least, scanned)
 
 
 def _entropy(text: Column) -> Column:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -680,3 +681,21 @@ def test_decontamination_by_blocks_and_long_items(spark, docs, monkeypatch):
     texts = ["x" * 50 + changed + "y" * 50, long[490:600], "z" * 300, long[:15_000]]
     got = {(t, i): cost for t, i, cost, _, _ in decontam.find(held, *words.buffers(pa.array(texts)))}
     assert got == {(0, 0): 90, (0, 1): 0, (1, 1): 0, (3, 1): 0}
+
+
+def test_long_candidates_take_linear_time(spark):
+    """Random base64 of 200,000 characters is one candidate; windows of mixed entropy are those of a plain count."""
+    rnd = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    mixed = "".join(rnd.choice(letters if rnd.random() < 0.5 or k % 900 < 400 else "aB3") for k in range(20_000))
+    texts = ["".join(rnd.choice(letters) for _ in range(n)) for n in (50_000, 200_000)] + [mixed]
+    took = []
+    for text in texts:
+        began = time.perf_counter()
+        got = secrets.digest(secrets.scan(spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string"))).first()
+        took.append(time.perf_counter() - began)
+        spans = [s for s in got.spans.split(",") if s.startswith("entropy")]
+        if text is not mixed:
+            assert spans == [f"entropy:2:{2 + len(text)}"]
+    assert took[1] < 60 and took[1] < 8 * took[0] + 5
+    assert spans == [f"entropy:{a}:{b}" for a, _, b in _windows(f"x {mixed} y")] and len(spans) > 1
