@@ -36,6 +36,8 @@ QS = (8, 6, 5, 4, 3, 2, 1)
 STEP_BYTES, BLOCK_BYTES = 2 << 20, 4 << 20
 #: Cells (diagonals and characters of items) that are aligned at once.
 TILE_CELLS = 1 << 18
+#: Pairs of equal q-grams that are counted at once.
+STEP_HITS = 1 << 20
 FILTER_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,6 +87,39 @@ def plan(m: int, rate: float) -> tuple[int, int]:
         budget -= 1
 
 
+class Counts:
+    """How often each (item, band) was added, as sorted keys; what is added is counted before it is kept."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, who: np.ndarray, band: np.ndarray) -> None:
+        low = int(band.min())
+        wide = int(band.max()) - low + 1
+        if (int(who.max()) + 1) * wide <= STEP_HITS:
+            flat = np.bincount(who * wide + band - low)
+            there = np.flatnonzero(flat)
+            self.parts.append((there // wide << 40 | there % wide + low, flat[there]))
+        else:
+            self.parts.append(np.unique(who << 40 | band, return_counts=True))
+        self.held += len(self.parts[-1][0])
+        if self.held > 4 * STEP_HITS:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 2
+        keys, inverse = np.unique(keys, return_inverse=True)
+        self.parts = [(keys, np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64))]
+        # What cannot be merged further waits until as much again has come.
+        self.held = 0
+        return self.parts[0]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of keys that were added, after ``total``."""
+        return self.parts[0][1][np.searchsorted(self.parts[0][0], keys)]
+
+
 class Items:
     """A block of the benchmark, indexed by q-grams."""
 
@@ -119,26 +154,27 @@ class Items:
             spot = np.searchsorted(values, code[hit])
             good = values[np.minimum(spot, len(values) - 1)] == code[hit]
             hit, spot = hit[good], spot[good]
-            # Parts of the hits at a time: a frequent q-gram stands at many places of the items.
+            # Parts of the hits at a time, counted by band before the next: a frequent q-gram stands at many places of the items.
             n = first[spot + 1] - first[spot]
-            keys = []
-            ends = np.cumsum(n)
-            k = 0
+            ends, counts, k = np.cumsum(n), Counts(), 0
             while k < len(hit):
-                end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + (1 << 20), "right")))
+                end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + STEP_HITS, "right")))
                 m = n[k:end]
                 entry = np.repeat(first[spot[k:end]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                who, diagonal = item[entry], np.repeat(hit[k:end], m) - place[entry] + int(self.size.max())
-                band = diagonal // wide
-                keys.append(np.concatenate([who << 40 | band, who << 40 | band - 1]))
-                keys[-1].sort()
+                counts.add(item[entry], (np.repeat(hit[k:end], m) - place[entry] + int(self.size.max())) // wide)
                 k = end
-            if keys:
-                key, count = np.unique(np.concatenate(keys), return_counts=True)
-                who = key >> 40
-                full = count >= self.demand[who]
-                low = (key & (1 << 40) - 1) * wide - int(self.size.max())
-                found.append(np.stack([who[full], low[full], np.full(full.sum(), 2 * wide)], 1))
+            key, count = counts.total()
+            # A band reaches over the next one as well.
+            after = np.searchsorted(key, key + 1)
+            over = np.append(key, -1)[after] == key + 1
+            count = count + np.where(over, np.append(count, 0)[after], 0)
+            alone = key[np.append(True, key[1:] != key[:-1] + 1)] if len(key) else key
+            alone = alone[(alone & (1 << 40) - 1) > 0]
+            key, count = np.append(key, alone - 1), np.append(count, counts.of(alone))
+            who = key >> 40
+            full = count >= self.demand[who]
+            low = (key & (1 << 40) - 1) * wide - int(self.size.max())
+            found.append(np.stack([who[full], low[full], np.full(full.sum(), 2 * wide)], 1))
         return np.concatenate(found)
 
     def align(self, cp: np.ndarray, at: np.ndarray, regions: np.ndarray):

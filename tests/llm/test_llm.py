@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out labels, with the odd rows a table may hold."""
 
+import collections
 import hashlib
 import math
 import random
@@ -699,3 +700,32 @@ def test_long_candidates_take_linear_time(spark):
             assert spans == [f"entropy:2:{2 + len(text)}"]
     assert took[1] < 60 and took[1] < 8 * took[0] + 5
     assert spans == [f"entropy:{a}:{b}" for a, _, b in _windows(f"x {mixed} y")] and len(spans) > 1
+
+
+def test_repetitive_texts_need_little_memory():
+    import tracemalloc
+
+    items = decontam.Items([1, 2], ["-" * 200, "=-" * 60], 0.1)
+    body = ("x" * 50 + "-" * 60_000 + " plain words " + "=-" * 20_000).encode()
+    cp, at = decontam.points(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    tracemalloc.start()
+    regions = items.regions(cp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    # The bands that a count of all pairs at once gives.
+    want = collections.Counter()
+    for q, (_, values, first, item, place, wide) in items.index.items():
+        code = decontam.qgrams(cp, q)
+        for k in np.flatnonzero(np.isin(code, values))[::97]:
+            for e in range(*first[np.searchsorted(values, code[k]) + np.arange(2)]):
+                diagonal = int(k) - int(place[e]) + int(items.size.max())
+                want[int(item[e]), diagonal // wide * wide - int(items.size.max())] += 1
+    assert {k for k, n in want.items() if n >= 3} <= {(int(i), int(low)) for i, low, _ in regions}
+    counts, plain, rng = decontam.Counts(), collections.Counter(), np.random.default_rng(4)
+    for wide in (5, 5, 1 << 30, 9):
+        who, band = rng.integers(0, 40, 500), rng.integers(0, wide, 500)
+        counts.add(who, band)
+        plain.update((who << 40 | band).tolist())
+    key, count = counts.total()
+    assert dict(zip(key.tolist(), count.tolist())) == plain and counts.of(key[::3]).tolist() == count[::3].tolist()
