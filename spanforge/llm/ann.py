@@ -16,7 +16,7 @@ dividing sphere exceeds the k-th distance.  Factor 1 is exact search, larger one
 The score is the cosine of the original vectors in double precision; ties go to the smaller id.  A vector is first divided by a
 power of two near its largest component, which changes no digit of the cosine and keeps squares from under- or overflowing.
 Vectors that are null, empty, zero, or hold null or non-finite components take no part; rows that repeat an id are candidates
-each, and a query's own id is none; vectors are compared with those of their own length only; an empty table gives an empty
+each, and a query's own id is none; query rows that repeat an id, with equal vectors or others, get a list each; vectors are compared with those of their own length only; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -251,7 +251,7 @@ def _ask(tops, k: int, factor: float):
                 known[rows] = top.least(batch.column("vec_id").to_numpy()[rows], unit, k)
                 for row, own in zip(rows, top.routes(unit, known[rows], factor)):
                     shards[row] = own
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.list_(pa.int64())), batch.column("vec_id"), batch.column("vector"), pa.array(known)], ["shards", "id", "vector", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.list_(pa.int64())), batch.column("vec_id"), batch.column("vector"), pa.array(known), batch.column("row"), batch.column("copies")], ["shards", "id", "vector", "least", "row", "copies"])
 
     return run
 
@@ -283,7 +283,8 @@ def _search(k: int, factor: float):
                     own = block.column("id").to_numpy()
                     score, row = tree.search(own, _matrix(block.column("vector")), k, factor, block.column("least").to_numpy())
                     found = row >= 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, found.sum(1))), pa.array(tree.ids[row[found]]), pa.array(score[found])], ["query_id", "vec_id", "score"])
+                    of = pa.array(np.repeat(np.arange(len(own)), found.sum(1)))
+                    yield pa.RecordBatch.from_arrays([block.column("id").take(of), block.column("row").take(of), block.column("copies").take(of), pa.array(tree.ids[row[found]]), pa.array(score[found])], ["query_id", "row", "copies", "vec_id", "score"])
 
     return run
 
@@ -309,12 +310,15 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, factor: float
         tops[row["width"]] = top_of(ids, sample, row["n"], shard_rows, first)
         first += len(tops[row["width"]].salts)
     sent = spark.sparkContext.broadcast(tops)
-    dealt = good.mapInArrow(lean(_deal(sent)), "shard long, id long, vector array<double>").select("shard", F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("least"))
+    dealt = good.mapInArrow(lean(_deal(sent)), "shard long, id long, vector array<double>").select("shard", F.lit(0).alias("kind"), "id", "vector", F.lit(0.0).alias("least"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("copies"))
     asked = usable(queries).where(F.col("width").isin([*tops])) if tops else usable(queries).limit(0)
-    routed = asked.mapInArrow(lean(_ask(sent, k, factor)), "shards array<long>, id long, vector array<double>, least double").select(F.explode("shards").alias("shard"), F.lit(1).alias("kind"), "id", "vector", "least")
-    near = dealt.unionByName(routed).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_search(k, factor)), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Query rows are told apart by id and vector; equal ones are asked once and answered as often as they are there.
+    asked = asked.groupBy("vec_id", "vector", "width", "mixed").agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64(F.lit("query"), "vector"))
+    routed = asked.mapInArrow(lean(_ask(sent, k, factor)), "shards array<long>, id long, vector array<double>, least double, row long, copies long").select(F.explode("shards").alias("shard"), F.lit(1).alias("kind"), "id", "vector", "least", "row", "copies")
+    near = dealt.unionByName(routed).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(lean(_search(k, factor)), "query_id long, row long, copies long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -729,3 +729,16 @@ def test_repetitive_texts_need_little_memory():
         plain.update((who << 40 | band).tolist())
     key, count = counts.total()
     assert dict(zip(key.tolist(), count.tolist())) == plain and counts.of(key[::3]).tolist() == count[::3].tolist()
+
+
+def test_query_rows_of_one_id_get_a_list_each(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(1, 60)]
+    asked = [(50, rows[0][1]), (50, rows[1][1]), (50, rows[1][1]), (0, rows[2][1])]
+    vectors, queries = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, asked))
+    got = collections.Counter((r.query_id, r.rank, r.vec_id) for r in ann.search(vectors, queries, shard_rows=16).collect())
+    want = collections.Counter()
+    for own, q in asked:
+        near = sorted((-np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v), k) for k, v in rows if k != own)[:5]
+        want.update((own, rank, k) for rank, (_, k) in enumerate(near, 1))
+    assert got == want
