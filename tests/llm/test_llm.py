@@ -439,7 +439,9 @@ def test_chat_reads_back_what_was_written(spark):
     assert [e.context_chars for e in examples] == [len(t.text) - len(e.segment) for e, t in zip(examples, texts)]
     assert chat.read_back(chat.segments(table.limit(0))).count() == 0
     plan = chat.read_back(turns)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "Generate posexplode" in plan
+    rows = chat.read_examples(turns).where("conv_id = 1").orderBy("place").collect()
+    assert [r.example is not None for r in rows] == [False, True, True] and [r.example.context_chars for r in rows[1:]] == [r.before for r in rows[1:]]
 
 
 def test_chat_loss_is_read_from_the_examples(spark):
