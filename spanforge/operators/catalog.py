@@ -29,9 +29,21 @@ def listed(catalog: DataFrame, *, enabled_only: bool = False) -> DataFrame:
     return (catalog.where("enabled") if enabled_only else catalog).orderBy("order", "id")
 
 
-def recognition_order(catalog: DataFrame, locale: str = "zh") -> DataFrame:
-    """Types with a pattern first, then by name as the locale has it."""
-    return catalog.orderBy(F.col("regex_pattern").isNull(), F.collate(F.col("name"), locale), "id")
+def natural_key(name: Column, width: int = 40) -> Column:
+    """The name with its numbers filled up by zeros, so that ``a 9`` stands before ``a 10`` wherever digits sort by their value."""
+    parts = F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    bare = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), width - F.length(bare(p)))), bare(p))).otherwise(p)), "")
+
+
+def recognition_columns(locale: str = "zh_CI_AI") -> list[Column]:
+    """The order of types on the screen: those with a pattern first, then by name as the locale has it, numbers by their value and
+    letters without case or accents."""
+    return [F.coalesce(F.col("regex_pattern"), F.lit("")) == "", F.collate(natural_key(F.col("name")), locale), F.col("id")]
+
+
+def recognition_order(catalog: DataFrame, locale: str = "zh_CI_AI") -> DataFrame:
+    return catalog.orderBy(*recognition_columns(locale))
 
 
 def regex_types(catalog: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -332,13 +332,18 @@ def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_c
     rows = hits.groupBy("id").agg(F.array_sort(F.collect_list(hit)).alias("_hits"))
     order = F.transform("_hits", lambda h: F.struct(*[h[c].alias(c) for c in ("start", "end", "text", "type", "pos", "value", "number")])).cast(HIT)
     if mode == LONGEST:
-        # As spans of their lengths' priorities, which are resolved from the left; the place in the array rides in the type.
-        span = lambda h, i: F.struct(F.lit(""), i.cast("string"), h["start"], h["end"], F.lit(0.0), F.lit(""), h["end"] - h["start"], F.lit(""))
-        order = X.let(order, lambda all_: F.transform(leftmost(F.transform(all_, span).cast(SPANS)), lambda s: F.get(all_, s["type"].cast("int"))))
+        order = taken(order)
     named = rows.select(F.col("id").alias("_id"), order.alias("_hits"))
     return df.join(named, df[id_col] == named["_id"], "left").withColumn(out_col, F.coalesce("_hits", F.array().cast(HIT))).drop("_id", "_hits")
 
 
+def taken(found: Column) -> Column:
+    """Of an array of ``HIT``: those that a walk from the left takes, the longest at each place."""
+    # As spans of their lengths' priorities; the place in the array rides in the type.
+    span = lambda h, i: F.struct(F.lit(""), i.cast("string"), h["start"], h["end"], F.lit(0.0), F.lit(""), h["end"] - h["start"], F.lit(""))
+    return X.let(found, lambda all_: F.transform(leftmost(F.transform(all_, span).cast(SPANS)), lambda s: F.get(all_, s["type"].cast("int"))))
+
+
 def hits(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type", term_col: str = "term", pos_col: str | None = None, value_col: str | None = None, text_col: str = "text", out_col: str = "hits", mode: str = ALL, most: int = AUTOMATON_BYTES) -> DataFrame:
     """Adds the occurrences of the terms as (start, end, text, type, pos, value, number), by start, end, then position.
     ``APART`` gives those of one (type, term) that a search from the left gives, and its number among those of the text, from 0;

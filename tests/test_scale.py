@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import detect as D
 from spanforge.operators import dictionary as L
-from spanforge.operators import fuzzy, paging, spatial
+from spanforge.operators import catalog, fuzzy, paging, runs, spatial
 from spanforge.plans import checks_scale
-from spanforge.sources import archive
+from spanforge.sources import archive, docx
 from spanforge.streaming import live
 
 TERMS = {"ORG": ["aa", "aab", "é日", "日", "b", "ab", "a" * 70 + "b", "aa"], "PER": ["aa", "ba", "😀a", "a" * 65]}
@@ -254,3 +254,29 @@ def test_counts_follow_each_batch(spark, tmp_path):
             if old:
                 now[job, old] -= 1
         assert {(r.job, r.status): r.n for r in got} == {k: v for k, v in now.items() if v}
+
+
+def test_runs_are_rewritten_by_majority(spark):
+    rnd = random.Random(10)
+    mapping = {"ab": "1", "abc": "22", "cab": "", "bb": "bb!", "a" * 9: "long"}
+    paragraphs = [[("".join(rnd.choice("abc") for _ in range(rnd.choice([0, 1, 1, 2, 3, 9, 70])))) for _ in range(rnd.randint(1, 12))] for _ in range(60)] + [["a" * 200, "aab", None, "b"], [None]]
+    rows = [(p, k, t) for p, texts in enumerate(paragraphs) for k, t in enumerate(texts)] + [(None, 0, "xab"), (None, 1, "c")]
+    df = spark.createDataFrame(rows, "p int, run int, text string")
+    table = spark.createDataFrame(list(mapping.items()), "term string, value string")
+    got = collections.defaultdict(list)
+    for r in runs.rewrite_runs(df.where("p is not null"), table, paragraph=["p"]).orderBy("p", "run").collect():
+        got[r.p].append(r)
+    for p, texts in enumerate(paragraphs):
+        want, n = docx.rewrite_runs([t or "" for t in texts], mapping)
+        assert [r.redacted_text or "" for r in got[p]] == want and sum(r.redacted_count for r in got[p]) == n
+    assert runs.rewrite_runs(df, table, paragraph=["p"]).count() == len(rows)
+
+
+def test_names_in_natural_order(spark):
+    names = ["b 10", "b 9", "B 9a", "a2", "a 002", "a 10", "é1", "e 2", "", None, "x 99999999999999999999", "x 100000000000000000000", "乙", "甲"]
+    rows = [(k, n, "p" if k % 2 else "") for k, n in enumerate(names)]
+    got = [r.name for r in catalog.recognition_order(spark.createDataFrame(rows, "id int, name string, regex_pattern string")).collect()]
+    assert got[: len(names) // 2] == [n for n in got if rows[names.index(n)][2]]
+    order = [r.name for r in catalog.recognition_order(spark.createDataFrame([(k, n, None) for k, n in enumerate(names) if n], "id int, name string, regex_pattern string")).collect()]
+    at = order.index
+    assert at("a 002") < at("a 10") and at("b 9") < at("B 9a") < at("b 10") and at("x 99999999999999999999") < at("x 100000000000000000000") and at("a2") < at("b 9") < at("e 2") and at("甲") < at("乙")
