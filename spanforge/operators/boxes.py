@@ -274,3 +274,11 @@ def chosen_types(asked: list[str] | None, other: list[str] | None, enabled: list
         return defaults if other is not None and not other else []
     valid = [t for t in asked if t in enabled]
     return valid or enabled
+
+
+def chosen_types_of(asked: Column, other: Column, enabled: list[str], defaults: list[str]) -> Column:
+    """As ``chosen_types`` for each row's lists."""
+    some = lambda names: F.array(*[F.lit(t) for t in names]).cast("array<string>")
+    valid = F.filter(asked, lambda t: t.isin(enabled))
+    both = F.coalesce(F.size(other) == 0, F.lit(False)) & other.isNotNull()
+    return F.when(asked.isNull(), some(defaults)).when(F.size(asked) == 0, F.when(both, some(defaults)).otherwise(some([]))).when(F.size(valid) == 0, some(enabled)).otherwise(valid)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.functions import text as X
 from spanforge.functions import values as V
@@ -62,7 +63,8 @@ def model_types(catalog: DataFrame) -> DataFrame:
 def created(catalog: DataFrame, row: dict) -> DataFrame:
     """With a new type, named by chance unless it has an id."""
     full = {"id": f"custom_{uuid.uuid4().hex[:8]}", "order": CUSTOM_ORDER, "enabled": True, "use_llm": True, "name": None, "category": None, "risk_level": 3, "regex_pattern": None, "tag_template": None} | row
-    return catalog.unionByName(catalog.sparkSession.createDataFrame([tuple(full[c] for c in catalog.columns)], catalog.schema))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in catalog.schema])
+    return catalog.unionByName(catalog.sparkSession.createDataFrame([tuple(full[c] for c in catalog.columns)], schema))
 
 
 def updated(catalog: DataFrame, id_: str, patch: dict) -> DataFrame:

@@ -71,11 +71,15 @@ HEADS = [h for h, _ in V.SIGNATURES] + [b"hello", b""]
 FITS = [[(e in exts) if k < len(V.SIGNATURES) else e in (".txt", ".md", ".rtf", ".html", ".htm") for e in EXTENSIONS] for k, exts in enumerate([x for _, x in V.SIGNATURES] + [[], []])]
 
 
-@query("SELECT head, ext, fits FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{e}', {str(FITS[k][j]).lower()})" for k in range(len(HEADS)) for j, e in enumerate(EXTENSIONS)) + ") AS t(head, ext, fits)")
+@query("SELECT page_id, fits FROM pages JOIN (VALUES " + ", ".join(f"({k}, {j}, {str(FITS[k][j]).lower()})" for k in range(len(HEADS)) for j, e in enumerate(EXTENSIONS)) + f") AS t(head, ext, fits) ON head = page_id % {len(HEADS)} AND ext = page_id // {len(HEADS)} % {len(EXTENSIONS)}")
 def every_signature(spark, d):
-    """Each known signature, and none, with each extension."""
-    rows = spark.createDataFrame([(k, bytearray(h + b"rest"), e) for k, h in enumerate(HEADS) for e in EXTENSIONS], "head long, content binary, ext string")
-    return rows.select("head", "ext", S.signature_fits(F.col("content"), F.col("ext")).alias("fits"))
+    """Pages behind each known signature, and none, under each extension in turn."""
+    turn = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (n + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/pages.parquet")
+    head = turn([bytearray(h) for h in HEADS], F.col("page_id") % len(HEADS))
+    ext = turn(EXTENSIONS, F.floor(F.col("page_id") / len(HEADS)) % len(EXTENSIONS))
+    content = F.concat(head, F.encode(F.lit("rest"), "utf-8"), F.encode(F.coalesce("html", F.lit("")), "utf-8"))
+    return rows.select("page_id", S.signature_fits(content, ext).alias("fits"))
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '中文' || doc_id ELSE 'é' || doc_id || 'ÿ' END AS text FROM documents")
@@ -286,12 +290,16 @@ def boxes_refined(spark, d):
     return made.select("box_id", F.round("x", 9).alias("x"))
 
 
-ASKED = [(None, None), ([], []), ([], ["a"]), (["x"], None), (["a", "x"], None)]
-
-
-@query("SELECT * FROM (VALUES (0::BIGINT, 'd'), (1::BIGINT, 'd'), (2::BIGINT, ''), (3::BIGINT, 'a,b'), (4::BIGINT, 'a')) AS t(n, types)")
+@query("""WITH a AS (SELECT doc_id, CASE WHEN lang = 'en' THEN NULL WHEN lang = 'de' THEN [] ELSE [source, lang] END AS asked, CASE WHEN n_chars % 3 = 0 THEN NULL WHEN n_chars % 3 = 1 THEN [] ELSE ['a'] END AS other FROM documents),
+v AS (SELECT *, list_filter(asked, lambda t: t IN ('src1', 'src2', 'fr')) AS valid FROM a)
+SELECT doc_id, CASE WHEN asked IS NULL THEN 'd' WHEN len(asked) = 0 THEN CASE WHEN other IS NOT NULL AND len(other) = 0 THEN 'd' ELSE '' END WHEN len(valid) = 0 THEN 'src1,src2,fr' ELSE array_to_string(valid, ',') END AS types FROM v""")
 def pipeline_choice(spark, d):
-    return spark.createDataFrame([(k, ",".join(O.chosen_types(a, b, ["a", "b"], ["d"]))) for k, (a, b) in enumerate(ASKED)], "n long, types string")
+    """What each document's language, source and length ask of two pipelines."""
+    none = F.array().cast("array<string>")
+    asked = F.when(F.col("lang") == "de", none).when(F.col("lang") != "en", F.array("source", "lang"))
+    other = F.when(F.col("n_chars") % 3 == 1, none).when(F.col("n_chars") % 3 == 2, F.array(F.lit("a")))
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    return rows.select("doc_id", F.array_join(O.chosen_types_of(asked, other, ["src1", "src2", "fr"], ["d"]), ",").alias("types"))
 
 
 def _text_boxes():
@@ -357,12 +365,11 @@ def progress_headlines(spark, d):
     return R.progress_line(R.job_progress(items(spark, d))).select("job_id", "headline")
 
 
-SIZES = [0, 1023, 1024, 1048575, 1048576, 5_600_000]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}::BIGINT, '{s}')" for n, s in zip(SIZES, ("0 B", "1023 B", "1.0 KB", "1024.0 KB", "1.0 MB", "5.3 MB"))) + ") AS t(size, label)")
+@query("""WITH s AS (SELECT doc_id, n_chars * n_chars * 3 AS size FROM documents), t AS (SELECT *, (size * 20 + 1024) // 2048 AS kb, (size * 20 + 1048576) // 2097152 AS mb FROM s)
+SELECT doc_id, size, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN kb // 10 || '.' || kb % 10 || ' KB' ELSE mb // 10 || '.' || mb % 10 || ' MB' END AS label FROM t""")
 def size_labels(spark, d):
-    return spark.createDataFrame([(n,) for n in SIZES], "size long").select("size", R.size_label(F.col("size")).alias("label"))
+    size = (F.col("n_chars") * F.col("n_chars") * 3).alias("size")
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", size).withColumn("label", R.size_label(F.col("size")))
 
 
 def typed_jobs(spark, d):
@@ -407,9 +414,12 @@ def wizard_states(spark, d):
 # Catalogs.
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r['id']}', '{r['name']}', {str(r['regex_pattern'] is not None).lower()})" for r in V.catalog()) + ") AS t(id, name, has_pattern)")
+@query("SELECT doc_id, id, name, has_pattern FROM documents JOIN (VALUES " + ", ".join(f"({k}, '{r['id']}', '{r['name']}', {str(r['regex_pattern'] is not None).lower()})" for k, r in enumerate(V.catalog())) + f") AS t(i, id, name, has_pattern) ON i = n_chars % {len(V.catalog())}")
 def catalog_names(spark, d):
-    return C.preset(spark).select("id", "name", F.col("regex_pattern").isNotNull().alias("has_pattern"))
+    """A type for each document, by its length, with its name in the catalog."""
+    ids = F.array(*[F.lit(r["id"]) for r in V.catalog()])
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.element_at(ids, (F.col("n_chars") % len(V.catalog()) + 1).cast("int")).alias("id"))
+    return rows.join(C.preset(spark).select("id", "name", F.col("regex_pattern").isNotNull().alias("has_pattern")), "id")
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}', 0))::BIGINT AS n FROM (SELECT doc_id, text || ' 00:1A:2b:3c:4d:5e' AS text FROM documents)")
@@ -422,21 +432,26 @@ def catalog_patterns(spark, d):
     return D.find_patterns(rows, rules).select("doc_id", F.size("spans").cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a', 'ocr_has'), (1::BIGINT, 'face', 'has_image'), (2::BIGINT, 'c', 'ocr_has'), (2::BIGINT, 'new', 'has_image'), (1::BIGINT, 'z', 'mine')) AS t(rank, id, mode)")
+@query("""WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), on_ AS (SELECT lang, source AS id, n AS ord FROM s WHERE ((n % 2 = 0) <> (lang = 'fr' AND source = 'src2')) AND NOT (lang = 'es' AND source = 'src1') AND lang <> 'de' UNION ALL SELECT 'en', 'new', 5 UNION ALL SELECT 'old', 'x', 1)
+SELECT lang AS mode, row_number() OVER (PARTITION BY lang ORDER BY ord, id = 'new', id) AS rank, id FROM on_""")
 def pipeline_catalog(spark, d):
-    """Stored types in place of a preset's, one disabled, one added, one removed, one toggled; an old pipeline dropped."""
-    types = lambda *ts: [(i, i, n, on) for i, n, on in ts]
-    stored = spark.createDataFrame([("ocr_has", True, types(("c", 9, True), ("a", 1, True), ("b", 2, False))), ("glm_vision", True, types(("q", 1, True))), ("mine", True, types(("z", 1, False), ("y", 2, True)))], C.PIPELINES)
-    merged = C.merged_pipelines(C.preset_pipelines(spark), stored)
-    small = merged.withColumn("types", F.when(F.col("mode") == "has_image", F.filter("types", lambda t: t["id"] == "face")).otherwise(F.col("types")))
-    more = C.with_type(small, "has_image", {"id": "new", "name": "n", "order": 5, "enabled": True})
-    fewer = C.without_type(C.with_type_toggled(more, "mine", "z"), "mine", "y", [])
-    return C.pipeline_types(fewer).select(F.col("rank").cast("long").alias("rank"), "id", "mode")
-
-
-@query("SELECT mode, count(*) AS n FROM (VALUES " + ", ".join(f"('{m}', '{i}')" for m, ts in (("ocr_has", V.OCR_TYPES), ("has_image", V.IMAGE_TYPES)) for i, *_ in ts) + ") AS t(mode, id) GROUP BY mode")
+    """Languages as pipelines, their sources as types: stored types in place of a preset's, one added, one removed, one toggled; a
+    pipeline that is no more dropped."""
+    sources = spark.read.parquet(f"{d}/documents.parquet").groupBy("lang", "source").agg(F.count("*").cast("int").alias("n"))
+    type_ = F.struct(F.col("source").alias("id"), F.col("source").alias("name"), F.col("n").alias("order"), (F.col("n") % 2 == 0).alias("enabled"))
+    stored = sources.groupBy(F.col("lang").alias("mode")).agg(F.lit(True).alias("enabled"), F.array_sort(F.collect_list(type_)).alias("types"))
+    preset = spark.createDataFrame([(m, True, [("x", "x", 1, True)]) for m in ("en", "fr", "old")], C.PIPELINES)
+    merged = C.merged_pipelines(preset, stored, dropped="de")
+    more = C.with_type(merged, "en", {"id": "new", "name": "n", "order": 5, "enabled": True})
+    fewer = C.without_type(C.with_type_toggled(more, "fr", "src2"), "es", "src1", [])
+    return C.pipeline_types(fewer).select("mode", F.col("rank").cast("long").alias("rank"), "id")
+
+
+@query("SELECT mode, id, count(*) AS n FROM lineitem JOIN (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(V.IMAGE_CLASSES)) + f") AS c(k, slug) ON k = l_partkey % {len(V.IMAGE_CLASSES)} JOIN (VALUES " + ", ".join(f"('{m}', '{i}')" for m, ts in (("ocr_has", V.OCR_TYPES), ("has_image", V.IMAGE_TYPES)) for i, *_ in ts) + ") AS t(mode, id) ON id = slug GROUP BY mode, id")
 def pipeline_types_counted(spark, d):
-    return C.pipeline_types(C.preset_pipelines(spark)).groupBy("mode").agg(F.count("*").alias("n"))
+    """Boxes of each class that a pipeline reads."""
+    classes = spark.read.parquet(f"{d}/lineitem.parquet").select(O.class_slug((F.col("l_partkey") % len(V.IMAGE_CLASSES)).cast("int")).alias("id"))
+    return classes.groupBy("id").agg(F.count("*").alias("n")).join(C.pipeline_types(C.preset_pipelines(spark)).select("mode", "id"), "id")
 
 
 @query("SELECT doc_id, array_to_string(list_filter(['PHONE', 'x' || doc_id % 3, 'EMAIL', 'x1'], lambda t: t IN ('EMAIL', 'PHONE', 'x1')), ',') AS ids FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT doc_id, 'PHONE,x1,EMAIL' FROM documents WHERE doc_id % 3 = 1")
@@ -446,14 +461,15 @@ def presets_applied(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(C.applied_preset(ids, enabled), ",").alias("ids"))
 
 
-@query("SELECT 'a' AS asked, 'a' AS id UNION ALL SELECT 'gone', 'b'")
+@query("""WITH s AS (SELECT source AS id, count(*) AS n FROM documents GROUP BY source), m AS (SELECT id, n % 2 = 0 AS enabled FROM s WHERE n % 7 <> 0 OR id = 'src0')
+SELECT 'src3' AS asked, (SELECT id FROM m ORDER BY id <> 'src3', NOT enabled, id LIMIT 1) AS id UNION ALL SELECT 'gone', (SELECT id FROM m ORDER BY NOT enabled, id LIMIT 1)""")
 def models_active(spark, d):
-    """The model pointed to, else the first enabled; stored ones without a name are dropped, the built-in one stays."""
-    kind = "id string, name string, enabled boolean"
-    builtin = spark.createDataFrame([("a", "A", False)], kind)
-    models = C.merged_models(builtin, spark.createDataFrame([("c", "C", True), ("b", "B", True), ("z", " ", True)], kind))
+    """Sources as models: the one pointed to, else the first enabled; stored ones without a name go, the built-in one stays."""
+    counts = spark.read.parquet(f"{d}/documents.parquet").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"))
+    every = counts.select("id", F.when(F.col("n") % 7 == 0, " ").otherwise(F.upper("id")).alias("name"), (F.col("n") % 2 == 0).alias("enabled"))
+    models = C.merged_models(every.where("id = 'src0'"), every)
     own = lambda asked: C.active_model(models, asked).select(F.lit(asked).alias("asked"), "id")
-    return own("a").unionByName(own("gone"))
+    return own("src3").unionByName(own("gone"))
 
 
 # Workflow.

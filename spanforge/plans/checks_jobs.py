@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import values as V
@@ -224,9 +225,15 @@ def json_config(spark, d):
 EDGES = [("job", c, t) for c, ts in V.JOB_EDGES.items() for t in dict.fromkeys([*(V.JOB_STATES if ts == ["*"] else ts), c])] + [("item", c, t) for c, ts in V.ITEM_EDGES.items() for t in dict.fromkeys([*(V.ITEM_STATES if ts == ["*"] else ts), c])]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in EDGES) + ") AS t(entity, current, target)")
+@query(f"WITH {ITEMS_SQL}, l AS (SELECT lag(status) OVER (PARTITION BY file_id ORDER BY updated_at, id) AS current, status AS target FROM items), e AS (SELECT * FROM (VALUES " + ", ".join(f"('{b}', '{c}')" for a, b, c in EDGES if a == "item") + ") AS t(current, target)) SELECT l.current, l.target, count(*) AS n, CASE WHEN l.current = l.target THEN 'idempotent' WHEN any_value(e.target) IS NULL THEN 'illegal' ELSE 'ok' END AS said FROM l LEFT JOIN e USING (current, target) WHERE l.current IS NOT NULL GROUP BY l.current, l.target")
 def transition_edges(spark, d):
-    return J.edges(spark)
+    """Every change of an item's state that there is, how often, by the table of edges and as the expression judges it."""
+    own = Window.partitionBy("file_id").orderBy("updated_at", "id")
+    seen = items(spark, d).select(F.lag("status").over(own).alias("current"), F.col("status").alias("target")).where("current IS NOT NULL").groupBy("current", "target").agg(F.count("*").alias("n"))
+    judged = seen.withColumn("said", J.transition("item", F.col("current"), F.col("target")))
+    edges = J.edges(spark).where("entity = 'item'").drop("entity").withColumn("edge", F.lit(True))
+    # Both must say the same.
+    return judged.join(edges, ["current", "target"], "left").select("current", "target", "n", F.when(F.col("edge").isNotNull() == (F.col("said") != "illegal"), F.col("said")).alias("said"))
 
 
 @query(f"WITH {ITEMS_SQL}, l AS (SELECT *, lag(status) OVER (PARTITION BY file_id ORDER BY updated_at, id) AS previous FROM items) SELECT id, previous, status FROM l WHERE previous IS NOT NULL AND ('item', previous, status) NOT IN (VALUES {', '.join(str(e) for e in EDGES)})")

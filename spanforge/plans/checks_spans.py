@@ -82,9 +82,15 @@ for _k, _rule in enumerate(r for r in D.BUILTIN):
     QUERIES[_name], ORACLE_SQL[_name] = QUERIES.pop("one_rule"), ORACLE_SQL.pop("one_rule")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in D.supported_types()) + ") AS t(type)")
+_ASKED = [*D.supported_types(), "NOT_A_TYPE"]
+
+
+@query(f"SELECT type, count(*) AS n FROM documents JOIN (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(_ASKED))}) AS t(i, type) ON i = n_chars % {len(_ASKED)} WHERE type <> 'NOT_A_TYPE' GROUP BY type")
 def supported_types(spark, d):
-    return spark.createDataFrame([(t,) for t in D.supported_types()], "type string")
+    """How many documents ask for each type that is supported; what they ask for follows from their length."""
+    asked = F.element_at(F.array(*[F.lit(t) for t in _ASKED]), (F.col("n_chars") % len(_ASKED) + 1).cast("int")).alias("type")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(asked)
+    return rows.where(F.col("type").isin(D.supported_types())).groupBy("type").agg(F.count("*").alias("n"))
 
 
 OCR_PLANTED = " 账号：12345678901234 开户 中国工商银行北京分行 北京某某科技有限公司 6222021234567890123 13912345678 x@y.cn 110101199001011234 2024年1月2日 2024/3/4 "
@@ -306,17 +312,18 @@ def tag_maps_merged(spark, d):
     return merged.select("doc_id", "tag", F.array_join("t", ",").alias("terms"))
 
 
-@query("SELECT 1::BIGINT AS n, 'SEXUAL_ORIENTATION' AS id UNION ALL SELECT 2, 'PERSON'")
+@query("""WITH c AS (SELECT source AS id, count(*) AS n FROM documents GROUP BY source), a AS (SELECT * FROM (VALUES (1, 'src3'), (2, 'no such'), (3, 'src1'), (4, 'src12')) AS t(pos, id))
+SELECT row_number() OVER (ORDER BY pos) AS n, id, c.n AS documents, c.n % 2 = 0 AS enabled FROM a JOIN c USING (id)""")
 def selected_catalog_types(spark, d):
-    """Asked types in their order, disabled ones too, unknown ones not."""
+    """Sources as types: asked ones in their order, disabled ones too, unknown ones not."""
     from pyspark.sql import Window
 
-    from spanforge.operators import catalog as C
-
-    asked = ["SEXUAL_ORIENTATION", "no such", "PERSON", "SEXUAL_ORIENTATION"]
-    rows = D.selected_types(C.preset(spark), asked)
+    asked = ["src3", "no such", "src1", "src3", "src12"]
+    catalog = spark.read.parquet(f"{d}/documents.parquet").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("documents")).select("id", "documents", (F.col("documents") % 2 == 0).alias("enabled"), F.lit(1).alias("order"))
+    rows = D.selected_types(catalog, asked)
     place = F.array_position(F.array(*[F.lit(x) for x in asked]), F.col("id"))
-    return rows.select(F.row_number().over(Window.orderBy(place)).cast("long").alias("n"), "id")
+    # At most as many rows as were asked for.
+    return rows.select(F.row_number().over(Window.orderBy(place)).cast("long").alias("n"), "id", "documents", "enabled")
 
 
 @query(f"WITH {spans_sql(['EMAIL', 'IP_ADDRESS', 'BANK_CARD'])} SELECT doc_id, count(*) AS n FROM spans WHERE type = 'EMAIL' OR length(span_text) >= 12 GROUP BY doc_id")

@@ -181,10 +181,15 @@ def page_relative_spans(spark, d):
     return own.select("conv_id", F.size("pages").cast("long").alias("pages"), (F.get("spans", F.lit(0))["end"] - F.get("spans", F.lit(0))["start"]).cast("long").alias("second_end"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{k}')" for k, names in V.ALIASES.items() for a in names) + ", ('other', 'OTHER')) AS t(alias, id)")
+_NAMES = [(a, k) for k, names in V.ALIASES.items() for a in names] + [("other", "OTHER")]
+
+
+@query(f"WITH a AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{a}', '{k}')" for i, (a, k) in enumerate(_NAMES))}) AS t(i, alias, id)) SELECT doc_id, alias, id FROM documents JOIN a ON i = n_chars % {len(_NAMES)}")
 def type_mapping(spark, d):
-    rows = spark.createDataFrame([(a,) for names in V.ALIASES.values() for a in names] + [("other",)], "alias string")
-    return rows.select("alias", D.type_id(F.col("alias")).alias("id"))
+    """A name of a type for each document, by its length."""
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    named = F.element_at(F.array(*[F.lit(a) for a, _ in _NAMES]), (F.col("n_chars") % len(_NAMES) + 1).cast("int"))
+    return rows.select("doc_id", named.alias("alias")).withColumn("id", D.type_id(F.col("alias")))
 
 
 @query("SELECT type || n AS tag, type, n AS index FROM (SELECT doc_id AS n, 'T' AS type FROM documents) WHERE false")
@@ -314,18 +319,23 @@ def orphans(spark, d):
 ORACLE_SQL["orphans"] = "SELECT d.doc_id FROM documents d WHERE d.n_chars > 1000 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT ((SELECT count(*) FROM documents) > 5 AND (SELECT count(*) FROM labels) < (SELECT count(*) FROM documents) // 2)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{r['id']}', '{r['category']}', {r['risk_level']}::BIGINT, {r['order']}::BIGINT, '{r['tag_template']}')" for r in V.catalog() if r["enabled"]) + ") AS t(id, category, risk_level, position, tag_template)")
+@query(f"WITH {spans_sql(TYPES)}, c AS (SELECT * FROM (VALUES " + ", ".join(f"('{r['id']}', '{r['category']}', {r['risk_level']}::BIGINT, {r['order']}::BIGINT, '{r['tag_template']}')" for r in V.catalog() if r["enabled"]) + ") AS t(id, category, risk_level, position, tag_template)) SELECT doc_id, id, category, risk_level, position, tag_template, count(*) AS n FROM spans JOIN c ON c.id = spans.type GROUP BY ALL")
 def enabled_catalog(spark, d):
-    rows = C.listed(C.preset(spark), enabled_only=True)
-    return rows.select("id", "category", F.col("risk_level").cast("long").alias("risk_level"), F.col("order").cast("long").alias("position"), "tag_template")
+    """What the catalog says of the types that each document has."""
+    rows = C.listed(C.preset(spark), enabled_only=True).select("id", "category", F.col("risk_level").cast("long").alias("risk_level"), F.col("order").cast("long").alias("position"), "tag_template")
+    counts = D.entity_summary(found(spark, d), "doc_id").withColumnRenamed("type", "id")
+    return counts.join(rows, "id")
 
 
-@query("SELECT * FROM (VALUES ('PERSON', false, 1::BIGINT), ('CUSTOM_X', true, 200::BIGINT), ('EMAIL', true, 7::BIGINT)) AS t(id, enabled, position)")
+@query("""WITH e AS (SELECT source AS id, count(*) AS n FROM documents WHERE lang = 'en' GROUP BY source), o AS (SELECT source AS id, count(*) AS n FROM documents WHERE lang <> 'en' AND n_chars > 3000 GROUP BY source)
+SELECT id, n % 2 = 0 AS enabled, n AS position FROM o UNION ALL SELECT id, CASE WHEN id = 'src1' THEN false ELSE true END, n FROM e WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT 'CUSTOM_X', true, 200""")
 def catalog_merge(spark, d):
-    base = C.preset(spark).where("id in ('PERSON', 'EMAIL')")
-    stored = C.updated(base.where("id = 'PERSON'"), "PERSON", {"enabled": False})
-    made = C.created(base.limit(0), {"id": "CUSTOM_X"})
-    return C.merged(base, stored.unionByName(made)).select("id", "enabled", F.col("order").cast("long").alias("position"))
+    """Sources as types: those of English texts are the preset, those of long other ones are stored, one is changed, one new."""
+    rows = spark.read.parquet(f"{d}/documents.parquet")
+    kind = lambda df, enabled: df.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n")).select("id", F.col("id").alias("name"), F.lit("c").alias("category"), F.lit(1).alias("risk_level"), F.col("n").cast("int").alias("order"), enabled.alias("enabled"), F.lit(True).alias("use_llm"), F.lit(None).cast("string").alias("regex_pattern"), F.lit("t").alias("tag_template"))
+    base = C.updated(kind(rows.where("lang = 'en'"), F.lit(True)), "src1", {"enabled": False})
+    stored = C.created(kind(rows.where("lang <> 'en' AND n_chars > 3000"), F.col("n") % 2 == 0), {"id": "CUSTOM_X"})
+    return C.merged(base, stored).select("id", "enabled", F.col("order").cast("long").alias("position"))
 
 
 #: The queries above over all built-in rules.  Boundaries and classes are Unicode here and ASCII in DuckDB, so these have no SQL.
