@@ -10,7 +10,8 @@ Training uses at most ``PER_LANG`` texts a language (``per_lang``), picked by a
 driver: a fixed number of bytes per text.  Every text is scored whole, with the same model for all.
 
 Null texts and texts without letters give ``und`` and score 0; so does every text if there is nothing to learn from.  Languages
-that are null are not learned from; with a single language there is nothing to tell apart and every text with letters is of it; rows with equal or null ids keep their own predictions; other columns are not read.
+that are null are not learned from; with a single language there is nothing to tell apart and every text with letters is of it;
+every language has a landmark, however many there are; rows with equal or null ids keep their own predictions; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def fit(flags: np.ndarray, langs: list[str], *, landmarks: int = LANDMARKS, ridg
     turn = np.zeros(len(label), np.int64)
     for k in range(len(names)):
         turn[label == k] = np.arange((label == k).sum())
-    chosen = np.lexsort((label, turn))[:landmarks]  # a text of each language in turn
+    chosen = np.lexsort((label, turn))[: max(landmarks, len(names))]  # a text of each language in turn, of each one at least
     marks = unit[chosen]
     value, vector = np.linalg.eigh(marks @ marks.T)
     good = value > 1e-6 * value.max()
@@ -158,7 +159,7 @@ def predict(df: DataFrame, model: Model | None, *, keep: list[str], lang_col: st
     sent = df.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     # A text that is kept is sent once.
-    rows = df.select(*keep) if "text" in keep else df.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = df.select(*keep) if "text" in keep else df.select(*keep, F.col("text").cast("string").alias(store.free_name(df, "_text")))
     return rows.mapInArrow(lean(_predict(sent, keep.index("text") if "text" in keep else len(keep), [*keep, lang_col, score_col])), schema)
 
 

@@ -5,7 +5,7 @@ the index is a Parquet table that Spark commits, and each attempt of a task writ
 names whole files.  ``read`` takes any selection of index rows, sorts it by file and offset, joins ranges that lie less than
 ``GAP`` apart to one read of at most ``READ_BYTES`` (or one longer record) and parses the records.
 
-Of records with equal payloads (SHA-1 and length) of at least ``min_bytes``, those with the largest ``page_id`` are responses
+Of records with equal payloads (by their SHA-1) of at least ``min_bytes``, those with the largest ``page_id`` are responses
 and the others revisits without payload.  Only (digest, largest id) pairs are aggregated, and the join that brings them to the
 pages can be split where one payload is frequent.
 

@@ -744,3 +744,12 @@ def test_query_rows_of_one_id_get_a_list_each(spark):
         near = sorted((-np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v), k) for k, v in rows if k != own)[:5]
         want.update((own, rank, k) for rank, (_, k) in enumerate(near, 1))
     assert got == want
+
+
+def test_every_language_has_a_landmark(spark):
+    letters = [chr(0x4E00 + k) for k in range(130)]
+    flags = np.concatenate([f for f, _ in langid.batches_of(pa.array([f"{c}{c} {c}a" for c in letters for _ in range(2)]))]).astype(np.float32)
+    model = langid.fit(flags, [f"l{k:03d}" for k in range(130) for _ in range(2)])
+    assert len(model.landmarks) == 130 and (model.margins(flags).argmax(1) == np.repeat(np.arange(130), 2)).mean() > 0.95
+    rows = langid.predict(spark.createDataFrame([("mine", f"{letters[7]}{letters[7]}")], "_text string, text string"), model, keep=["_text"]).collect()
+    assert (rows[0]["_text"], rows[0].lang_pred) == ("mine", "l007")
