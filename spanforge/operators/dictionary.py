@@ -38,6 +38,8 @@ STEP_BYTES, PIECE = 4 << 20, 256
 DENSE = 1 << 14
 #: Bits of the bitmaps, the lengths that are classes of their own, and bytes of the first look.
 MAP_BITS, EXACT, LOOK = 27, 64, 4
+#: What spans of terms say of themselves.
+CONFIDENCE, SOURCE = 0.95, "has"
 ALL, APART, LONGEST = "all", "apart", "longest"
 HIT = "array<struct<start:int,end:int,text:string,type:string,pos:long,value:string,number:int>>"
 
@@ -183,9 +185,10 @@ class Entries:
         return Automaton(coded.dictionary), first, np.diff(buffers(coded.dictionary)[1]), rank
 
 
-def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, mode: str) -> DataFrame:
+def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, mode: str, as_spans: bool) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(Entries(rows))
-    place, names = df.columns.index(text_col), [*df.columns, out_col]
+    place, names, kind = df.columns.index(text_col), [*df.columns, out_col], T._parse_datatype_string(SPANS if as_spans else HIT)
+    fields = kind.elementType.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, (automaton, first, sizes, rank) = sent.value.table, sent.value.built
@@ -213,12 +216,15 @@ def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, mode: s
                 number = number - np.searchsorted(there, text * len(table))
                 lead = np.append(0, np.cumsum((part & 0xC0) != 0x80))
                 points = lambda x: pa.array((lead[x] - lead[at[text]]).astype(np.int32))  # noqa: B023, E731
-                own = table.take(pa.array(entry))
-                values = [points(start), points(end), *(own.column(c).combine_chunks() for c in ("text", "type", "pos", "value")), pa.array(number.astype(np.int32))]
-                out = grouped(values, ["start", "end", "text", "type", "pos", "value", "number"], text, b - a)
+                own, n = table.take(pa.array(entry)), len(entry)
+                made = {"start": points(start), "end": points(end), "number": pa.array(number.astype(np.int32))} | {c: own.column(c).combine_chunks() for c in ("text", "type", "pos", "value")}
+                if as_spans:
+                    named = pa.array([f"coref_{k}" for k in range(int(number.max(initial=-1)) + 1)], pa.string())
+                    made |= {"confidence": pa.array(np.full(n, CONFIDENCE)), "source": pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([SOURCE])).cast(pa.string()), "priority": pa.array(np.zeros(n, np.int32)), "coref_id": named.take(made["number"])}
+                out = grouped([made[f] for f in fields], fields, text, b - a)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, out], names)
 
-    return df.mapInArrow(run, T.StructType.fromJson(df.schema.jsonValue()).add(out_col, T._parse_datatype_string(HIT)))
+    return df.mapInArrow(run, T.StructType.fromJson(df.schema.jsonValue()).add(out_col, kind))
 
 
 _CHANCE = np.random.default_rng(1)
@@ -337,6 +343,19 @@ def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_c
     return df.join(named, df[id_col] == named["_id"], "left").withColumn(out_col, F.coalesce("_hits", F.array().cast(HIT))).drop("_id", "_hits")
 
 
+def _found(df: DataFrame, terms: DataFrame, columns: dict, id_col: str, text_col: str, out_col: str, mode: str, most: int, as_spans: bool = False) -> DataFrame:
+    # Read several times: once for the size, and by each step of a join.
+    entries = shared.written(_entries(terms, **columns), shared.fresh_path(df.sparkSession, "terms"))
+    size = entries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size <= most:
+        # At most ``most`` bytes of terms, sorted here.
+        rows = entries.select("text", "type", "pos", "value").toArrow()
+        return _scanned(df, rows.sort_by([("text", "ascending"), ("pos", "ascending"), ("type", "ascending")]), text_col, out_col, mode, as_spans)
+    found = _joined(df, entries, id_col, text_col, out_col, mode)
+    span = lambda h: F.struct(h["text"].alias("text"), h["type"].alias("type"), h["start"].alias("start"), h["end"].alias("end"), F.lit(CONFIDENCE).alias("confidence"), F.lit(SOURCE).alias("source"), F.lit(0).alias("priority"), F.concat(F.lit("coref_"), h["number"].cast("string")).alias("coref_id"))
+    return found.withColumn(out_col, F.transform(out_col, span).cast(SPANS)) if as_spans else found
+
+
 def taken(found: Column) -> Column:
     """Of an array of ``HIT``: those that a walk from the left takes, the longest at each place."""
     # As spans of their lengths' priorities; the place in the array rides in the type.
@@ -348,24 +367,15 @@ def hits(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type"
     """Adds the occurrences of the terms as (start, end, text, type, pos, value, number), by start, end, then position.
     ``APART`` gives those of one (type, term) that a search from the left gives, and its number among those of the text, from 0;
     ``LONGEST`` those that a walk over the text takes, the longest term at each place.  ``id_col`` tells rows apart where it is a join."""
-    # Read several times: once for the size, and by each step of a join.
-    entries = shared.written(_entries(terms, type_col, term_col, pos_col, value_col), shared.fresh_path(df.sparkSession, "terms"))
-    size = entries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size > most:
-        return _joined(df, entries, id_col, text_col, out_col, mode)
-    # At most ``most`` bytes of terms, sorted here.
-    rows = entries.select("text", "type", "pos", "value").toArrow()
-    rows = rows.sort_by([("text", "ascending"), ("pos", "ascending"), ("type", "ascending")])
-    return _scanned(df, rows, text_col, out_col, mode)
+    columns = {"type_col": type_col, "term_col": term_col, "pos_col": pos_col, "value_col": value_col}
+    return _found(df, terms, columns, id_col, text_col, out_col, mode, most)
 
 
 def find_dictionary(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: str = "type", term_col: str = "term", pos_col: str | None = None, text_col: str = "text", out_col: str = "spans", most: int = AUTOMATON_BYTES) -> DataFrame:
     """As ``detect.find_terms`` for a table of terms: spans by start; a (type, term) that occurs numbers ``coref_{n}`` from 0 in the
     order of ``pos_col``, or of types and terms."""
-    found = hits(df, terms, id_col=id_col, type_col=type_col, term_col=term_col, pos_col=pos_col, text_col=text_col, out_col="_found", mode=APART, most=most)
-
-    span = lambda h: F.struct(h["text"].alias("text"), h["type"].alias("type"), h["start"].alias("start"), h["end"].alias("end"), F.lit(0.95).alias("confidence"), F.lit("has").alias("source"), F.lit(0).alias("priority"), F.concat(F.lit("coref_"), h["number"].cast("string")).alias("coref_id"))
-    return found.withColumn(out_col, F.transform("_found", span).cast(SPANS)).drop("_found")
+    columns = {"type_col": type_col, "term_col": term_col, "pos_col": pos_col, "value_col": None}
+    return _found(df, terms, columns, id_col, text_col, out_col, APART, most, as_spans=True)
 
 
 def replace_dictionary(df: DataFrame, mapping: DataFrame, *, id_col: str, term_col: str = "term", value_col: str = "value", text_col: str = "text", out_col: str = "redacted_text", count_col: str = "redacted_count", most: int = AUTOMATON_BYTES) -> DataFrame:
