@@ -58,9 +58,7 @@ def events(spark, d):
 
 @query(f"WITH {spans_sql(TYPES)}, c AS (SELECT doc_id, count(*) AS total, count(*) FILTER (type = 'EMAIL') AS n_email FROM spans GROUP BY doc_id) SELECT d.doc_id, coalesce(total, 0)::BIGINT AS total, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(total, 0)::BIGINT AS n_high, CASE WHEN total > 0 THEN (d.doc_id % 4) / total * 100.0 ELSE 0.0 END::DOUBLE AS coverage FROM documents d LEFT JOIN c USING (doc_id)")
 def quality_report(spark, d):
-    spans = found(spark, d).select("doc_id", F.inline("spans"))
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", (F.col("doc_id") % 4).alias("redacted_count"))
-    report = R.quality_report(spans, docs, doc="doc_id")
+    report = R.quality_of_rows(found(spark, d).withColumn("redacted_count", F.col("doc_id") % 4))
     count = lambda c, k: F.coalesce(F.element_at(c, k), F.lit(0)).cast("long")
     return report.select("doc_id", "total", count("by_type", "EMAIL").alias("n_email"), count("by_confidence", "high").alias("n_high"), "coverage")
 

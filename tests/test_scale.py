@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators import detect as D
 from spanforge.operators import dictionary as L
-from spanforge.operators import catalog, fuzzy, paging, runs, spatial
+from spanforge.operators import catalog, fuzzy, paging, reports, runs, spatial
 from spanforge.plans import checks_scale
 from spanforge.sources import archive, docx
 from spanforge.streaming import live
@@ -280,3 +280,16 @@ def test_names_in_natural_order(spark):
     order = [r.name for r in catalog.recognition_order(spark.createDataFrame([(k, n, None) for k, n in enumerate(names) if n], "id int, name string, regex_pattern string")).collect()]
     at = order.index
     assert at("a 002") < at("a 10") and at("b 9") < at("B 9a") < at("b 10") and at("x 99999999999999999999") < at("x 100000000000000000000") and at("a2") < at("b 9") < at("e 2") and at("甲") < at("乙")
+
+
+def test_reports_of_rows_and_of_tables(spark):
+    rnd = random.Random(13)
+    rows = [(k, k % 5, [(rnd.choice("AB"), rnd.choice("xy"), rnd.choice([0.9, 0.6, 0.1]), rnd.choice([True, False, None])) for _ in range(rnd.randint(0, 6))]) for k in range(40)]
+    df = spark.createDataFrame(rows + [(99, 1, None)], "doc int, redacted_count int, spans array<struct<type:string,source:string,confidence:double,selected:boolean>>")
+    columns = ["doc", "total", "selected_total", "coverage", "coverage_rate"]
+    own = {r.doc: r for r in reports.quality_of_rows(df).collect()}
+    apart = {r.doc: r for r in reports.quality_report(df.select("doc", F.inline("spans")), df.select("doc", "redacted_count"), doc="doc").collect()}
+    assert own.keys() == apart.keys()
+    for k, r in own.items():
+        assert [r[c] for c in columns] == [apart[k][c] for c in columns]
+        assert all(r[c] == (apart[k][c] or {}) for c in ("by_type", "by_source", "by_confidence"))
