@@ -42,6 +42,8 @@ BLOCK_BYTES, STEP_BYTES, SORT_BYTES = 8 << 20, 2 << 20, 2 << 20
 #: Stretches of one anchor that are sorted in one task: about ``SORT_BYTES`` of them.
 HOT = SORT_BYTES >> 9
 COUNT_BITS, CHECK_BITS = 14, 27
+#: Bits of a hash that give way to the place, the same for every text, and windows of a long text that are looked at together.
+PLACE_BITS, PIECE = 24, 1 << 23
 #: A stretch is packed as start, place of its anchor in it, length.
 SHORT = 9
 
@@ -60,17 +62,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             count += 1
 
 
+def _pieces(body: np.ndarray, offsets: np.ndarray, length: int):
+    """(where it begins, bytes, offsets in it) of steps of texts; a long text comes in pieces that have all its windows."""
+    for a, b in W.steps(offsets, STEP_BYTES):
+        base, end = int(offsets[a]), int(offsets[b])
+        if end - base < length:
+            continue
+        if b - a > 1 or end - base <= PIECE:
+            yield base, body[base:end], offsets[a : b + 1] - base
+            continue
+        for k in range(base, end - length + 1, PIECE):
+            stop = min(k + PIECE + length - 1, end)
+            yield k, body[k:stop], np.array([0, stop - k])
+
+
 def stretches(body: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the anchor, packed place) of each run of windows with one anchor."""
     hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for a, b in W.steps(offsets, STEP_BYTES):
-        base = int(offsets[a])
-        text, at = body[base : offsets[b]], offsets[a : b + 1] - base
-        if len(text) < length:
-            continue
+    for base, text, at in _pieces(body, offsets, length):
         code = qgrams(text, gram)
         # Least hash of each window; the low bits are the place, so equal hashes give the first.
-        low = np.uint64((1 << max(24, len(code).bit_length())) - 1)
+        low = np.uint64((1 << PLACE_BITS) - 1)
         least = (code & ~low) | np.arange(len(code), dtype=np.uint64)
         span, wide = length - gram + 1, 1
         while wide * 2 <= span:

@@ -753,3 +753,27 @@ def test_every_language_has_a_landmark(spark):
     assert len(model.landmarks) == 130 and (model.margins(flags).argmax(1) == np.repeat(np.arange(130), 2)).mean() > 0.95
     rows = langid.predict(spark.createDataFrame([("mine", f"{letters[7]}{letters[7]}")], "_text string, text string"), model, keep=["_text"]).collect()
     assert (rows[0]["_text"], rows[0].lang_pred) == ("mine", "l007")
+
+
+def test_stretches_of_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    shared = rng.integers(97, 100, 700).astype(np.uint8)
+    body = np.concatenate([rng.integers(97, 100, 5000).astype(np.uint8), shared, rng.integers(97, 100, 3100).astype(np.uint8), shared])
+    offsets = np.array([0, len(body)])
+
+    def windows():
+        """For each window the hash of its anchor, and where that is."""
+        found = {}
+        for code, place in zip(*substrings.stretches(body, offsets)):
+            start, anchor, size = place >> 18, place >> 9 & 511, place & 511
+            for k in range(start, start + size - substrings.LENGTH + 1):
+                assert k not in found
+                found[k] = (code, start + anchor - k)
+        return found
+
+    whole = windows()
+    monkeypatch.setattr(substrings, "PIECE", 1000)
+    # Whatever the pieces, each window is there once; equal windows have equal anchors at equal places.
+    parts = windows()
+    assert whole == parts and sorted(whole) == list(range(len(body) - substrings.LENGTH + 1))
+    assert all(whole[5000 + k] == whole[8800 + k] for k in range(501))
