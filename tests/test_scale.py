@@ -159,9 +159,11 @@ def crowd(spark):
     return rows, spark.createDataFrame(rows + odd, "id int, page int, x double, y double, width double, height double")
 
 
+@pytest.mark.parametrize("few", [32, 10_000])
 @pytest.mark.parametrize("least", [0.0, 0.05, 0.5])
-def test_meeting_boxes(crowd, least):
+def test_meeting_boxes(crowd, least, few, monkeypatch):
     rows, df = crowd
+    monkeypatch.setattr(spatial, "FEW", few)
     got = sorted((r.a.id, r.b.id) for r in spatial.meeting(df, df, page=["page"], least=least).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and _iou(a[2:], b[2:]) > least)
     far = df.where("id % 3 = 0")
