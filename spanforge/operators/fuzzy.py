@@ -3,7 +3,8 @@
 Two texts whose ratio of matching characters is over t share more than t/2 of all their characters, counted with repetitions, and
 the shorter has t/(2-t) of the longer's length at least.  So texts meet by length classes and by the rarest of their counted
 characters (a character and the how-manyth it is): a text of n characters names n - n t/(2-t) + 1 of them, and any two texts that
-are alike name one in common.  The shared characters are then counted, and only pairs that still can be over t are aligned.
+are alike name one in common.  The shared characters are then counted, the longest common subsequence bounds what can match in order, and only pairs that still
+can be over t are aligned.
 """
 
 from __future__ import annotations
@@ -28,6 +29,18 @@ def named(text: str, least: float) -> list[str]:
     return [f"{c}{-k}" for k, c in counted[: n - math.ceil(n * least / (2 - least) - 1e-9) + 1]]
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, whose places in ``a`` are bits of one number: no alignment matches more."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = free = (1 << len(a)) - 1
+    for c in b:
+        met = free & places.get(c, 0)
+        free = (free + met | free - met) & whole
+    return len(a) - free.bit_count()
+
+
 def _names(least: float):
     @F.pandas_udf("array<string>")
     def of(texts: pd.Series) -> pd.Series:
@@ -37,14 +50,17 @@ def _names(least: float):
 
 
 def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Ratio of matching blocks of characters; null where counting shows that it is not over ``least``."""
+    """Ratio of matching blocks of characters; null where a bound shows that it is not over ``least``: the lengths, the counted
+    characters, the longest common subsequence."""
 
     @F.pandas_udf("double")
     def of(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y):
-            m = difflib.SequenceMatcher(None, p or "", q or "")
-            out.append(m.ratio() if least <= 0 or (m.real_quick_ratio() > least and m.quick_ratio() > least) else None)
+            p, q = p or "", q or ""
+            m = difflib.SequenceMatcher(None, p, q)
+            may = least <= 0 or (m.real_quick_ratio() > least and m.quick_ratio() > least and 2 * common(p, q) > least * (len(p) + len(q)))
+            out.append(m.ratio() if may else None)
         return pd.Series(out, dtype="float64")
 
     return of(a, b)
@@ -78,10 +94,14 @@ def match_entities(entities: DataFrame, blocks: DataFrame, *, page: list[str], l
     """For each entity (entity_id, text) the first block (pos, text, left, top, width, height) of its page that contains its text
     (``text_match``, confidence 1) or is almost it (``fuzzy_match``, 0.9).  A contained text gets its part of the block's width,
     unless the block is long, a list or much wider than it; entities without a match have no row."""
-    inside = entities.where(F.length("text") > 0).join(blocks.select(*page, "pos", F.col("text").alias("_block")), page).where(F.contains("_block", F.col("text")))
-    found = inside.select(*page, "entity_id", "pos", F.lit(1.0).alias("ratio"), F.lit("text_match").alias("source"))
-    almost = alike(entities, blocks, page=page, least=least).withColumn("source", F.lit("fuzzy_match"))
-    best = found.unionByName(almost).groupBy(*page, "entity_id").agg(F.min(F.struct("pos", F.when(F.col("source") == "text_match", 0).otherwise(1).alias("kind"), "source")).alias("_m"))
+    # Texts that are there several times on a page are compared once, blocks by their first place.
+    asked = entities.where(F.length("text") > 0).select(*page, "text").distinct()
+    there = blocks.groupBy(*page, "text").agg(F.min("pos").alias("pos"))
+    inside = asked.join(there.select(*page, "pos", F.col("text").alias("_block")), page).where(F.contains("_block", F.col("text")))
+    found = inside.select(*page, "text", "pos", F.lit("text_match").alias("source"))
+    almost = alike(asked.withColumn("entity_id", F.col("text")), there, page=page, least=least).select(*page, F.col("entity_id").alias("text"), "pos", F.lit("fuzzy_match").alias("source"))
+    of_text = found.unionByName(almost).groupBy(*page, "text").agg(F.min(F.struct("pos", F.when(F.col("source") == "text_match", 0).otherwise(1).alias("kind"), "source")).alias("_m"))
+    best = entities.select(*page, "entity_id", "text").join(of_text, [*page, "text"]).select(*page, "entity_id", "_m")
     rows = best.select(*page, "entity_id", F.col("_m.pos").alias("pos"), F.col("_m.source").alias("source")).join(entities.select(*page, "entity_id", "text"), [*page, "entity_id"])
     rows = rows.join(blocks.select(*page, "pos", F.col("text").alias("_block"), "left", "top", "width", "height"), [*page, "pos"])
     start, size, n = F.instr("_block", F.col("text")) - 1, F.length("text"), F.length("_block")

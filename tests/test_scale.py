@@ -2,6 +2,7 @@
 
 import collections
 import difflib
+import itertools
 import random
 import zipfile
 
@@ -195,6 +196,17 @@ def test_named_characters_meet():
             assert set(fuzzy.named(a, 0.85)) & set(fuzzy.named(b, 0.85)), (a, b)
 
 
+def test_common_subsequences():
+    rnd = random.Random(14)
+    for _ in range(500):
+        a, b = ("".join(rnd.choice("abc日") for _ in range(rnd.randint(0, 20))) for _ in range(2))
+        row = [0] * (len(a) + 1)
+        for c in b:
+            row = [0, *itertools.accumulate(range(len(a)), lambda left, k: max(left, row[k + 1], row[k] + (a[k] == c)), initial=0)][1:]  # noqa: B023
+        assert fuzzy.common(a, b) == row[-1]
+        assert difflib.SequenceMatcher(None, a, b).ratio() * (len(a) + len(b)) <= 2 * fuzzy.common(a, b) + 1e-9 or not a + b
+
+
 def test_fuzzy_matches_are_the_plain_ones(spark):
     entities, blocks = checks_scale.misread(spark, "/root/testdata/sf0.001")
     pages = collections.defaultdict(list)
