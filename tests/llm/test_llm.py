@@ -495,7 +495,7 @@ def test_queries_with_sql(spark):
     from spanforge.llm import queries
 
     con = duckdb.connect()
-    for t in ("embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         cursor = con.execute(sql)
