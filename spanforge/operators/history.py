@@ -22,7 +22,8 @@ def group_and_sort(files: DataFrame, *, id_col: str = "file_id", group_col: str
     key = F.when(_named(F.col(group_col)), F.col(group_col).cast("string")).otherwise(F.concat(F.lit("single:"), F.col(id_col).cast("string")))
     rows = files.withColumns({"group_key": key, "_t": F.coalesce(F.col(time_col), F.lit(""))})
     groups = rows.groupBy("group_key").agg(F.max("_t").alias("_newest"), F.min(pos_col).alias("_first"))
-    return rows.join(groups, "group_key")
+    # Dealt on its own, as only a join of two shuffles can be split where a group is large.
+    return rows.join(groups.repartition("group_key"), "group_key")
 
 
 def ordered(grouped: DataFrame, *, pos_col: str = "pos") -> DataFrame:
