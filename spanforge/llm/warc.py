@@ -27,8 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import store
+from spanforge.llm.memory import lean
 
 GAP, READ_BYTES = 64 << 10, 8 << 20
+#: Rows of a batch that are Python objects at once.
+STEP = 256
 LEVEL = 3
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,7 +83,7 @@ def _writer(folder: str):
         try:
             for batch in batches:
                 rows: list[tuple] = []
-                for page_id, url, html, keep in zip(*(c.to_pylist() for c in batch.columns)):
+                for page_id, url, html, keep in (row for k in range(0, batch.num_rows, STEP) for row in zip(*(c.to_pylist() for c in batch.slice(k, STEP).columns))):
                     if stream is None:
                         system.create_dir(path, recursive=True)
                         stream = system.open_output_stream(f"{path}/{name}", compression=None)
@@ -106,9 +109,11 @@ def write(pages: DataFrame, folder: str, *, min_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     sizes = F.octet_length("html")
     many = rows.where(sizes >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = rows.join(many, "digest", "left").select("page_id", "url", "html", F.when(sizes >= min_bytes, F.col("keep")).alias("keep"))
+    # The digests are few and short, so the pages stream past a table of them instead of being sorted with their contents.
+    marked = rows.join(many.hint("shuffle_hash"), "digest", "left").select("page_id", "url", "html", F.when(sizes >= min_bytes, F.col("keep")).alias("keep"))
     index = f"{folder}/index"
-    marked.mapInArrow(_writer(f"{folder}/archive"), INDEX).write.option("compression", "zstd").parquet(index)
+    # Snappy: a zstd stream takes a megabyte outside the heap for each column of each file, whatever few rows it has.
+    marked.mapInArrow(lean(_writer(f"{folder}/archive")), INDEX).write.option("compression", "snappy").parquet(index)
     return pages.sparkSession.read.schema(INDEX).parquet(index)
 
 
@@ -130,6 +135,9 @@ KINDS = {"page_id": "long", "url": "string", "payload_bytes": "long", "payload_d
 def _reader(folder: str, outputs: list[str]):
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
+    def given(found: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, arrow[KINDS[k]]) for k, c in zip(outputs, zip(*found))], outputs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = store.filesystem(folder)
         name, source = None, None
@@ -145,8 +153,17 @@ def _reader(folder: str, outputs: list[str]):
                 for start, stop, group in ranges(list(zip(offsets[k:end], lengths[k:end]))):
                     source.seek(start)
                     data = source.read(stop - start)
-                    found = [parse(zlib.decompress(data[o - start : o - start + n], 31)) for o, n in group]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], arrow[KINDS[c]]) for c in outputs], outputs)
+                    # Records may unpack to many times what was read: only what is asked for is kept, up to READ_BYTES of it.
+                    found, size = [], 0
+                    for o, n in group:
+                        one = parse(zlib.decompress(data[o - start : o - start + n], 31))
+                        found.append([one[c] for c in outputs])
+                        size += len(one["payload"] or b"") if "payload" in outputs else 0
+                        if size >= READ_BYTES:
+                            yield given(found)
+                            found, size = [], 0
+                    if found:
+                        yield given(found)
                 k = end
 
     return run
@@ -158,7 +175,7 @@ def read(selected: DataFrame, folder: str, outputs: list[str]) -> DataFrame:
     The rows are few bytes but stand for much to read, so they are dealt to as many tasks as there are archives."""
     files = max(1, selected.select("file").distinct().count())
     placed = selected.select("file", "offset", "length").repartition(files, "file").sortWithinPartitions("file", "offset")
-    return placed.mapInArrow(_reader(f"{folder}/archive", outputs), ", ".join(f"{c} {KINDS[c]}" for c in outputs))
+    return placed.mapInArrow(lean(_reader(f"{folder}/archive", outputs)), ", ".join(f"{c} {KINDS[c]}" for c in outputs))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -777,3 +777,20 @@ def test_stretches_of_long_texts_in_pieces(monkeypatch):
     parts = windows()
     assert whole == parts and sorted(whole) == list(range(len(body) - substrings.LENGTH + 1))
     assert all(whole[5000 + k] == whole[8800 + k] for k in range(501))
+
+
+def test_records_that_unpack_to_much_take_little_memory(tmp_path):
+    """A read of a few kilobytes stands for 160 MB of payloads, which are not all held, whether they are asked for or not."""
+    import tracemalloc
+
+    data = [zlib.compress(warc.record(k, None, b" " * (4 << 20), None), 9, 31) for k in range(40)]
+    (tmp_path / "a").write_bytes(b"".join(data))
+    lengths = [len(d) for d in data]
+    offsets = [sum(lengths[:k]) for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 40), pa.array(offsets), pa.array(lengths)], ["file", "offset", "length"])
+    for outputs in (["page_id", "payload_bytes"], ["page_id", "payload"]):
+        tracemalloc.start()
+        made = [b.column(0).to_pylist() for b in warc._reader(f"file://{tmp_path}", outputs)(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(made, []) == list(range(40)) and peak < 60 << 20
