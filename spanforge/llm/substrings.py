@@ -8,8 +8,9 @@ those of their anchor's hash only, and neighbouring windows of one anchor travel
 2. The stretches of the rest, each distinct one of a block once, are shuffled by hash.  A hash with one distinct stretch that
    is there twice is repeated as a whole; otherwise the windows of its stretches are sorted as suffixes (``Suffixes``).
 3. A hash of more than ``HOT`` stretches is not one task's: its stretches are spread by their own bytes.  Those that are there
-   twice are repeated as a whole, and one of each gives a 128-bit digest for each window; digests are counted before they are
-   shuffled, and a window whose digest is there twice is repeated.
+   twice are repeated as a whole, and one of each gives a 128-bit digest for each window; a window whose digest is there twice is
+   repeated.  A task names a digest once, with all its windows, so neither counting nor joining back moves a row a window, and
+   what is repeated goes to a block as one row for many windows.
 4. What is repeated goes back to the blocks, which cut their texts.
 
 Texts travel in compressed blocks (``BLOCK_BYTES`` or one longer text); no task holds more than one, and copies of a passage
@@ -201,12 +202,16 @@ def _cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
         own.append(index.astype(np.int64) + count)
         count += len(first)
     where = np.stack([place >> 2 * SHORT, np.concatenate(own)]).astype(np.uint32)
-    told = pa.table([pa.array([key]), pa.array([len(code).to_bytes(8, "little") + pa.compress(where.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([key]), pa.array([-1]), pa.array([False]), pa.array([False])], names)
+    told = pa.table([pa.array([key]), pa.array([len(code).to_bytes(8, "little") + pa.compress(where.tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([key]), pa.array([WHERE]), pa.array([False]), pa.array([False])], names)
     return pa.concat_tables([*parts, told])
 
 
 #: ``key`` is the digest of one window of a hot hash, which is an answer if it is there twice; without ``spans`` it only counts.
 ANSWERS = "block long, own long, spans binary, key binary"
+#: Values of ``own`` for rows that are no stretch's: where a block's stretches are, and windows of many of its stretches.
+WHERE, WINDOWS = -1, -2
+#: Windows of which a task gathers those with one digest, and windows in one row at most.
+GATHERED, IN_ROW = 1 << 17, 1 << 12
 
 
 def judge(code: np.ndarray, body: pa.Array, anchor: np.ndarray, many: np.ndarray, length: int = LENGTH) -> list[bytes]:
@@ -340,6 +345,55 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _windows([open_run])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers, those with a digest by digest: ``n`` windows have it, ``spans`` lists (block, own and offset) of those to answer."""
+    names = ["block", "own", "spans", "key", "n"]
+
+    def given(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = np.frombuffer(W.buffers(table.column("key").combine_chunks())[0].tobytes(), np.uint64).reshape(-1, 2)
+        order = np.lexsort(key.T)
+        key, asked = key[order], table.column("spans").is_valid().to_numpy()[order]
+        new = np.append(True, (key[1:] != key[:-1]).any(1))
+        # A digest of very many windows is several rows.
+        run = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        edge = np.flatnonzero(new | (run % IN_ROW == 0))
+        offset = np.frombuffer(W.buffers(table.column("spans").combine_chunks().fill_null(bytes(4)))[0].tobytes(), np.uint16)[::2].astype(np.int64)
+        told = np.stack([table.column("block").to_numpy()[order], (table.column("own").to_numpy() << SHORT | offset)[order]], 1)[asked]
+        at = 16 * np.append(0, np.cumsum(asked))[np.append(edge, len(key))]
+        spans = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(told.tobytes())])
+        keys = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(np.arange(len(edge) + 1, dtype=np.int32) * 16), pa.py_buffer(key[edge].tobytes())])
+        nothing = pa.nulls(len(edge), pa.int64())
+        return pa.RecordBatch.from_arrays([nothing, nothing, spans, keys, pa.array(np.diff(np.append(edge, len(key))))], names)
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        counts = batch.column("key").is_valid()
+        plain, windows = batch.filter(pa.array(~counts.to_numpy(zero_copy_only=False))), batch.filter(counts)
+        if plain.num_rows:
+            yield pa.RecordBatch.from_arrays([*plain.columns, pa.nulls(plain.num_rows, pa.int64())], names)
+        if windows.num_rows:
+            held.append(windows)
+            size += windows.num_rows
+        if size >= GATHERED:
+            yield given(held)
+            held, size = [], 0
+    if held:
+        yield given(held)
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that rows of ``_gathered`` list, as a row for each block."""
+    for batch in batches:
+        rows = np.frombuffer(W.buffers(batch.column(0))[0].tobytes(), np.int64).reshape(-1, 2)
+        if len(rows):
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            edge = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            spans = [r[:, 1].tobytes() for r in np.split(rows, edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[edge, 0]), pa.array(np.full(len(edge), WINDOWS)), pa.array(spans, pa.binary())], ["block", "own", "spans"])
+
+
 KINDS = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "binary"}
 
 
@@ -349,16 +403,19 @@ def _finish(outputs: Sequence[str]):
         mark = np.zeros(len(body) + 1, np.int32)
         own = right.column("own").to_numpy()
         spans = right.column("spans").combine_chunks() if right.num_rows else pa.array([], pa.binary())
-        told = np.flatnonzero(own < 0)
+        told = np.flatnonzero(own == WHERE)
         if len(told) and len(own) > 1:
             data = spans[int(told[0])].as_py()
             n = int.from_bytes(data[:8], "little")
             start, name = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint32).reshape(2, n).astype(np.int64)
-            real = np.argsort(own, kind="stable")[len(told) :]
+            real = np.flatnonzero(own >= 0)
             flat, at = W.buffers(spans.take(pa.array(real)))
-            pairs, at = np.frombuffer(flat.tobytes(), np.uint16).reshape(-1, 2).astype(np.int64), at // 4
-            # A hot hash's stretch has a row for each of its windows.
-            count = np.bincount(np.repeat(own[real], np.diff(at)), minlength=int(name.max()) + 2)
+            windows = np.frombuffer(W.buffers(spans.take(pa.array(np.flatnonzero(own == WINDOWS))))[0].tobytes(), np.int64)
+            offset = windows & _MASK
+            pairs = np.concatenate([np.frombuffer(flat.tobytes(), np.uint16).reshape(-1, 2).astype(np.int64), np.stack([offset, offset + LENGTH], 1)])
+            of = np.concatenate([np.repeat(own[real], np.diff(at) // 4), windows >> SHORT])
+            pairs = pairs[np.argsort(of, kind="stable")]
+            count = np.bincount(of, minlength=int(name.max()) + 2)
             first = np.cumsum(count) - count
             n_pairs = count[name]
             entry = np.repeat(first[name], n_pairs) + np.arange(n_pairs.sum()) - np.repeat(np.cumsum(n_pairs) - n_pairs, n_pairs)
@@ -392,10 +449,11 @@ def remove_repeats(df: DataFrame, *, hot: int = HOT, outputs: Sequence[str] = ("
     cut = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_cut_out, STRETCHES)
     route = F.when(F.col("hot"), F.xxhash64("code", "body")).otherwise(F.col("code"))
     placed = cut.withColumn("route", route).repartition("route").sortWithinPartitions("route", "body").drop("route")
-    judged = store.written(placed.mapInArrow(_judge, ANSWERS), "judged")
+    judged = store.written(placed.mapInArrow(lambda batches: _gathered(_judge(batches)), f"{ANSWERS}, n long"), "judged")
     windows = judged.where("key IS NOT NULL")
-    twice = windows.groupBy("key").count().where("count > 1").select("key")
-    found = judged.where("key IS NULL").unionByName(windows.where("spans IS NOT NULL").join(twice, "key", "left_semi")).drop("key")
+    twice = windows.groupBy("key").agg(F.sum("n").alias("count")).where("count > 1").select("key")
+    again = windows.where("octet_length(spans) > 0").join(twice, "key", "left_semi").select("spans").mapInArrow(_by_block, "block long, own long, spans binary")
+    found = judged.where("key IS NULL").select("block", "own", "spans").unionByName(again)
     return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_finish(outputs), ", ".join(["doc_id long", *(f"{c} {KINDS[c]}" for c in outputs)]))
 
 

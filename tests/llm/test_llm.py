@@ -794,3 +794,21 @@ def test_records_that_unpack_to_much_take_little_memory(tmp_path):
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert sum(made, []) == list(range(40)) and peak < 60 << 20
+
+
+def test_windows_of_a_hot_anchor_are_gathered_by_digest(spark):
+    """60 texts share a passage of 300 bytes between own bytes: no row for each of the windows, which come back all."""
+    rnd = random.Random(8)
+    common = rnd.randbytes(300)
+    rows = [(k, rnd.randbytes(4) + bytes([k]) + common + bytes([k]) + rnd.randbytes(4)) for k in range(60)]
+    code = {i: int.from_bytes(hashlib.md5(bytes([i])).digest()[:7], "big") for i in range(3)}
+    made = pa.RecordBatch.from_arrays([pa.array([code[0]] * 60), pa.array([b for _, b in rows], pa.binary()), pa.array([k % 4 for k in range(60)]), pa.array([k << substrings.SHORT for k in range(60)]), pa.array([False] * 60), pa.array([True] * 60)], ["code", "body", "block", "own", "many", "hot"])
+    found = [r for b in substrings._gathered(substrings._judge(iter([made]))) for r in b.to_pylist()]
+    distinct = {b[i : i + 200] for _, b in rows for i in range(len(b) - 199)}
+    assert len(found) == len(distinct) and sum(r["n"] for r in found) == 60 * 111
+    again = pa.RecordBatch.from_arrays([pa.array([r["spans"] for r in found if r["n"] > 1], pa.binary())], ["spans"])
+    told = [r for b in substrings._by_block(iter([again])) for r in b.to_pylist()]
+    assert [r["block"] for r in told] == [0, 1, 2, 3]
+    got = sorted((r["block"], int(x) >> substrings.SHORT, int(x) & (1 << substrings.SHORT) - 1) for r in told for x in np.frombuffer(r["spans"], np.int64))
+    assert got == sorted((k % 4, k, i) for k in range(60) for i in range(5, 106))
+    assert substrings.GATHERED > substrings.IN_ROW > 60
