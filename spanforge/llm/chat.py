@@ -1,9 +1,9 @@
 """Operator 8, chat formatting by prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn becomes an example: all turns before it are context, and only its reply is trainable.  The examples of a
-conversation share its text, so an example is stored as its reply's segment and three offsets into the formatted
-conversation (``context_chars``, ``loss_start``, ``loss_end``; code points).  That keeps the output linear in the turns, where
-copied prefixes would grow with their square; ``with_context`` copies them for callers that want flat texts.
+Every assistant turn becomes an example: all turns before it are its context (the prefix), its own turn is the target, and only the
+reply in it is trainable.  ``read_examples`` expands the formatted conversations to these: an example is a row with its whole
+context, its target and where the loss begins and ends in the two (code points).  All examples of a conversation have as many
+characters as its prefixes together, so they are made a row at a time and not shuffled.  ``expand`` names them by offsets alone.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  In texts and roles a backslash is doubled and every control string of
 ``CONTROL`` gets a backslash after its first character, so no text can end or begin a turn, and ``unescape`` restores it.
@@ -73,24 +73,26 @@ def expand(turns: DataFrame) -> DataFrame:
     return with_examples(turns).where("example IS NOT NULL").select("conv_id", "turn", "place", "segment", "example.*")
 
 
-def with_context(turns: DataFrame) -> DataFrame:
-    """Examples with their whole text (context and reply): as many characters as all prefixes have."""
-    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "segment"))), lambda s: s["segment"]), "").alias("formatted"))
-    found = expand(turns).join(whole, turns["conv_id"].eqNullSafe(whole["conv_id"])).drop(whole["conv_id"])
-    return found.select("conv_id", "turn", F.expr(f"substring(formatted, 1, loss_end + {len(END)})").alias("text"), "loss_start", "loss_end")
-
-
 def read_examples(turns: DataFrame) -> DataFrame:
-    """A row per turn, read from the formatted conversations: its place, what it says, how many characters stand before it, and, if
-    it is the assistant's, the example that has these as its context and this reply as its target (else null)."""
-    listed = with_examples(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "segment", "example"))).alias("listed"))
-    joined = listed.select("conv_id", F.array_join(F.transform("listed", lambda s: s["segment"]), "").alias("formatted"), F.transform("listed", lambda s: s["example"]).alias("examples"))
+    """A row per turn, read from the formatted conversations: its place, what it says (``piece``), how many characters stand before
+    it (``before``), and, if it is the assistant's, its example (else null): ``context`` and ``target`` are texts of their own."""
+    listed = with_examples(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "segment", "example", "turn"))).alias("listed"))
+    each = lambda name: F.transform("listed", lambda s: s[name])
+    joined = listed.select("conv_id", F.array_join(each("segment"), "").alias("formatted"), each("example").alias("examples"), each("turn").alias("turns"))
     pieces = F.split("formatted", _quoted(END[:-1]) + "\n", -1)
-    split = joined.select("conv_id", "examples", F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces"))
+    split = joined.select("*", F.slice(pieces, 1, F.size(pieces) - 1).alias("pieces"))
     chars = lambda p: F.length(p).cast("long") + len(END)
     before = X.scan(F.col("pieces"), F.lit(0).cast("long"), lambda at, p: at + chars(p), lambda at, p: F.array(at), "long")
-    rows = split.select("conv_id", F.posexplode(F.arrays_zip("pieces", "examples", before.alias("before"))).alias("place", "t"))
-    return rows.select("conv_id", "place", F.col("t.pieces").alias("piece"), F.col("t.before").alias("before"), F.col("t.examples").alias("example"))
+    rows = split.select("conv_id", "formatted", F.posexplode(F.arrays_zip("pieces", "examples", "turns", before.alias("before"))).alias("place", "t"))
+    example = F.col("t.examples")
+    upto = lambda start, end: F.substr("formatted", (start + 1).cast("int"), (end - start).cast("int"))
+    prefix, target = upto(F.lit(0), example["context_chars"]), upto(example["context_chars"], example["loss_end"] + len(END))
+    return rows.select("conv_id", "place", F.col("t.turns").alias("turn"), F.col("t.pieces").alias("piece"), F.col("t.before").alias("before"), example.alias("example"), prefix.alias("context"), target.alias("target"))
+
+
+def with_context(turns: DataFrame) -> DataFrame:
+    """Examples with their whole text (context and target): as many characters as all prefixes have."""
+    return read_examples(turns).where("example IS NOT NULL").select("conv_id", "turn", F.concat("context", "target").alias("text"), "example.loss_start", "example.loss_end")
 
 
 def _joined(field: str) -> Column:
@@ -98,20 +100,23 @@ def _joined(field: str) -> Column:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Per conversation what its formatted text and its examples say: digests of the turns and of the replies to learn.  Every
-    example is a row of its own and is read by its offsets; one whose context doesn't end where its reply's turn begins, whose
-    target isn't the whole reply, or assistant turns without one, are an error."""
-    piece, before, example = F.col("piece"), F.col("before"), F.col("example")
+    """Per conversation what its formatted text and its examples say: digests of the turns and of the replies to learn.  The
+    replies are read from the examples' own texts; one whose context isn't all turns before its target, whose target isn't the
+    whole turn, whose loss isn't the whole reply, or assistant turns without one, are an error."""
+    piece, before, example, context, target = (F.col(c) for c in ("piece", "before", "example", "context", "target"))
     head, intro = len(START) + 1, F.lit(f"{START}{TARGET}\n")
     cut = F.instr(piece, "\n")
     turn = F.concat(unescape_role(F.substr(piece, F.lit(head), cut - head)), F.lit("\n"), unescape(F.substr(piece, cut + 1)), F.lit("\n"))
-    fits = (example["context_chars"] == before) & (example["loss_start"] == before + F.length(intro)) & (example["loss_end"] == before + F.length(piece))
+    held = F.length(context) - F.length(F.replace(context, F.lit(END), F.lit(END[1:])))  # turns that the context ends
+    whole = (F.length(context) == before) & (held == F.col("place")) & (target == F.concat(piece, F.lit(END)))
+    fits = whole & (example["loss_start"] == F.length(context) + F.length(intro)) & (example["loss_end"] == F.length(context) + F.length(piece))
     good = F.when(F.startswith(piece, intro), F.coalesce(fits, F.lit(False))).otherwise(example.isNull())
-    reply = unescape(F.substr(piece, (example["loss_start"] - before + 1).cast("int"), (example["loss_end"] - example["loss_start"]).cast("int")))
+    told = F.concat(context, target)
+    reply = unescape(F.substr(told, (example["loss_start"] + 1).cast("int"), (example["loss_end"] - example["loss_start"]).cast("int")))
     loss = F.when(~good, F.raise_error(F.lit("an example does not fit its conversation"))).when(example.isNull(), "").otherwise(reply)
     rows = read_examples(turns).select("conv_id", "place", turn.alias("turn"), loss.alias("loss"), (before + F.length(piece) + len(END)).alias("upto"))
-    told = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "turn", "loss"))).alias("rows"), F.count("*").alias("n_turns"), F.max("upto").alias("formatted_chars"))
-    joined = told.select("conv_id", "n_turns", "formatted_chars", _joined("turn"), _joined("loss"))
+    found = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "turn", "loss"))).alias("rows"), F.count("*").alias("n_turns"), F.max("upto").alias("formatted_chars"))
+    joined = found.select("conv_id", "n_turns", "formatted_chars", _joined("turn"), _joined("loss"))
     return joined.select("conv_id", "n_turns", F.sha2("turn", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 

@@ -812,3 +812,21 @@ def test_windows_of_a_hot_anchor_are_gathered_by_digest(spark):
     got = sorted((r["block"], int(x) >> substrings.SHORT, int(x) & (1 << substrings.SHORT) - 1) for r in told for x in np.frombuffer(r["spans"], np.int64))
     assert got == sorted((k % 4, k, i) for k in range(60) for i in range(5, 106))
     assert substrings.GATHERED > substrings.IN_ROW > 60
+
+
+def test_chat_examples_are_prefixes_and_targets(spark):
+    """What the query reads are examples with their own texts: a whole context, its target, and the loss in the two."""
+    rows = [(k, t, ("user", "assistant")[t % 2], f"{k} é<|im_end|>\n{t}") for k in (1, None) for t in range(5)]
+    turns = chat.segments(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    segments = [f"<|im_start|>{r}\n{chat_escaped}<|im_end|>\n" for r, chat_escaped in ((r, t.replace("<|im_end|>", "<\\|im_end|>")) for k, _, r, t in rows if k)]
+    made = chat.read_examples(turns).where("example IS NOT NULL").orderBy("conv_id", "place")
+    got = made.where("conv_id = 1").collect()
+    assert [(r.place, r.turn, r.context, r.target) for r in got] == [(t, t, "".join(segments[:t]), segments[t]) for t in (1, 3)] and made.count() == 4
+    texts = [r.context + r.target for r in got]
+    assert [t[r.example.loss_start : r.example.loss_end] for r, t in zip(got, texts)] == [f"1 é<\\|im_end|>\n{t}" for t in (1, 3)]
+    assert [r.text for r in chat.with_context(turns).where("conv_id = 1").orderBy("loss_start").collect()] == texts
+    plan = chat.read_back(turns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr(formatted" in plan or "substring(formatted" in plan
+    short = turns.withColumn("segment_start", F.when(F.col("turn") == 3, F.col("segment_start") - 1).otherwise(F.col("segment_start")))
+    with pytest.raises(Exception, match="does not fit"):
+        chat.read_back(short).collect()
