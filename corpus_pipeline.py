@@ -2,7 +2,8 @@
 
 1. ``language``: documents whose score is under ``langid.LEAST`` (of no language that was learned) go, whatever ``lang`` says; a
    missing ``lang`` is filled in.
-2. ``near_dedup``: one document of each group of near copies (sets of five-word shingles, Jaccard similarity of 0.8 or more) stays.
+2. ``near_dedup``: one document of each group of near copies (sets of five-word shingles, Jaccard similarity of 0.8 or more) stays;
+   they meet at the anchors of SimHash fingerprints, and every link is verified.
 3. ``decontaminate``: documents that hold a benchmark item go.
 4. ``secrets``: secrets in the texts are replaced; documents stay.
 5. ``tokens``: the texts as token ids.

@@ -830,3 +830,28 @@ def test_chat_examples_are_prefixes_and_targets(spark):
     short = turns.withColumn("segment_start", F.when(F.col("turn") == 3, F.col("segment_start") - 1).otherwise(F.col("segment_start")))
     with pytest.raises(Exception, match="does not fit"):
         chat.read_back(short).collect()
+
+
+def test_near_copies_meet_at_simhash_anchors():
+    """Candidates come by the method of operator 5: each segment has one anchor within a bit, and pairs at the limit share one."""
+    homes = nearcopies._homes()
+    assert len(np.unique(homes)) == 1 << 11 and np.bitwise_count(homes ^ np.arange(1 << 15)).max() == 1
+    assert math.isclose(nearcopies.share(0.1514), 0.149, abs_tol=0.001)
+    rng = np.random.default_rng(3)
+    fresh = lambda n: np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+    long, shared = fresh(700), 0
+    mixed = (long ^ long >> np.uint64(32)) * simhash.MIX
+    mixed ^= mixed >> np.uint64(29)
+    plain = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0) * 2 > len(long)
+    assert nearcopies.prints([fresh(3), np.zeros(0, np.uint64), long])[2, 0] == np.packbits(plain, bitorder="little").view(np.uint64)[0]
+    missed, differ = 0, []
+    for size in (9, 18, 36, 90, 180, 360) * 100:  # 8 of 9 shared on both sides: a similarity of 0.8
+        both = fresh(size)
+        a, b = (np.sort(np.concatenate([both[: size * 8 // 9], fresh(size - size * 8 // 9)])) for _ in range(2))
+        assert nearcopies.alike(a, b)
+        of = nearcopies.prints([a, b])
+        keys = nearcopies.anchors(of, np.array([size, size]))
+        differ.append(int(np.bitwise_count(of[0] ^ of[1]).sum()) / 1280)
+        shared += int((keys[0] == keys[1]).sum())
+        missed += not (keys[0] == keys[1]).any() or not len(nearcopies.partners(of[:, 0], of[:, 1]))
+    assert missed == 0 and abs(shared / 600 / 80 - 0.149) < 0.02 and abs(np.mean(differ) - 0.1514) < 0.01
