@@ -107,12 +107,11 @@ def read_back(turns: DataFrame) -> DataFrame:
     head, intro = len(START) + 1, F.lit(f"{START}{TARGET}\n")
     cut = F.instr(piece, "\n")
     turn = F.concat(unescape_role(F.substr(piece, F.lit(head), cut - head)), F.lit("\n"), unescape(F.substr(piece, cut + 1)), F.lit("\n"))
-    held = F.length(context) - F.length(F.replace(context, F.lit(END), F.lit(END[1:])))  # turns that the context ends
-    whole = (F.length(context) == before) & (held == F.col("place")) & (target == F.concat(piece, F.lit(END)))
-    fits = whole & (example["loss_start"] == F.length(context) + F.length(intro)) & (example["loss_end"] == F.length(context) + F.length(piece))
+    # The length is looked at once, as a context may be long.
+    whole = (F.length(context) == before) & (F.endswith(context, F.lit(END)) | (before == 0)) & (target == F.concat(piece, F.lit(END)))
+    fits = whole & (example["loss_start"] == before + F.length(intro)) & (example["loss_end"] == before + F.length(piece))
     good = F.when(F.startswith(piece, intro), F.coalesce(fits, F.lit(False))).otherwise(example.isNull())
-    told = F.concat(context, target)
-    reply = unescape(F.substr(told, (example["loss_start"] + 1).cast("int"), (example["loss_end"] - example["loss_start"]).cast("int")))
+    reply = unescape(F.substr(target, (example["loss_start"] - before + 1).cast("int"), (example["loss_end"] - example["loss_start"]).cast("int")))
     loss = F.when(~good, F.raise_error(F.lit("an example does not fit its conversation"))).when(example.isNull(), "").otherwise(reply)
     rows = read_examples(turns).select("conv_id", "place", turn.alias("turn"), loss.alias("loss"), (before + F.length(piece) + len(END)).alias("upto"))
     found = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "turn", "loss"))).alias("rows"), F.count("*").alias("n_turns"), F.max("upto").alias("formatted_chars"))
