@@ -5,7 +5,7 @@ its set of shingles, each cut to four segments, and every segment has one anchor
 one bit of it (covering radius 1).  A bit of two texts of similarity 0.8 differs with probability arccos(8/9) / pi = 0.151, so they
 share the anchor of one segment with 0.149 (``share``) and of none of the 80 with two in a million, whatever their length; texts of
 4 and 5 shingles, which round to other majorities, with 0.0004.  Texts at an anchor whose first two fingerprints differ in more than
-``FAR`` of 128 bits are not looked at further (at 0.151 a pair in a million).  Every link is then verified exactly on the sets of
+``FAR`` of 128 bits are not looked at further (at 0.151 a pair in a million; of 4 and 5 shingles 0.0002).  Every link is then verified exactly on the sets of
 distinct shingles (a repeated shingle counts once), so no pair below the limit links.
 
 The task that holds a key's texts verifies them itself and gives a spanning forest of verified links, so a group of copies costs
