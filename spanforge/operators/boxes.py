@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from spanforge.functions import boxes as B
 from spanforge.functions import text as X
 from spanforge.functions import values as V
-from spanforge.operators import spatial
+from spanforge.operators import paging, spatial
 from spanforge.operators.detect import OCR_RULES
 from spanforge.operators.plug import call_with
+from spanforge.sources import shared
 
 MERGE_IOU, DUAL_IOU = 0.5, 0.3
 
@@ -32,13 +33,21 @@ def dual_dedup(df: DataFrame, *, page: list[str], source_col: str = "source", te
     """Drops boxes of the image detector that overlap one of the text detector on their page by more than ``threshold``; boxes
     of other sources are kept unless they overlap a kept one or an earlier one of theirs.
 
-    The image side is held against the text side by the cells of a page that boxes touch (``spatial``), so a crowded page is no one
-    task's; only a page's boxes of other sources are folded in order (``spatial.first_kept`` does that for crowded pages).
+    The image side is held against the text side by the tiles or cells of a page (``spatial``), so a crowded page is no one task's.
+    Boxes of other sources are folded in order on pages with few boxes, and walked by tiles (``spatial.first_kept``) on crowded ones;
+    there a box with a missing side meets nothing.
     """
     text = df.where(F.col(source_col) == text_source)
     image = df.where(F.col(source_col) == image_source)
     kept = text.unionByName(spatial.without_meeting(image, text, page=page, least=threshold))
     other = df.where(~F.col(source_col).isin(text_source, image_source) | F.col(source_col).isNull())
+    if not spatial.few_on_a_page(df, page):
+        if other.isEmpty():
+            return kept
+        kept = shared.written(kept, shared.fresh_path(df.sparkSession, "kept"))
+        free = spatial.without_meeting(other, kept, page=page, least=threshold)
+        placed = paging.ranked(free, "x", F.struct(*[c for c in df.columns if c not in page])).numbered("_rank")
+        return kept.unionByName(spatial.first_kept(placed, page=page, order=["_rank"], least=threshold, inclusive=False).drop("_rank"))
     columns = [c for c in df.columns if c not in page]
     row = F.struct(*columns)
     base = kept.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("x", "y", "width", "height"))).alias("_kept"))
