@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PIECE = "array<struct<start:int,end:int,text:string>>"
+#: A code point that stands for no character.
+MARK = "\ufdd0"
 #: Items of a fold whose results are gathered together.
 CHUNK = 256
 
@@ -71,13 +73,23 @@ def numbered(kinds: Column) -> Column:
 
 
 def located(text: Column, pattern: str | Column) -> Column:
-    """Array of (start, end, text) of the matches that ``finditer`` gives; offsets are code points, ends exclusive."""
+    """Array of (start, end, text) of the matches that ``finditer`` gives; offsets are code points, ends exclusive.
+
+    One pass of the pattern puts a mark around each match, and texts are parted there; texts that hold the mark take two passes.
+    """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("text")))
     piece = lambda at, p: F.array(F.struct((at + p["gap"]).alias("start"), (at + p["gap"] + p["size"]).alias("end"), p["text"].alias("text")))
-    found = scan(pairs, F.lit(0), lambda at, p: at + p["gap"] + p["size"], piece, "struct<start:int,end:int,text:string>")
-    return F.when(text.isNull(), F.array().cast(PIECE)).otherwise(found)
+    placed = lambda pairs: scan(pairs, F.lit(0), lambda at, p: at + p["gap"] + p["size"], piece, "struct<start:int,end:int,text:string>")
+    pair = lambda gap, value: F.struct(F.length(gap).alias("gap"), F.length(value).alias("size"), value.alias("text"))
+
+    def of_parts(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), lambda k: pair(F.get(parts, 2 * k - 2), F.get(parts, 2 * k - 1)))
+        return F.when(F.size(parts) > 1, placed(pairs)).otherwise(F.array().cast(PIECE))
+
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    twice = placed(F.zip_with(F.slice(gaps, F.lit(1), F.size(values)), values, pair))
+    once = let(F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1), of_parts)
+    return F.when(text.isNull(), F.array().cast(PIECE)).when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
 
 def sliced(text: Column, ranges: Column) -> Column:

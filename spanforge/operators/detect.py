@@ -90,10 +90,10 @@ def _of_rule(text: Column, rule: Rule) -> Column:
     if rule.validator:
         found = F.filter(found, lambda m: rule.validator(m["text"]))
     spans = F.transform(found, lambda m: _span(m, F.lit(rule.type), 0.99, "regex", rule.priority)).cast(SPANS)
-    # Texts without a hit skip the offsets, and those that cannot have one the pattern.
-    there = text.rlike(rule.java)
+    # Texts that cannot have a hit skip the pattern.
+    there = F.lit(True)
     if rule.digits:
-        there = text.rlike(r"\p{Nd}") & there
+        there = text.rlike(r"\p{Nd}")
     if rule.needs:
         there = F.contains(text, F.lit(rule.needs)) & there
     return F.when(there, spans).otherwise(F.array().cast(SPANS))
@@ -268,7 +268,8 @@ def assign_pages(df: DataFrame, *, spans_col: str = "spans", pages_col: str = "p
 
 
 def explode_spans(df: DataFrame, *id_cols: str, spans_col: str = "spans") -> DataFrame:
-    return df.select(*id_cols, F.inline(spans_col))
+    # From a plain ``inline`` Spark infers a filter on the array's size, which makes all spans once more.
+    return df.select(*id_cols, F.posexplode_outer(spans_col).alias("_pos", "_span")).where("_pos IS NOT NULL").select(*id_cols, "_span.*")
 
 
 def entity_summary(df: DataFrame, *id_cols: str, spans_col: str = "spans") -> DataFrame:
