@@ -6,6 +6,7 @@ Detectors add no rows and move none; ``explode_spans`` gives a row per span wher
 
 from __future__ import annotations
 
+import re
 import subprocess
 import sys
 from collections.abc import Callable, Iterator
@@ -40,7 +41,9 @@ class Rule:
 
     @property
     def java(self) -> str:
-        return ("(?iU)" if self.ignore_case else "(?U)") + self.pattern
+        # A class of characters without case needs no folding, which Java does for each of them at each place.
+        plain = lambda m: f"(?-i:{m[0]})" if m[0].lower() == m[0].upper() else m[0]
+        return "(?iU)" + re.sub(r"(?<!\\)\[[^\[\]\\^&-]+\]", plain, self.pattern) if self.ignore_case else "(?U)" + self.pattern
 
 
 _NEEDS = {"EMAIL": "@", "CASE_NUMBER": "号", "URL": "://"}

@@ -30,3 +30,8 @@ def test_spans_are_made_once(spark):
 def test_exploded_spans_keep_their_rows(spark):
     df = spark.createDataFrame([(1, [(1, "a"), None, (2, "b")]), (2, []), (3, None)], "id int, spans array<struct<start:int,text:string>>")
     assert sorted(D.explode_spans(df, "id").collect(), key=repr) == sorted(df.select("id", F.inline("spans")).collect(), key=repr)
+
+
+def test_classes_without_case():
+    assert D.Rule("X", r"[京津]\[ab[A-Z京]{2}[^京][日-月]").java == r"(?iU)(?-i:[京津])\[ab[A-Z京]{2}[^京][日-月]"
+    assert D.Rule("X", "[京ß]", ignore_case=False).java == "(?U)[京ß]"
