@@ -5,6 +5,9 @@ the shorter has t/(2-t) of the longer's length at least.  So texts meet by lengt
 characters (a character and the how-manyth it is): a text of n characters names n - n t/(2-t) + 1 of them, and any two texts that
 are alike name one in common.  The shared characters are then counted, the longest common subsequence bounds what can match in order, and only pairs that still
 can be over t are aligned.
+
+Pages with few texts are gathered instead, a row a page, and each entity looks at the blocks in their order and stops at the first that
+matches; only pages with more than ``FEW`` texts, as counted, are looked up by characters.
 """
 
 from __future__ import annotations
@@ -18,8 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.functions import boxes as B
+from spanforge.sources import shared
 
 LEAST = 0.85
+#: Entities and blocks together that a page may have to be gathered.
+FEW = 128
 
 
 def named(text: str, least: float) -> list[str]:
@@ -90,20 +96,74 @@ def alike(entities: DataFrame, blocks: DataFrame, *, page: list[str], least: flo
     return texts.select(*page, "entity_id", "pos", ratio(F.col("_entity"), F.col("_block"), least).alias("ratio")).where(F.col("ratio") > least)
 
 
+def first_matches(asked: list[str], there: list[str | None], least: float) -> list[int]:
+    """For each text the place of the first of ``there`` that holds it, or is almost it, twice, and one more if it is almost it; -1 without."""
+    found: dict[str, int] = {"": -1}
+    matchers: dict[int, difflib.SequenceMatcher] = {}
+    for text in asked:
+        if text in found:
+            continue
+        found[text] = -1
+        for k, block in enumerate(there):
+            if not block:
+                continue
+            if text in block:
+                found[text] = 2 * k
+                break
+            n = len(text) + len(block)
+            if not 2 * min(len(text), len(block)) > least * n:
+                continue
+            # What a matcher knows of its second text stays.
+            m = matchers.get(k) or matchers.setdefault(k, difflib.SequenceMatcher(None, "", block))
+            m.set_seq1(text)
+            if m.quick_ratio() > least and 2 * common(text, block) > least * n and m.ratio() > least:
+                found[text] = 2 * k + 1
+                break
+    return [found[t] for t in asked]
+
+
+def _gathered(entities: DataFrame, blocks: DataFrame, page: list[str], least: float) -> DataFrame:
+    """Page, entity_id, text, pos, source and the block of each match, for pages with few texts."""
+
+    @F.pandas_udf("array<int>")
+    def of(asked: pd.Series, there: pd.Series) -> pd.Series:
+        return pd.Series([first_matches(list(a), list(b), least) for a, b in zip(asked, there)], dtype=object)
+
+    own = entities.where(F.length("text") > 0).groupBy(*page).agg(F.collect_list(F.struct("entity_id", "text")).alias("_asked"))
+    block = F.struct("pos", "text", "left", "top", "width", "height")
+    both = own.join(blocks.where(F.length("text") > 0).groupBy(*page).agg(F.array_sort(F.collect_list(block)).alias("_there")), page)
+    found = both.withColumn("_found", of(F.transform("_asked", lambda x: x["text"]), F.transform("_there", lambda x: x["text"])))
+    rows = found.select(*page, "_asked", "_there", F.posexplode_outer("_found").alias("_k", "_m")).where(F.col("_m") >= 0)
+    rows = rows.select(*page, F.get("_asked", F.col("_k")).alias("_e"), F.get("_there", F.floor(F.col("_m") / 2).cast("int")).alias("_b"), F.when(F.col("_m") % 2 == 0, "text_match").otherwise("fuzzy_match").alias("source"))
+    return rows.select(*page, "_e.entity_id", "_b.pos", "source", "_e.text", F.col("_b.text").alias("_block"), "_b.left", "_b.top", "_b.width", "_b.height")
+
+
+def _looked_up(entities: DataFrame, blocks: DataFrame, page: list[str], least: float) -> DataFrame:
+    """The same for pages with any number of texts."""
+    # Texts that are there several times on a page are compared once, by their first entity and block; rows are moved by these, not by text.
+    asked = entities.where(F.length("text") > 0).groupBy(*page, "text").agg(F.min("entity_id").alias("entity_id"))
+    there = blocks.groupBy(*page, "text").agg(F.min("pos").alias("pos"))
+    inside = asked.join(there.select(*page, "pos", F.col("text").alias("_block")), page).where(F.contains("_block", F.col("text")))
+    found = inside.select(*page, "entity_id", "pos", F.lit("text_match").alias("source"))
+    almost = alike(asked, there, page=page, least=least).select(*page, "entity_id", "pos", F.lit("fuzzy_match").alias("source"))
+    first = found.unionByName(almost).groupBy(*page, "entity_id").agg(F.min(F.struct("pos", F.when(F.col("source") == "text_match", 0).otherwise(1).alias("kind"), "source")).alias("_m"))
+    of_text = asked.join(first, [*page, "entity_id"]).select(*page, "text", "_m")
+    rows = entities.select(*page, "entity_id", "text").join(of_text, [*page, "text"]).select(*page, "entity_id", F.col("_m.pos").alias("pos"), F.col("_m.source").alias("source"), "text")
+    return rows.join(blocks.select(*page, "pos", F.col("text").alias("_block"), "left", "top", "width", "height"), [*page, "pos"])
+
+
 def match_entities(entities: DataFrame, blocks: DataFrame, *, page: list[str], least: float = LEAST) -> DataFrame:
     """For each entity (entity_id, text) the first block (pos, text, left, top, width, height) of its page that contains its text
     (``text_match``, confidence 1) or is almost it (``fuzzy_match``, 0.9).  A contained text gets its part of the block's width,
     unless the block is long, a list or much wider than it; entities without a match have no row."""
-    # Texts that are there several times on a page are compared once, blocks by their first place.
-    asked = entities.where(F.length("text") > 0).select(*page, "text").distinct()
-    there = blocks.groupBy(*page, "text").agg(F.min("pos").alias("pos"))
-    inside = asked.join(there.select(*page, "pos", F.col("text").alias("_block")), page).where(F.contains("_block", F.col("text")))
-    found = inside.select(*page, "text", "pos", F.lit("text_match").alias("source"))
-    almost = alike(asked.withColumn("entity_id", F.col("text")), there, page=page, least=least).select(*page, F.col("entity_id").alias("text"), "pos", F.lit("fuzzy_match").alias("source"))
-    of_text = found.unionByName(almost).groupBy(*page, "text").agg(F.min(F.struct("pos", F.when(F.col("source") == "text_match", 0).otherwise(1).alias("kind"), "source")).alias("_m"))
-    best = entities.select(*page, "entity_id", "text").join(of_text, [*page, "text"]).select(*page, "entity_id", "_m")
-    rows = best.select(*page, "entity_id", F.col("_m.pos").alias("pos"), F.col("_m.source").alias("source")).join(entities.select(*page, "entity_id", "text"), [*page, "entity_id"])
-    rows = rows.join(blocks.select(*page, "pos", F.col("text").alias("_block"), "left", "top", "width", "height"), [*page, "pos"])
+    # Both come by page alone; few pages have many texts.
+    counts = entities.select(*page).unionByName(blocks.select(*page)).groupBy(*page).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW)
+    crowded = shared.written(counts.drop("_n"), shared.fresh_path(entities.sparkSession, "crowded"))
+    if crowded.isEmpty():
+        rows = _gathered(entities, blocks, page, least)
+    else:
+        some = lambda df, how: df.join(crowded, page, how)
+        rows = _gathered(some(entities, "left_anti"), some(blocks, "left_anti"), page, least).unionByName(_looked_up(some(entities, "left_semi"), some(blocks, "left_semi"), page, least))
     start, size, n = F.instr("_block", F.col("text")) - 1, F.length("text"), F.length("_block")
     parts = F.size(F.regexp_extract_all("_block", F.lit(r"[,;，；、|]"), F.lit(0)))
     whole = (F.col("source") == "fuzzy_match") | (n > 100) | (size / n < 0.1) | (parts >= 2) | F.col("_block").rlike(r"  |\t")
