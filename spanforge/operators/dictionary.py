@@ -227,6 +227,55 @@ def _scanned(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, mode: s
     return df.mapInArrow(run, T.StructType.fromJson(df.schema.jsonValue()).add(out_col, kind))
 
 
+def put_in(body: np.ndarray, offsets: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of texts with ``values[at : at + size]`` in place of each range (sorted by text, then start; apart)."""
+    n = len(offsets) - 1
+    # Before each range and behind a text's last one lies a gap; a text's pieces are gap, value, gap, and so on.
+    count = np.bincount(text, minlength=n)
+    first = np.cumsum(2 * count + 1) - (2 * count + 1)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    gap = first[text] + 2 * k
+    begin, length = np.zeros(2 * len(text) + n, np.int64), np.zeros(2 * len(text) + n, np.int64)
+    # A gap begins where the range before it ends, and goes on to the next range or the text's end.
+    begin[first] = offsets[:-1]
+    begin[gap + 2] = end
+    length[gap] = start
+    length[first + 2 * count] = offsets[1:]
+    gaps = np.ones(len(begin), bool)
+    gaps[gap + 1] = False
+    length[gaps] -= begin[gaps]
+    begin[gap + 1], length[gap + 1] = len(body) + at, size
+    done = np.cumsum(length)
+    out = np.concatenate([body, values])[np.repeat(begin - (done - length), length) + np.arange(done[-1] if len(done) else 0)]
+    return out, np.append(0, done[first + 2 * count])
+
+
+def _replaced(df: DataFrame, rows: pa.Table, text_col: str, out_col: str, count_col: str) -> DataFrame:
+    """Texts with the longest term at each place replaced, and how many, made where they are scanned."""
+    sent = df.sparkSession.sparkContext.broadcast(Entries(rows))
+    place, names = df.columns.index(text_col), [*df.columns, out_col, count_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, first, sizes, _ = sent.value.built
+        # Of a term that is there once, as here, the first entry is its own.
+        values, ends = buffers(sent.value.table.column("value").combine_chunks())
+        for batch in batches:
+            body, offsets = buffers(batch.column(place))
+            for a, b in steps(offsets, STEP_BYTES):
+                part, at = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                text, end, term = automaton.scan(part, at)
+                kept = longest_first(text, end - sizes[term], end)
+                text, end, term = text[kept], end[kept], term[kept]
+                entry = first[term]
+                out, to = put_in(part, at, text, end - sizes[term], end, values, ends[entry], ends[entry + 1] - ends[entry])
+                own = batch.slice(a, b - a)
+                made = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(to), pa.py_buffer(out)).cast(pa.string())
+                made = pc.if_else(pc.is_null(own.column(place)), pa.scalar(None, pa.string()), made)
+                yield pa.RecordBatch.from_arrays([*own.columns, made, pa.array(np.bincount(text, minlength=b - a).astype(np.int64))], names)
+
+    return df.mapInArrow(run, T.StructType.fromJson(df.schema.jsonValue()).add(out_col, "string").add(count_col, "long"))
+
+
 _CHANCE = np.random.default_rng(1)
 _WEIGHT, _BASE = _CHANCE.integers(1, 1 << 62, 256, np.uint64), np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -343,14 +392,20 @@ def _joined(df: DataFrame, entries: DataFrame, id_col: str, text_col: str, out_c
     return df.join(named, df[id_col] == named["_id"], "left").withColumn(out_col, F.coalesce("_hits", F.array().cast(HIT))).drop("_id", "_hits")
 
 
+def _sorted_entries(entries: DataFrame, most: int) -> pa.Table | None:
+    """The entries by text, if these have at most ``most`` bytes."""
+    size = entries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if size > most:
+        return None
+    return entries.select("text", "type", "pos", "value").toArrow().sort_by([("text", "ascending"), ("pos", "ascending"), ("type", "ascending")])
+
+
 def _found(df: DataFrame, terms: DataFrame, columns: dict, id_col: str, text_col: str, out_col: str, mode: str, most: int, as_spans: bool = False) -> DataFrame:
     # Read several times: once for the size, and by each step of a join.
     entries = shared.written(_entries(terms, **columns), shared.fresh_path(df.sparkSession, "terms"))
-    size = entries.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    if size <= most:
-        # At most ``most`` bytes of terms, sorted here.
-        rows = entries.select("text", "type", "pos", "value").toArrow()
-        return _scanned(df, rows.sort_by([("text", "ascending"), ("pos", "ascending"), ("type", "ascending")]), text_col, out_col, mode, as_spans)
+    rows = _sorted_entries(entries, most)
+    if rows is not None:
+        return _scanned(df, rows, text_col, out_col, mode, as_spans)
     found = _joined(df, entries, id_col, text_col, out_col, mode)
     span = lambda h: F.struct(h["text"].alias("text"), h["type"].alias("type"), h["start"].alias("start"), h["end"].alias("end"), F.lit(CONFIDENCE).alias("confidence"), F.lit(SOURCE).alias("source"), F.lit(0).alias("priority"), F.concat(F.lit("coref_"), h["number"].cast("string")).alias("coref_id"))
     return found.withColumn(out_col, F.transform(out_col, span).cast(SPANS)) if as_spans else found
@@ -380,6 +435,11 @@ def find_dictionary(df: DataFrame, terms: DataFrame, *, id_col: str, type_col: s
 
 def replace_dictionary(df: DataFrame, mapping: DataFrame, *, id_col: str, term_col: str = "term", value_col: str = "value", text_col: str = "text", out_col: str = "redacted_text", count_col: str = "redacted_count", most: int = AUTOMATON_BYTES) -> DataFrame:
     """As ``text.rewritten`` for a table of terms and their values: from the left, the longest term at each place."""
-    found = hits(df, mapping.withColumn("_type", F.lit("")), id_col=id_col, type_col="_type", term_col=term_col, value_col=value_col, text_col=text_col, out_col="_found", mode=LONGEST, most=most)
+    entries = _entries(mapping.withColumn("_type", F.lit("")), "_type", term_col, None, value_col)
+    entries = shared.written(entries, shared.fresh_path(df.sparkSession, "terms"))
+    rows = _sorted_entries(entries, most)
+    if rows is not None:
+        return _replaced(df, rows, text_col, out_col, count_col)
+    found = _joined(df, entries, id_col, text_col, "_found", LONGEST)
     text = F.when(F.size("_found") > 0, X.put(F.col(text_col), F.col("_found"), lambda h: F.coalesce(h["value"], F.lit("")))).otherwise(F.col(text_col))
     return found.withColumns({out_col: text, count_col: F.size("_found").cast("long")}).drop("_found")
