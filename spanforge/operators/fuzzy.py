@@ -13,6 +13,7 @@ matches; only pages with more than ``FEW`` texts, as counted, are looked up by c
 from __future__ import annotations
 
 import difflib
+import functools
 import math
 from collections import Counter
 
@@ -47,6 +48,18 @@ def common(a: str, b: str) -> int:
     return len(a) - free.bit_count()
 
 
+counted = functools.lru_cache(maxsize=1 << 12)(Counter)
+
+
+def may_be(a: str, b: str, least: float) -> bool:
+    """Whether the lengths, the counted characters and the longest common subsequence leave a ratio over ``least``; the cheapest first,
+    and all before a matcher is made, which takes longer than these."""
+    n = len(a) + len(b)
+    if least <= 0 or not n:
+        return True
+    return 2 * min(len(a), len(b)) / n > least and 2 * (counted(a) & counted(b)).total() / n > least and 2 * common(a, b) > least * n
+
+
 def _names(least: float):
     @F.pandas_udf("array<string>")
     def of(texts: pd.Series) -> pd.Series:
@@ -64,9 +77,7 @@ def ratio(a: Column, b: Column, least: float = 0.0) -> Column:
         out = []
         for p, q in zip(x, y):
             p, q = p or "", q or ""
-            m = difflib.SequenceMatcher(None, p, q)
-            may = least <= 0 or (m.real_quick_ratio() > least and m.quick_ratio() > least and 2 * common(p, q) > least * (len(p) + len(q)))
-            out.append(m.ratio() if may else None)
+            out.append(difflib.SequenceMatcher(None, p, q).ratio() if may_be(p, q, least) else None)
         return pd.Series(out, dtype="float64")
 
     return of(a, b)
@@ -110,13 +121,12 @@ def first_matches(asked: list[str], there: list[str | None], least: float) -> li
             if text in block:
                 found[text] = 2 * k
                 break
-            n = len(text) + len(block)
-            if not 2 * min(len(text), len(block)) > least * n:
+            if not may_be(text, block, least):
                 continue
             # What a matcher knows of its second text stays.
             m = matchers.get(k) or matchers.setdefault(k, difflib.SequenceMatcher(None, "", block))
             m.set_seq1(text)
-            if m.quick_ratio() > least and 2 * common(text, block) > least * n and m.ratio() > least:
+            if m.ratio() > least:
                 found[text] = 2 * k + 1
                 break
     return [found[t] for t in asked]

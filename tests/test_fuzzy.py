@@ -28,3 +28,13 @@ def test_small_and_crowded_pages_match_alike(spark, monkeypatch):
         assert sorted((r.page, r.entity_id, r.pos, r.source) for r in rows.collect()) == sorted(want)
         # On small pages no character is a row.
         assert few < 1000 or "SortMergeJoin" not in rows._jdf.queryExecution().optimizedPlan().toString() and "_name" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bounds_leave_all_that_are_alike():
+    rnd = random.Random(32)
+    for _ in range(3000):
+        a = "".join(rnd.choice("abcd日") for _ in range(rnd.randint(0, 30)))
+        b = "".join(c for c in a if rnd.random() < 0.85)
+        m = difflib.SequenceMatcher(None, a, b)
+        assert fuzzy.may_be(a, b, 0.85) or m.ratio() <= 0.85
+        assert not fuzzy.may_be(a, b, 0.85) or not a + b or m.quick_ratio() > 0.85
